@@ -153,19 +153,20 @@ def shingle_sets(chunk: Chunk, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     data = lower(chunk.data)
     w = words(chunk)
     h = range_hashes(data, w.start, w.end)
-    got, first = grams(h, w.offsets, n)
-    row = np.searchsorted(w.offsets, first, "right") - 1
-    short = np.flatnonzero((w.counts > 0) & (w.counts < n))
-    if len(short):
-        extra = np.array([sequence_hash(h[w.offsets[r] : w.offsets[r + 1]]) for r in short], U64)
-        got, row = np.concatenate([got, extra]), np.concatenate([row, short])
-    order = np.lexsort((got, row))
-    got, row = got[order], row[order]
-    if len(got):
-        new = np.ones(len(got), bool)
-        new[1:] = (got[1:] != got[:-1]) | (row[1:] != row[:-1])
-        got, row = got[new], row[new]
-    return got, np.searchsorted(row, np.arange(chunk.rows + 1))
+    counts = w.counts
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(offsets[-1], U64)
+    long = np.repeat(counts >= n, sizes)
+    out[long] = grams(h, w.offsets, n)[0]
+    for r in np.flatnonzero((counts > 0) & (counts < n)):
+        out[offsets[r]] = sequence_hash(h[w.offsets[r] : w.offsets[r + 1]])
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        out[a:b].sort()
+    row = np.repeat(np.arange(chunk.rows), sizes)
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    return out[new], np.searchsorted(row[new], np.arange(chunk.rows + 1))
 
 
 def sequence_hash(h: np.ndarray) -> int:
