@@ -19,6 +19,9 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators of plain tokens: all ASCII but letters and digits.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -102,8 +105,8 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(chunk: Chunk) -> Words:
-    inside = ~_SPACE[chunk.data]
+def words(chunk: Chunk, separators: np.ndarray = _SPACE) -> Words:
+    inside = ~separators[chunk.data]
     n = len(inside)
     begins = np.zeros(n, bool)
     if n:
@@ -125,6 +128,29 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
 
 
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each row's values."""
+    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items' keys occur twice or more, and which are not the first of their key."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    again = np.zeros(len(keys), bool)
+    again[order[1:]] = same
+    twice = again.copy()
+    twice[order[:-1]] |= same
+    return twice, again
+
+
+def by_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys that are equal only within one row."""
+    return mix(keys ^ mix(row.astype(U64) + U64(1)))
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` items of ``h``; rows are not looked at."""
     if len(h) < n:
