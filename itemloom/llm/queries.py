@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import jaccard, lines, mixing, quality_rules, toxicity
+from itemloom.llm import jaccard, lines, mixing, quality_rules, secrets, toxicity
 from itemloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_left"))
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+ORACLE_SQL["op9_secret_scan"] = secrets.ORACLE_SQL
