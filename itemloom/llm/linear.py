@@ -52,7 +52,7 @@ def text_features(c: bytescan.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sparse:
-    """Rows of a sparse matrix: shares of each text's features times SCALE."""
+    """Rows of a sparse matrix, in row order."""
 
     row: np.ndarray
     index: np.ndarray
@@ -65,8 +65,10 @@ class Sparse:
     def take(self, which: np.ndarray) -> Sparse:
         place = np.full(self.rows, -1)
         place[which] = np.arange(len(which))
-        keep = place[self.row] >= 0
-        return Sparse(place[self.row[keep]], self.index[keep], self.value[keep], len(which))
+        row = place[self.row]
+        kept = np.flatnonzero(row >= 0)
+        kept = kept[np.argsort(row[kept], kind="stable")]
+        return Sparse(row[kept], self.index[kept], self.value[kept], len(which))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import decontam, jaccard, lines, mixing, quality_rules, secrets, substrings, toxicity
+from itemloom.llm import cotrain, decontam, jaccard, langid, lines, mixing, quality_rules, secrets, substrings, toxicity
 from itemloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
