@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+MODULES = ("core_queries",)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -26,6 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules whose queries register themselves."""
+    for name in MODULES:
+        importlib.import_module(f"itemloom.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
     _load()
     return QUERIES
@@ -34,7 +42,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return ORACLE_SQL
-
-
-def _load() -> None:
-    """Import the modules whose queries register themselves."""
