@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("core_queries", "hierarchy_queries")
+MODULES = ("core_queries", "hierarchy_queries", "document_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
