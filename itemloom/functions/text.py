@@ -19,16 +19,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def split_batches(texts: DataFrame, column: str = "text", answer: str = r"(?m)^答案[：:](.*)$") -> DataFrame:
+def split_batches(texts: DataFrame, column: str = "text", separator: str = r"\n---\n|\n---$|^---\n", answer: str = r"(?md)\n?答案[：:](.+)$") -> DataFrame:
     """The parts between ``---`` lines as items: all columns, at, content and answer.
 
-    The first answer line of a part becomes its answer; what follows it is left out.
+    The first answer in a part becomes its answer; what follows it is left out, and
+    so is a part without content. Of two separators in a row the second stays text.
     """
-    parts = F.filter(F.transform(F.split(column, r"(?:^|\n)---(?:\n|$)", -1), strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(column, separator, -1), strip), lambda p: p != "")
     spread = texts.select("*", F.posexplode(parts).alias("at", "part"))
-    line = F.regexp_substr("part", F.lit(answer))
-    content = F.when(line.isNull(), F.col("part")).otherwise(strip(F.call_function("substring_index", F.col("part"), line, F.lit(1))))
-    return spread.select(*texts.columns, "at", content.alias("content"), F.when(line.isNotNull(), strip(F.regexp_extract("part", answer, 1))).alias("answer"))
+    found = F.regexp_substr("part", F.lit(answer))
+    content = F.when(found.isNull(), F.col("part")).otherwise(strip(F.call_function("substring_index", F.col("part"), found, F.lit(1))))
+    return spread.select(*texts.columns, "at", content.alias("content"), F.when(found.isNotNull(), strip(F.regexp_extract("part", answer, 1))).alias("answer")).filter("content != ''")
 
 
 def formula_inventory(df: DataFrame, key: str, column: str = "text") -> DataFrame:
