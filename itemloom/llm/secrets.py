@@ -40,8 +40,12 @@ def least_sum(bits: float) -> int:
 
 
 def _found(text: Column, pattern: str, value_group: bool = False) -> Column:
-    """Matches as structs (gap, length, value): characters before, in, and in group 1 of each."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    """Matches as structs (gap, length, value): characters before, in, and in group 1 of each.
+
+    Each search begins where the last match ended (\\G), else what follows the last
+    match would be searched again from each of its characters.
+    """
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     parts = [F.transform(F.regexp_extract_all(text, whole, F.lit(k)), F.length) for k in ((1, 2, 3) if value_group else (1, 2))]
     return F.arrays_zip(parts[0].alias("gap"), parts[1].alias("length"), parts[-1].alias("value"))
 
@@ -95,7 +99,7 @@ def _secret(candidate: Column) -> Column:
 
 def _entropy_spans(text: Column, base: Column) -> Column:
     """Spans of secret candidates that no base span overlaps."""
-    whole = F.lit(rf"(?s)(.*?)({CANDIDATE})")
+    whole = F.lit(rf"(?s)\G(.*?)({CANDIDATE})")
     gaps, strings = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     verdict = F.transform(strings, lambda c: F.when(_secret(c), 1).otherwise(0))
     found = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(strings, F.length).alias("length"), verdict.alias("value"))
