@@ -104,6 +104,8 @@ def seed_windows(docs: DataFrame, block: Block) -> DataFrame:
             for c, w, h in _tokens(batch.column(1)):
                 grams, first = bytescan.grams(h, w.offsets, SEED_WORDS)
                 place, seed = block.hits(grams)
+                if not len(place):
+                    continue
                 count = block.item_offsets[seed + 1] - block.item_offsets[seed]
                 item = block.items[np.repeat(block.item_offsets[seed] + count - np.cumsum(count), count) + np.arange(count.sum())]
                 at, seed = np.repeat(first[place], count), np.repeat(block.seeds[seed], count)
@@ -200,5 +202,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents in no contaminated pair, all columns as they are."""
-    bad = contaminated(docs, benchmark, least_score).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad"), "left_anti")
+    return docs.join(contaminated(docs, benchmark, least_score).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
