@@ -71,14 +71,15 @@ class Sparse:
         return Sparse(row[kept], self.index[kept], self.value[kept], len(which))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` rows of each class, by a hash of the id: doc_id, text, label.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int] = PER_CLASS) -> DataFrame:
+    """At most ``per_class`` rows of each class (or of 0 and 1), by a hash of the id: doc_id, text, label.
 
     An id with several labels takes the greatest; null labels and texts are left out.
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit(label))
-    chosen = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
+    most = (per_class, per_class) if isinstance(per_class, int) else per_class
+    chosen = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(most[k]) for k in (0, 1)]
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
 
 

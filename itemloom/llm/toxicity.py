@@ -21,29 +21,33 @@ from pyspark.sql import DataFrame
 
 from itemloom.llm import bytescan, linear
 
-DIMS = linear.DIMS
+#: Features are 31-bit hashes: so few collide with the vocabulary that clean texts stay clean.
+HASH_BITS = 31
+#: Labelled rows to learn from, at most: not toxic and toxic. Many clean ones, so that
+#: words that only happen to be in toxic texts are seen in clean ones too.
+PER_CLASS = (5000, 1200)
 STEMS = (4, 5, 6)
 GRADES = 3
 #: A document is rejected from this probability of grade 1 or more on.
 REJECT_FROM = 0.5
 #: Evidence has these log odds at least, and a likelihood ratio statistic that
 #: chance doesn't give among a few hundred thousand features.
-LEAST_LOG_ODDS = 2.0
+LEAST_LOG_ODDS = 3.5
 LEAST_RATIO = 16.0
+MOST_FEATURES = 400
 SCHEMA = "doc_id long, severity double, p_toxic double, grade int, rejected boolean"
 U64 = np.uint64
 
 
 def features(c: bytescan.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of each token's features and row offsets: 1 + len(STEMS) for each token."""
+    """Hashes of each token's features and row offsets: 1 + len(STEMS) for each token."""
     data = bytescan.lower(c.data)
     w = bytescan.words(c, bytescan.PUNCTUATION)
-    half = U64(DIMS // 2 - 1)
-    columns = [bytescan.range_hashes(data, w.start, w.end) & half]
+    columns = [bytescan.range_hashes(data, w.start, w.end)]
     for n in STEMS:
         stem = bytescan.range_hashes(data, w.start, np.minimum(w.end, w.start + n))
-        columns.append((bytescan.mix(stem + U64(n)) & half) + U64(DIMS // 2))
-    return np.stack(columns, 1).ravel().astype(np.int64), w.offsets * len(columns)
+        columns.append(bytescan.mix(stem + U64(n)))
+    return (np.stack(columns, 1).ravel() & U64((1 << HASH_BITS) - 1)).astype(np.int64), w.offsets * len(columns)
 
 
 def _per_token(offsets: np.ndarray) -> np.ndarray:
@@ -53,30 +57,82 @@ def _per_token(offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Weights shared by all grades (0 for features outside the vocabulary), and thresholds."""
+    """The vocabulary (sorted hashes) with weights shared by all grades, and thresholds.
 
-    weights: np.ndarray  # float32, DIMS
+    ``presence`` is the weight of having any evidence at all.
+    """
+
+    vocabulary: np.ndarray
+    weights: np.ndarray
+    presence: float
     thresholds: np.ndarray  # ascending, GRADES
 
     def exceedance(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... in columns."""
         return linear.sigmoid(score[:, None] - self.thresholds[None, :])
 
-    def scores(self, index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return bytescan.sums(self.weights[index].astype(np.float64), offsets) / _per_token(offsets)
+    def scores(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        place, at = known(self.vocabulary, hashes)
+        row = np.searchsorted(offsets, place, "right") - 1
+        n = len(offsets) - 1
+        evidence = np.bincount(row, self.weights[at], n)
+        return evidence / _per_token(offsets) + self.presence * (np.bincount(row, minlength=n) > 0)
+
 
+def known(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``hashes`` that are in the vocabulary, and where they are in it."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sieve = np.zeros(1 << 16, bool)
+    sieve[vocabulary & 0xFFFF] = True
+    maybe = np.flatnonzero(sieve[hashes & 0xFFFF])
+    at = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
+    same = vocabulary[at] == hashes[maybe]
+    return maybe[same], at[same]
 
-def vocabulary(packed: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Mask of the features that speak for a toxic text."""
-    seen = np.zeros((2, DIMS))
-    for x, k in zip(packed, y, strict=True):
-        seen[int(k), np.unique(x)] += 1
-    n = np.bincount(y, minlength=2)[:2]
-    odds = np.log((seen[1] + 0.5) / (n[1] - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n[0] - seen[0] + 0.5))
-    both, share = seen.sum(0), n[1] / n.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (seen[1] * np.log(seen[1] / (both * share)) + np.where(seen[0] > 0, seen[0] * np.log(seen[0] / (both * (1 - share))), 0))
-    return (odds >= LEAST_LOG_ODDS) & (ratio >= LEAST_RATIO)
+
+def vocabulary(packed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURES) -> np.ndarray:
+    """Sorted hashes of the features that speak for a toxic text, by sequential covering.
+
+    The feature that tells most is taken, its tokens are set aside, and toxic rows
+    that have it count for less from then on. So what merely stands beside known
+    evidence, in copies of one text above all, gathers no weight of its own.
+    """
+    every, place = np.unique(np.concatenate([*packed, np.zeros(0, np.int32)]), return_inverse=True)
+    ends = np.cumsum([len(x) for x in packed])[:-1]
+    tokens = [x.reshape(-1, 1 + len(STEMS)) for x in np.split(place, ends)]
+    order, doc = np.argsort(place, kind="stable"), np.repeat(np.arange(len(packed)), [len(x) for x in packed])
+    by_feature = np.searchsorted(place[order], np.arange(len(every) + 1))
+    cover = np.ones(len(y))
+    seen = np.zeros((2, len(every)))
+    for t, k in zip(tokens, y, strict=True):
+        seen[int(k), np.unique(t)] += 1
+    n = np.bincount(y, minlength=2)[:2].astype(float)
+    chosen = np.zeros(len(every), bool)
+    for _ in range(most):
+        odds = np.log((seen[1] + 0.5) / (n[1] - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n[0] - seen[0] + 0.5))
+        both, share = seen.sum(0), n[1] / n.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(seen[1] > 0, seen[1] * np.log(seen[1] / (both * share)), 0) + np.where(seen[0] > 0, seen[0] * np.log(seen[0] / (both * (1 - share))), 0))
+        ratio[odds < LEAST_LOG_ODDS] = 0
+        best = int(ratio.argmax())
+        if ratio[best] < LEAST_RATIO:
+            break
+        chosen[best] = True
+        for i in np.unique(doc[order[by_feature[best] : by_feature[best + 1]]]):
+            t = tokens[i]
+            has = (t == best).any(1)
+            if has.any():
+                k = int(y[i])
+                seen[k, np.unique(t)] -= cover[i]
+                if k:
+                    n[1] -= cover[i]
+                    cover[i] = 1 / (1 + 1 / cover[i])
+                    n[1] += cover[i]
+                tokens[i] = t[~has]
+                seen[k, np.unique(tokens[i])] += cover[i]
+        np.maximum(seen, 0, out=seen)
+    return every[chosen].astype(np.int64)
 
 
 def grades(hits: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,29 +175,26 @@ def fit_ordinal(x: linear.Sparse, grade: np.ndarray, columns: int, rounds: int =
     return w, gap[0] + np.concatenate([[0.0], np.cumsum(np.exp(gap[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = linear.PER_CLASS) -> Ordinal:
-    """Fit on at most ``per_class`` toxic and as many other labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Ordinal:
+    """Fit on a bounded number of other and of toxic labelled rows.
 
     Without toxic rows or without evidence nothing is toxic.
     """
     _, y, packed = linear.extract(linear.labelled(docs, labels, "toxic", per_class), features)
-    chosen = vocabulary(packed, y) if len(y) and len(np.unique(y)) == 2 else np.zeros(DIMS, bool)
-    columns = np.flatnonzero(chosen)
+    columns = vocabulary(packed, y) if len(np.unique(y)) == 2 else np.zeros(0, np.int64)
     if not len(columns):
-        return Ordinal(np.zeros(DIMS, np.float32), np.full(GRADES, 20.0))
-    place = np.full(DIMS, -1)
-    place[columns] = np.arange(len(columns))
-    hits = [place[x][chosen[x]] for x in packed]
+        return Ordinal(columns, np.zeros(0), 0.0, 20.0 + np.arange(GRADES))
+    hits = [known(columns, x)[1] for x in packed]
     tokens = np.array([len(x) for x in packed]) / (1 + len(STEMS))
     counted = [np.unique(x, return_counts=True) for x in hits]
     row = np.repeat(np.arange(len(y)), [len(i) for i, _ in counted])
     value = np.concatenate([k for _, k in counted]) / np.sqrt(np.maximum(tokens, 1) / 100)[row]
-    x = linear.Sparse(row, np.concatenate([i for i, _ in counted]), value, len(y))
+    some = np.flatnonzero([len(h) for h in hits])  # rows with any evidence: one more column
+    row, value = np.concatenate([row, some]), np.concatenate([value, np.ones(len(some))])
+    x = linear.Sparse(row, np.concatenate([*(i for i, _ in counted), np.full(len(some), len(columns))]).astype(int), value, len(y))
     density = 100 * np.array([len(h) for h in hits]) / np.maximum(tokens, 1)
-    w, thresholds = fit_ordinal(x, grades(density, y), len(columns))
-    weights = np.zeros(DIMS, np.float32)
-    weights[columns] = w
-    return Ordinal(weights, thresholds)
+    w, thresholds = fit_ordinal(x, grades(density, y), len(columns) + 1)
+    return Ordinal(columns, np.maximum(w[:-1], 1e-3), float(w[-1]), thresholds)
 
 
 def score(docs: DataFrame, model: Ordinal, reject_from: float = REJECT_FROM) -> DataFrame:
