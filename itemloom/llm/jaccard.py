@@ -12,10 +12,10 @@ single elements. A set just above an octave also emits in the octave below, wher
 the smaller partner is. So every similar pair shares a signature.
 
 Equal sets are one node from the start. Signatures travel as packed arrays by hash
-bucket; documents that share one are first compared with one leader each, verified
-on their whole sets, and joined to components. What then still meets in a bucket
-but lies in different components is compared pairwise behind two exact bounds
-(size and parity sketch), so no link is lost and no group is paired out.
+bucket; documents that share one are compared in rounds with one leader each, verified
+on their whole sets, and joined to components. What then still meets in a run but lies
+in different components is compared pairwise behind exact bounds (size and parity
+sketches), so no link between components is lost and no group is paired out.
 """
 
 from __future__ import annotations
@@ -38,9 +38,13 @@ SKETCH_BITS = 64 * SKETCH_LONGS
 SKETCH = [f"p{i}" for i in range(SKETCH_LONGS)]
 #: Packed signatures held by a task before it hands them on.
 FLUSH_BYTES = 48 << 20
+#: Most document ids that are broadcast to pick the texts to verify (12 MB).
+BROADCAST_IDS = 500_000
+#: Rounds of comparing each node with one leader, before all open pairs are.
+ROUNDS = 3
 #: The finest cut: parts this small hold single elements.
 FINEST = 63
-_INDEX_SCHEMA = "doc_id long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH)
+_INDEX_SCHEMA = "doc_id long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH) + ", wide binary"
 
 
 def similar(shared: Column | np.ndarray, a: Column | np.ndarray, b: Column | np.ndarray):
@@ -67,14 +71,39 @@ def _sketches(sh: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(rows, SKETCH_LONGS)
 
 
+def _wide_sketch(s: np.ndarray) -> bytes | None:
+    """The same with a cell for each element or more, for sets that would fill the short one."""
+    if len(s) <= SKETCH_BITS:
+        return None
+    cells = 1 << (len(s) - 1).bit_length()
+    odd = (np.bincount((s & U64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+def _wide_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their wide sketches don't rule out; the longer one is folded to the shorter."""
+    for batch in batches:
+        keep = []
+        sizes = batch.column(2).to_numpy()
+        for total, x, y in zip(sizes, batch.column(3), batch.column(4), strict=True):
+            if not (x.is_valid and y.is_valid):
+                keep.append(True)
+                continue
+            p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            n = min(len(p), len(q))
+            p, q = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (p, q))
+            keep.append(7 * int(np.bitwise_count(p ^ q).sum()) <= total)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in bytescan.chunks(batch.column(1)):
             sh, offsets = bytescan.shingle_sets(c, SHINGLE_WORDS)
             sketch = _sketches(sh, offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(c.first, c.rows), pa.array(np.diff(offsets)), pa.array(_set_id(sh, offsets).view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_LONGS))],
-                names=["doc_id", "n_shingles", "node", *SKETCH],
+                [batch.column(0).slice(c.first, c.rows), pa.array(np.diff(offsets)), pa.array(_set_id(sh, offsets).view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_LONGS)), pa.array([_wide_sketch(sh[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
+                names=["doc_id", "n_shingles", "node", *SKETCH, "wide"],
             )
 
 
@@ -139,11 +168,7 @@ def _packed_signatures(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _runs(table: pa.Table) -> pa.Table:
-    """The distinct lists of two or more nodes that share a signature of this bucket.
-
-    Each has a leader, picked by a hash of the signature, so that another node
-    leads each time; ``members`` has all nodes, the leader first.
-    """
+    """The distinct lists of two or more nodes that share a signature of this bucket."""
     packed = b"".join(table.column("packed").to_pylist())
     rows = np.frombuffer(packed, U64).reshape(-1, 2)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
@@ -156,12 +181,10 @@ def _runs(table: pa.Table) -> pa.Table:
     for a, n in zip(first[lengths > 1], lengths[lengths > 1], strict=True):
         nodes = rows[a : a + n, 1]
         run = int(bytescan.mix(np.array([np.add.reduce(bytescan.mix(nodes))], U64)).view(np.int64)[0])
-        if run in seen:
-            continue
-        seen.add(run)
-        lead = int(np.argmin(bytescan.mix(nodes ^ rows[a, 0])))
-        run_ids.append(run)
-        members.append(np.concatenate([nodes[lead : lead + 1], nodes[:lead], nodes[lead + 1 :]]).view(np.int64))
+        if run not in seen:
+            seen.add(run)
+            run_ids.append(run)
+            members.append(np.ascontiguousarray(nodes).view(np.int64))
     return pa.table({"run": pa.array(run_ids, pa.int64()), "members": pa.array(members, pa.list_(pa.int64()))})
 
 
@@ -172,14 +195,23 @@ def _sketch_bound(a: str, b: str) -> Column:
     return (4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (7 * differing <= na + nb)
 
 
+def _not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by their wide sketches."""
+    wide = nodes.select("node", "n_shingles", "wide")
+    joined = pairs.join(wide.alias("s"), F.col("a") == F.col("s.node")).join(wide.alias("t"), F.col("b") == F.col("t.node"))
+    return joined.select("a", "b", (F.col("s.n_shingles") + F.col("t.n_shingles")).alias("total"), F.col("s.wide").alias("x"), F.col("t.wide").alias("y")).mapInArrow(_wide_bound, "a long, b long")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed sets of texts that are the node they are expected to be."""
     for batch in batches:
         for c in bytescan.chunks(batch.column(0)):
             sh, offsets = bytescan.shingle_sets(c, SHINGLE_WORDS)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(_set_id(sh, offsets).view(np.int64)), pa.array([sh[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
                 names=["node", "elements"],
             )
+            yield out.filter(pa.array(out.column(0).to_numpy() == batch.column(1).slice(c.first, c.rows).to_numpy()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +227,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar."""
-    pairs = materialize(pairs, "pairs")
+    """The pairs (a, b) of nodes whose whole sets are similar.
+
+    Only the texts of one document for each node are read again. Their ids are
+    broadcast up to BROADCAST_IDS of them; beyond that both sides shuffle.
+    """
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-    ids = wanted.join(nodes, F.col("w") == F.col("node")).select(F.col("rep").alias("r"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("r"), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "node long, elements binary").dropDuplicates(["node"])
-    sets = materialize(sets.join(wanted, F.col("node") == F.col("w"), "left_semi"), "sets")
+    ids = materialize(wanted.join(nodes, F.col("w") == F.col("node")).select(F.col("rep").alias("r"), "w"), "wanted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(ids, F.col("doc_id") == F.col("r")).select("text", "w")
+    sets = materialize(texts.mapInArrow(_sets, "node long, elements binary"), "sets")
     left, right = sets.select(F.col("node").alias("x"), F.col("elements").alias("ea")), sets.select(F.col("node").alias("y"), F.col("elements").alias("eb"))
     joined = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "ea", "eb")
-    return materialize(joined.mapInArrow(_verified, "a long, b long"), "links")
+    return materialize(joined.mapInArrow(_verified, "a long, b long").distinct(), "links")
+
+
+def _open(met: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members (run, m, c) of the runs that span components, with their components as they are now."""
+    if found is not None:
+        label = found.select(F.col("node").alias("m"), "component")
+        met = met.join(label, "m", "left").select("run", "m", F.coalesce("component", "m").alias("c"))
+    spans = met.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("run")
+    return materialize(met.join(spans, "run", "left_semi"), "open-members")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -223,32 +267,59 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     index = materialize(docs.mapInArrow(_index, _INDEX_SCHEMA), "index")
     filled = index.filter("n_shingles > 0")
-    node_columns = [F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *(F.first(p).alias(p) for p in SKETCH)]
+    node_columns = [F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *(F.first(p).alias(p) for p in SKETCH), F.first("wide").alias("wide")]
     nodes = materialize(filled.groupBy("node").agg(*node_columns), "nodes")
     buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("text").mapInArrow(_packed_signatures(buckets), "bucket int, packed binary")
     runs = materialize(packed.groupBy("bucket").applyInArrow(_runs, "run long, members array<long>").dropDuplicates(["run"]), "runs")
 
-    led = runs.select(F.col("members")[0].alias("lead"), F.explode(F.slice("members", 2, F.size("members"))).alias("other"))
-    star = led.select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b")).distinct()
-    star = star.join(nodes.alias("s"), F.col("a") == F.col("s.node")).join(nodes.alias("t"), F.col("b") == F.col("t.node")).filter(_sketch_bound("s", "t")).select("a", "b")
-    links = _verify(docs, nodes, star)
-    found = materialize(components(links), "components")
-
-    # Runs in which nodes of different components still meet, beyond pairs: those were compared.
-    met = runs.filter(F.size("members") > 2).select("run", F.explode("members").alias("m"))
-    met = met.join(found, F.col("m") == F.col("node"), "left").select("run", "m", F.coalesce("component", "m").alias("c"))
-    open_runs = met.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select(F.col("run").alias("open"))
-    rest = met.join(open_runs, F.col("run") == F.col("open"), "left_semi").join(nodes, F.col("m") == F.col("node")).select("run", "m", "c", "n_shingles", *SKETCH)
-    rest = materialize(rest, "open-runs")
+    # Rounds: each node meets the leader of one of its runs, both picked by hashes that
+    # change with the round, so groups soon are one component and their runs closed.
+    met = runs.select("run", F.explode("members").alias("m"), F.col("m").alias("c"))
+    links, tested, found = None, None, None
+    for k in range(ROUNDS):
+        met = _open(met, found)
+        lead = met.groupBy("run").agg(F.min_by(F.struct("m", "c"), F.xxhash64("m", "run", F.lit(k))).alias("lead"))
+        other = met.join(lead, "run").filter("c != lead.c")
+        pairs = other.groupBy("m").agg(F.min_by("lead.m", F.xxhash64("run", "m", F.lit(k))).alias("o")).select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct()
+        bounded = pairs.join(nodes.alias("s"), F.col("a") == F.col("s.node")).join(nodes.alias("t"), F.col("b") == F.col("t.node")).filter(_sketch_bound("s", "t")).select("a", "b")
+        pairs = materialize(_not_ruled_out(bounded, nodes), "round-pairs")
+        if pairs.isEmpty():
+            continue
+        new = _verify(docs, nodes, pairs)
+        links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
+        found = materialize(components(links), "components")
+
+    # Whatever still meets across components is compared, pair by pair behind the bounds.
+    met = _open(met, found).join(nodes, F.col("m") == F.col("node")).select("run", "m", "c", "n_shingles", *SKETCH)
+    met = materialize(met, "open-runs")
     meet = (F.col("s.run") == F.col("t.run")) & (F.col("s.m") < F.col("t.m")) & (F.col("s.c") != F.col("t.c")) & _sketch_bound("s", "t")
-    late = rest.alias("s").join(rest.alias("t"), meet).select(F.col("s.m").alias("a"), F.col("t.m").alias("b")).distinct()
-    late = materialize(late.join(star, ["a", "b"], "left_anti"), "late-pairs")
+    late = met.alias("s").join(met.alias("t"), meet).select(F.col("s.m").alias("a"), F.col("t.m").alias("b")).distinct()
+    late = late.join(tested, ["a", "b"], "left_anti") if tested is not None else late
+    late = materialize(_not_ruled_out(late, nodes), "late-pairs")
     if not late.isEmpty():
-        more = _verify(docs, nodes, late)
-        found = materialize(components(links.union(more)), "components")
+        new = _verify(docs, nodes, late)
+        found = materialize(components(new if links is None else links.union(new)), "components")
+    if found is None:
+        found = spark.createDataFrame([], "node long, component long")
 
     named = found.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_node = nodes.select(F.col("node").alias("k"), "rep").join(found, F.col("k") == F.col("node"), "left").join(least, "component", "left").select("k", F.coalesce("component_id", "rep").alias("component_id"))
     return index.join(by_node, (F.col("node") == F.col("k")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those that have a similar one of lesser doc_id in their component.
+
+    All columns stay as they are. Rows that share a doc_id stay if one of them does;
+    equal rows of one doc_id and text become one. Wordless texts all stay.
+    """
+    found = materialize(similar_documents(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")), "found")
+    by_id = materialize(found.groupBy("doc_id").agg(F.max("own").alias("own"), F.count("*").alias("n")), "by-id")
+    kept = docs.join(by_id.filter("NOT own").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    twice = by_id.filter("own AND n > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
