@@ -23,24 +23,29 @@ from itemloom.session import materialize
 MIN_TEXTS = 10
 LEADING = 3
 LEAST_CONSTANT = 0.7
+_DROPS = "_line_places_to_drop"
 VARIABLE = "<*>"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: doc_id, text_id, place, line, leaf and line_id."""
-    text_id = F.xxhash64("text", F.length("text"))
-    cut = docs.filter(F.col("text").isNotNull()).select("doc_id", text_id.alias("text_id"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    cut = cut.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("tokens", _tokens(F.col("line")))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
-    return cut.select("doc_id", "text_id", "place", "line", leaf.alias("leaf"), F.xxhash64("tokens", F.size("tokens")).alias("line_id"))
+    """One row for each line with a word: doc_id, text_id, place, masked line, leaf and line_id."""
+    text = F.col("text")
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20|\x20\n|\n\x20|^\x20|\x20$"), F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?<![^\n])\x20|\x20(?![^\n])", "")).otherwise(text)
+    # Masked inside the generator, so that each line is masked once for all its keys.
+    cut = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64("text", F.length("text")).alias("text_id"), F.posexplode(F.transform(F.split(plain, "\n", -1), _masked)).alias("place", "line"))
+    leaf = F.xxhash64(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))), F.substring_index("line", " ", LEADING))
+    return cut.filter("line != ''").select("doc_id", "text_id", "place", "line", leaf.alias("leaf"), F.xxhash64("line", F.length("line")).alias("line_id"))
 
 
-def _tokens(line: Column) -> Column:
-    """The words of a line that has one, those with a digit generalised."""
-    words = F.split(F.regexp_replace(line, rf"^{SPACE}|{SPACE}$", ""), SPACE, -1)
-    masked = F.transform(words, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(words)
+def _masked(line: Column) -> Column:
+    """A line of words with single spaces between, those with a digit generalised.
+
+    A line that would be variable for more than half of its words stays as it is.
+    """
+    masked = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", VARIABLE)
+    variable = (F.length(masked) - F.length(F.replace(masked, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    n_words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(line.rlike("[0-9]"), F.when(2 * variable <= n_words, masked).otherwise(line)).otherwise(line)
 
 
 def templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -57,7 +62,7 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     # The tokens of one document's copy of each line in a busy leaf.
     wanted = by_line.select(F.col("line_id").alias("l"), F.col("doc_id").alias("d"), "texts")
     tokens = lines.select("doc_id", "leaf", "line_id", "line").join(wanted, (F.col("line_id") == F.col("l")) & (F.col("doc_id") == F.col("d")))
-    tokens = tokens.dropDuplicates(["line_id"]).select("leaf", "line_id", "texts", F.posexplode(_tokens(F.col("line"))).alias("at", "token"))
+    tokens = tokens.dropDuplicates(["line_id"]).select("leaf", "line_id", "texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
     tokens = materialize(tokens, "leaf-tokens")
     token_id = F.xxhash64("token")
     support = tokens.groupBy("leaf", "at", token_id.alias("token_id")).agg(F.sum("texts").alias("support"))
@@ -93,13 +98,36 @@ def _kept(text: Column, drops: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The documents without the lines of recurring templates, with n_dropped.
 
-    ``docs`` has doc_id and text; all columns are kept, text changed. Lines are cut
+    ``docs`` has doc_id and text; all columns are kept, text changed, and one that
+    is called n_dropped replaced. Lines are cut
     at ``\\n``; those without a word neither count nor go. A null or empty text
     stays. A text all of whose lines go becomes empty; no document goes. Rows that
     share a doc_id count as one document and lose the same line places. Ties of the
     first document don't arise: it is the least doc_id.
     """
-    drops = dropped_lines(docs, min_texts).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("place").alias("drops"))
-    joined = docs.join(drops, F.col("doc_id") == F.col("d"), "left")
-    rest = [c for c in docs.columns if c != "text"]
-    return joined.select(*rest, _kept(F.col("text"), F.col("drops")).alias("text"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped")).select(*docs.columns, "n_dropped")
+    drops = dropped_lines(docs, min_texts).groupBy("doc_id").agg(F.collect_set("place").alias(_DROPS))
+    joined = docs.join(drops, "doc_id", "left")
+    own = [_kept(F.col("text"), F.col(_DROPS)).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_dropped"]
+    return joined.select(*own, F.coalesce(F.array_size(_DROPS), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+#: The line dedup with the default parameters as SQL: counts and digests by document.
+ORACLE_SQL = r"""
+WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT doc_id, text, place, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM split),
+masked AS (SELECT doc_id, text, place, CASE WHEN 2 * len(regexp_extract_all(line, '[^ ]*[0-9][^ ]*')) <= len(string_split(line, ' ')) THEN regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE line END AS line FROM plain WHERE line != ''),
+lines AS (SELECT *, len(string_split(line, ' ')) || ' ' || array_to_string(list_slice(string_split(line, ' '), 1, 3), ' ') AS leaf FROM masked),
+busy AS (SELECT leaf FROM lines GROUP BY 1 HAVING count(DISTINCT text) >= 10),
+by_line AS (SELECT leaf, line, count(DISTINCT text) AS texts FROM lines WHERE leaf IN (SELECT leaf FROM busy) GROUP BY 1, 2),
+tokens AS (SELECT leaf, line, texts, unnest(string_split(line, ' ')) AS token, unnest(range(0, len(string_split(line, ' ')))) AS spot FROM by_line),
+marked AS (SELECT *, sum(texts) OVER (PARTITION BY leaf, spot, token) >= 10 AND token != '<*>' AS constant FROM tokens),
+shapes AS (SELECT leaf, line, count(*) AS n, count(*) FILTER (WHERE constant) AS n_constant, string_agg(CASE WHEN constant THEN spot || '=' || token END, ' ' ORDER BY spot) AS shape FROM marked GROUP BY 1, 2),
+named AS (SELECT line, CASE WHEN n_constant >= 0.7 * n THEN 'T' || leaf || chr(10) || coalesce(shape, '') ELSE 'L' || line END AS template FROM shapes),
+recurring AS (SELECT template, min(doc_id) AS keeper FROM lines JOIN named USING (line) GROUP BY 1 HAVING count(DISTINCT text) >= 10),
+drops AS (SELECT DISTINCT doc_id, place FROM lines JOIN named USING (line) JOIN recurring USING (template) WHERE doc_id != keeper),
+kept AS (SELECT s.doc_id, string_agg(s.raw, chr(10) ORDER BY s.place) AS text FROM split s WHERE NOT EXISTS (SELECT 1 FROM drops d WHERE d.doc_id = s.doc_id AND d.place = s.place) GROUP BY 1),
+counts AS (SELECT doc_id, count(*) AS n FROM drops GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_dropped, sha256(CASE WHEN d.text IS NULL THEN '' ELSE coalesce(k.text, '') END) AS text_sha256,
+  CASE WHEN d.text IS NOT NULL THEN CAST(length(coalesce(k.text, '')) AS BIGINT) END AS n_chars_left
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
