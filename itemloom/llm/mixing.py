@@ -118,6 +118,20 @@ def _join_sources(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(by_source) if small else by_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
+def _sized(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Per source: source_size, target, whole repeats and threshold."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return _boundaries(sized, materialize(source_targets(sizes, weights, most), "mixing-targets"))
+
+
+def _repeats(most: int) -> Column:
+    return F.least(F.col("repeats") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.lit(most)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -128,10 +142,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     of its own. Rows that share a doc_id share the hash and so the decision. A
     source without words has target 0. An empty table gives an empty result.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")), "mixing-sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, most), "mixing-targets")
-    edges = _boundaries(sized, targets)
-    joined = _join_sources(sized, edges)
-    repeats = F.least(F.col("repeats") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.lit(most)).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    sized = materialize(_sized(docs, "doc_id"), "mixing-sizes")
+    joined = _join_sources(sized, _plan(sized, weights, most))
+    return joined.select("doc_id", "size", "source_size", "target", _repeats(most).alias("repeats"), (F.col("size") * _repeats(most)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The documents of which the mix takes words: doc_id, text, source, size, target, repeats, taken."""
+    sized = materialize(_sized(docs, "doc_id"), "mixing-sizes")
+    joined = _join_sources(_sized(docs, "doc_id", "text"), _plan(sized, weights, most))
+    out = joined.select("doc_id", "text", "source", "size", "target", _repeats(most).alias("repeats"), (F.col("size") * _repeats(most)).alias("taken"))
+    return out.filter("taken > 0")
+
+
+#: The mix with the default weights as SQL.
+ORACLE_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+named AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight, 3 * source_size AS cap FROM sizes),
+ordered AS (SELECT *, row_number() OVER w AS place, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before
+  FROM named WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source IS NULL, source)),
+levelled AS (SELECT *, CAST(total - cap_before AS DOUBLE) / CAST(weights - weight_before AS DOUBLE) AS level FROM ordered),
+free AS (SELECT min(place) AS first_free, arg_min(level, place) AS shared FROM levelled WHERE cap > level * weight),
+targets AS (SELECT source, source_size, CASE WHEN first_free IS NULL OR place < first_free THEN CAST(cap AS DOUBLE) ELSE shared * weight END AS target FROM levelled CROSS JOIN free),
+planned AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM targets),
+by_hash AS (SELECT source, h, sum(size) AS words FROM sized GROUP BY 1, 2),
+running AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM by_hash),
+edges AS (SELECT p.source, p.source_size, p.target, p.repeats, max(r.h) AS edge, arg_max(p.target - p.repeats * p.source_size - r.below, r.h) AS rest, arg_max(r.words, r.h) AS words
+  FROM planned p JOIN running r ON r.source IS NOT DISTINCT FROM p.source WHERE r.below <= p.target - p.repeats * p.source_size GROUP BY ALL)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, e.source_size, e.target,
+  CAST(d.size * least(3, e.repeats + CASE WHEN d.h < e.edge + CASE WHEN e.words - e.rest < e.rest THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized d JOIN edges e ON e.source IS NOT DISTINCT FROM d.source
+"""

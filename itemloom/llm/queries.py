@@ -24,6 +24,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+ORACLE_SQL["op5_source_mix"] = mixing.ORACLE_SQL
+
+
 @_query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
@@ -45,6 +48,9 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_left"))
 
 
+ORACLE_SQL["op8_line_templates"] = lines.ORACLE_SQL
+
+
 @_query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
