@@ -11,7 +11,7 @@ from itemloom.operators import hierarchy as H
 from itemloom.operators import resolve as R
 from itemloom.operators import updates as U
 from itemloom.operators import vocab as V
-from itemloom.plans.bindings import Model, model_sql
+from itemloom.plans.bindings import MODEL, Model, model_sql
 from itemloom.plans.core_queries import CHAIN
 from itemloom.plans.registry import query
 from itemloom.session import materialize, shared_dir
@@ -70,8 +70,6 @@ walk AS (SELECT id, id AS root_id, CAST(0 AS BIGINT) AS depth FROM chosen WHERE
 
 
 def _recursive(body: str) -> str:
-    from itemloom.plans.bindings import MODEL
-
     return "WITH " + body.replace("{m}", MODEL.strip())
 
 
