@@ -163,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
                     extra[taker][int(r)] = label
     (tw, tb, ts, to, t_odds), (mw, mb, ms, mo, m_odds) = fitted
     joint = linear.fit_logistic(_pair(t_odds[judge], m_odds[judge]), y[judge], 2, epochs=200, rate=0.3, decay=1e-3)
-    return CoTrained(linear.Calibrated(tw.astype(np.float32), tb, ts, to), mw, mb, ms, mo, (float(joint[0][0]), float(joint[0][1]), float(joint[1])))
+    # The joint odds are moved from the sample's class shares to those of all labelled rows.
+    shift = linear.prior_shift(labels, "quality", y[seen])
+    return CoTrained(linear.Calibrated(tw.astype(np.float32), tb, ts, to), mw, mb, ms, mo, (float(joint[0][0]), float(joint[0][1]), float(joint[1]) + shift))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> linear.Sparse:

@@ -83,6 +83,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tu
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
 
 
+def prior_shift(labels: DataFrame, label: str, y: np.ndarray) -> float:
+    """What to add to log odds fitted on a sample with its own class shares.
+
+    The difference between the log odds of the classes among all labelled rows and
+    in the sample; 0 where a class is missing.
+    """
+    known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("k"))
+    n = known.agg(F.count_if(F.col("k") == 1).alias("one"), F.count_if(F.col("k") == 0).alias("zero")).first()
+    one, zero = int((y == 1).sum()), int((y == 0).sum())
+    return float(np.log(n.one / n.zero) - np.log(one / zero)) if min(n.one, n.zero, one, zero) else 0.0
+
+
 def extract(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Ids, labels and feature indices of a bounded sample, in id order."""
 
@@ -190,8 +202,11 @@ class Calibrated:
         return sigmoid(self.slope * self.margins(index, offsets) + self.offset)
 
 
-def fit_calibrated(ids: np.ndarray, y: np.ndarray, x: Sparse) -> Calibrated:
-    """Fit on four fifths of the rows, calibrate on the other fifth (by id hash)."""
+def fit_calibrated(ids: np.ndarray, y: np.ndarray, x: Sparse, shift: float = 0.0) -> Calibrated:
+    """Fit on four fifths of the rows, calibrate on the other fifth (by id hash).
+
+    ``shift`` takes the log odds from the sample's class shares to the corpus's.
+    """
     held = bytescan.mix(ids.astype(np.int64).view(U64)) % U64(5) == U64(0)
     if held.sum() < 20 or len(np.unique(y[held])) < 2:
         held = np.zeros(len(y), bool)
@@ -199,4 +214,4 @@ def fit_calibrated(ids: np.ndarray, y: np.ndarray, x: Sparse) -> Calibrated:
     margin = x.margins(w) + bias
     judge = held if held.any() else np.ones(len(y), bool)
     slope, offset = fit_platt(margin[judge], y[judge])
-    return Calibrated(w.astype(np.float32), bias, slope, offset)
+    return Calibrated(w.astype(np.float32), bias, slope, offset + shift)
