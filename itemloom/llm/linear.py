@@ -21,6 +21,8 @@ from itemloom.llm import bytescan
 DIMS = 1 << 18
 #: Rows of each class that a model learns from, at most.
 PER_CLASS = 2000
+#: Longer texts aren't learned from, so that the sample's features have a bound too.
+MOST_CHARS = 20_000
 #: Features are shares of the text times this.
 SCALE = 30.0
 U64 = np.uint64
@@ -74,13 +76,14 @@ class Sparse:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int] = PER_CLASS) -> DataFrame:
     """At most ``per_class`` rows of each class (or of 0 and 1), by a hash of the id: doc_id, text, label.
 
-    An id with several labels takes the greatest; null labels and texts are left out.
+    An id with several labels takes the greatest; null labels, null texts and texts
+    over MOST_CHARS are left out.
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit(label))
     most = (per_class, per_class) if isinstance(per_class, int) else per_class
     chosen = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(most[k]) for k in (0, 1)]
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
+    return docs.filter(F.length("text") <= MOST_CHARS).select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
 
 
 def prior_shift(labels: DataFrame, label: str, y: np.ndarray) -> float:

@@ -25,7 +25,7 @@ from itemloom.llm import bytescan, linear
 HASH_BITS = 31
 #: Labelled rows to learn from, at most: not toxic and toxic. Many clean ones, so that
 #: words that only happen to be in toxic texts are seen in clean ones too.
-PER_CLASS = (5000, 1200)
+PER_CLASS = (3000, 900)
 STEMS = (4, 5, 6)
 GRADES = 3
 #: A document is rejected from this probability of grade 1 or more on.
@@ -99,10 +99,12 @@ def vocabulary(packed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURE
     evidence, in copies of one text above all, gathers no weight of its own.
     """
     every, place = np.unique(np.concatenate([*packed, np.zeros(0, np.int32)]), return_inverse=True)
+    place = place.astype(np.int32)
     ends = np.cumsum([len(x) for x in packed])[:-1]
     tokens = [x.reshape(-1, 1 + len(STEMS)) for x in np.split(place, ends)]
-    order, doc = np.argsort(place, kind="stable"), np.repeat(np.arange(len(packed)), [len(x) for x in packed])
-    by_feature = np.searchsorted(place[order], np.arange(len(every) + 1))
+    order = np.argsort(place, kind="stable").astype(np.int32)
+    doc = np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) for x in packed])
+    by_feature = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(every)))])
     cover = np.ones(len(y))
     seen = np.zeros((2, len(every)))
     for t, k in zip(tokens, y, strict=True):
