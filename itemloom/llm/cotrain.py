@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
     n = max(docs.count(), 1)
     share = F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < int(min(1.0, pool / n) * (1 << 30))
     rows = _columns(docs).filter(F.length("text") <= linear.MOST_CHARS)
-    known = rows.join(chosen, "doc_id")
+    known = rows.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
     others = rows.filter(share).join(labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(-1))
     ids, y, texts, metas = _extract(known.unionByName(others))
     x_text, x_meta = linear.sparse(texts), _meta_matrix(metas)

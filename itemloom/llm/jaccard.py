@@ -42,6 +42,8 @@ FLUSH_BYTES = 48 << 20
 BROADCAST_IDS = 500_000
 #: Rounds of comparing each node with one leader, before all open pairs are.
 ROUNDS = 3
+#: Nodes that one block of a pairwise comparison holds, about.
+BLOCK_NODES = 4096
 #: The finest cut: parts this small hold single elements.
 FINEST = 63
 _INDEX_SCHEMA = "doc_id long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH) + ", wide binary"
@@ -251,6 +253,50 @@ def _open(met: DataFrame, found: DataFrame | None) -> DataFrame:
     return materialize(met.join(spans, "run", "left_semi"), "open-members")
 
 
+_PAIR = "a long, b long"
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of different components, between two blocks or in one, that the bounds leave.
+
+    Rows are in order of size; each slice of them only meets the sizes it may be
+    similar to.
+    """
+    order = np.argsort(table.column("n_shingles").to_numpy(), kind="stable")
+    m, c, size = (table.column(x).to_numpy()[order] for x in ("m", "c", "n_shingles"))
+    block, lo, hi = table.column("block").to_numpy()[order], table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sketch = np.stack([table.column(p).to_numpy()[order] for p in SKETCH], 1).view(U64)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(left), 64):
+        x = left[k : k + 64]
+        y = right[np.searchsorted(4 * size[right], 3 * size[x[0]]) : np.searchsorted(3 * size[right], 4 * size[x[-1]], "right")]
+        differing = np.bitwise_count(sketch[x][:, None, :] ^ sketch[y][None, :, :]).sum(2, dtype=np.int32)
+        keep = (7 * differing <= size[x][:, None] + size[y][None, :]) & (c[x][:, None] != c[y][None, :])
+        if lo == hi:
+            keep &= x[:, None] < y[None, :]
+        i, j = np.nonzero(keep)
+        out.append(np.stack([np.minimum(m[x[i]], m[y[j]]), np.maximum(m[x[i]], m[y[j]])], 1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+
+def _open_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that the bounds leave, of nodes in different components that share an open run.
+
+    Runs with the same node of least hash form one group, so that nodes which meet in
+    many runs are compared once. A group goes in blocks of BLOCK_NODES nodes or so, and
+    each pair of blocks is a task's work of bounded size.
+    """
+    lead = met.groupBy("run").agg(F.min_by("m", F.xxhash64("m")).alias("lead"))
+    grouped = materialize(met.join(lead, "run").select("lead", "m", "c").distinct(), "groups")
+    counts = grouped.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    placed = grouped.join(counts, "lead").withColumn("block", F.pmod(F.xxhash64("m", "lead"), F.col("blocks")).cast("int"))
+    dealt = placed.join(nodes.select(F.col("node").alias("m"), "n_shingles", *SKETCH), "m").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "m", "c", "n_shingles", *SKETCH)
+    return dealt.groupBy("lead", "lo", "hi").applyInArrow(_compare_blocks, _PAIR).distinct()
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Components of documents linked by shingle-set similarity of 3/4 or more.
 
@@ -290,11 +336,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
         found = materialize(components(links), "components")
 
-    # Whatever still meets across components is compared, pair by pair behind the bounds.
-    met = _open(met, found).join(nodes, F.col("m") == F.col("node")).select("run", "m", "c", "n_shingles", *SKETCH)
-    met = materialize(met, "open-runs")
-    meet = (F.col("s.run") == F.col("t.run")) & (F.col("s.m") < F.col("t.m")) & (F.col("s.c") != F.col("t.c")) & _sketch_bound("s", "t")
-    late = met.alias("s").join(met.alias("t"), meet).select(F.col("s.m").alias("a"), F.col("t.m").alias("b")).distinct()
+    # Whatever still meets across components is compared in blocks behind the bounds.
+    late = _open_pairs(_open(met, found), nodes)
     late = late.join(tested, ["a", "b"], "left_anti") if tested is not None else late
     late = materialize(_not_ruled_out(late, nodes), "late-pairs")
     if not late.isEmpty():
