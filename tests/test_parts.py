@@ -17,7 +17,7 @@ def test_queries_without_the_optional_part(monkeypatch):
     real = entry.importlib.import_module
 
     def missing(name, package=None):
-        if name in ("itemloom.llm", "corpus_pipeline"):
+        if name in ("itemloom.llm.queries", "corpus_pipeline"):
             raise ModuleNotFoundError(name=name)
         return real(name, package)
 
