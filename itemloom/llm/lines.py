@@ -31,8 +31,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     """One row for each line with a word: doc_id, text_id, place, masked line, leaf and line_id."""
     text = F.col("text")
     plain = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20|\x20\n|\n\x20|^\x20|\x20$"), F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?<![^\n])\x20|\x20(?![^\n])", "")).otherwise(text)
-    # Masked inside the generator, so that each line is masked once for all its keys.
-    cut = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64("text", F.length("text")).alias("text_id"), F.posexplode(F.transform(F.split(plain, "\n", -1), _masked)).alias("place", "line"))
+    # Masked inside the generator, so that each line is masked once for all its keys; outer,
+    # as Spark would else cut the text a second time to see whether there are lines.
+    cut = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64("text", F.length("text")).alias("text_id"), F.posexplode_outer(F.transform(F.split(plain, "\n", -1), _masked)).alias("place", "line"))
     leaf = F.xxhash64(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))), F.substring_index("line", " ", LEADING))
     return cut.filter("line != ''").select("doc_id", "text_id", "place", "line", leaf.alias("leaf"), F.xxhash64("line", F.length("line")).alias("line_id"))
 
