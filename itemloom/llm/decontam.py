@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Tokens are lower-case runs of letters and digits. Every SEED_WORDS-gram of a
 benchmark item is a seed; a document with one of them is cut to the windows around
-its seeds. A window is aligned with the item if it has a seed that is rare in the
-corpus, or several of the item's seeds; so a passage copied into very many
-documents, whose seeds are no longer rare, is still found. The score is that of
-the best local alignment over that of the whole item with itself.
+its seeds. Every window is aligned with the item, however frequent its seeds are,
+unless the tokens that both hold are too few for the score; equal windows of a task
+are aligned once. The score is that of the best local alignment over that of the
+whole item with itself.
 
 Items come in blocks of bounded size, one pass over the documents for each block.
 """
@@ -25,15 +25,12 @@ from itemloom.llm import bytescan
 from itemloom.session import materialize
 
 SEED_WORDS = 4
-#: A seed found in a larger share of all documents, and in more than so many, isn't rare.
-RARE_SHARE = 0.001
-RARE_DOCS = 20.0
-#: A window with this many of an item's seeds needs none that is rare.
-ENOUGH_SEEDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Characters of benchmark text that one block holds, at most (or one item).
 BLOCK_CHARS = 20_000_000
+#: Bytes of aligned windows that a task remembers, about, before it begins anew.
+REMEMBERED_BYTES = 16 << 20
 U64 = np.uint64
 
 
@@ -89,11 +86,21 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block.of(got["item_id"].to_numpy(), got["text"].combine_chunks())
 
 
-def seed_windows(docs: DataFrame, block: Block) -> DataFrame:
+def most_matches(item: np.ndarray, window: np.ndarray) -> int:
+    """Tokens of ``item`` that an alignment can match, at most: those that both hold."""
+    tokens, counts = np.unique(item, return_counts=True)
+    at = np.searchsorted(tokens, window)
+    at[at == len(tokens)] = 0
+    found = np.bincount(at[tokens[at] == window], minlength=len(tokens))
+    return int(np.minimum(found, counts).sum())
+
+
+def seed_windows(docs: DataFrame, block: Block, least_score: float = LEAST_SCORE) -> DataFrame:
     """Windows of documents around the seeds of an item: one row for each.
 
     Seeds of an item that lie within its length of each other share a window, which
-    reaches the item's length beyond them.
+    reaches the item's length beyond them. Windows that can't reach ``least_score``
+    with all tokens that they share with the item are left out.
     """
     lengths = np.array([len(t) for t in block.tokens])
 
@@ -108,10 +115,10 @@ def seed_windows(docs: DataFrame, block: Block) -> DataFrame:
                     continue
                 count = block.item_offsets[seed + 1] - block.item_offsets[seed]
                 item = block.items[np.repeat(block.item_offsets[seed] + count - np.cumsum(count), count) + np.arange(count.sum())]
-                at, seed = np.repeat(first[place], count), np.repeat(block.seeds[seed], count)
+                at = np.repeat(first[place], count)
                 row = np.searchsorted(w.offsets, at, "right") - 1
                 order = np.lexsort((at, item, row))
-                row, item, at, seed = row[order], item[order], at[order], seed[order]
+                row, item, at = row[order], item[order], at[order]
                 new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > lengths[item[1:]])
                 starts = np.flatnonzero(new)
@@ -119,14 +126,15 @@ def seed_windows(docs: DataFrame, block: Block) -> DataFrame:
                     r, i = row[a], item[a]
                     lo = max(at[a] - lengths[i], w.offsets[r])
                     hi = min(at[b - 1] + SEED_WORDS + lengths[i], w.offsets[r + 1])
-                    rows.append((ids[c.first + int(r)].as_py(), int(i), np.unique(seed[a:b]).view(np.int64).tolist(), int(lo - w.offsets[r]), h[lo:hi].tobytes()))
+                    if most_matches(block.tokens[i], h[lo:hi]) / lengths[i] >= least_score:
+                        rows.append((ids[c.first + int(r)].as_py(), int(i), int(lo - w.offsets[r]), h[lo:hi].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()), strict=True)],
-                    names=["doc_id", "item", "seeds", "first_word", "tokens"],
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                    names=["doc_id", "item", "first_word", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item int, seeds array<long>, first_word long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item int, first_word long, tokens binary")
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -158,17 +166,24 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 def _aligned(windows: DataFrame, block: Block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        size = 0
         for batch in batches:
             rows = []
             for doc, i, first, packed in zip(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3), strict=True):
-                item = block.tokens[i]
-                score, a, b = align(item, np.frombuffer(packed.as_buffer(), U64))
+                item, key = block.tokens[i], (int(i), packed.as_py())
+                if key not in known:
+                    if size > REMEMBERED_BYTES:
+                        known, size = {}, 0
+                    known[key] = align(item, np.frombuffer(key[1], U64))
+                    size += len(key[1])
+                score, a, b = known[key]
                 rows.append((doc.as_py(), int(block.ids[i]), score / (MATCH * len(item)), int(first + a), int(first + b)))
             if rows:
                 columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return windows.select("doc_id", "item", "first_word", "tokens").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+    return windows.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -181,18 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     that repeat a doc_id are one document; its best window counts, the first one
     among equals. Without documents or items the result is empty.
     """
-    total = None
     out = []
     for block in blocks(benchmark):
-        windows = materialize(seed_windows(docs, block), "windows")
-        total = docs.count() if total is None else total
-        seeds = windows.select("doc_id", F.explode("seeds").alias("seed")).distinct()
-        rare = seeds.groupBy("seed").agg(F.count("*").alias("docs")).filter(F.col("docs") <= F.lit(max(RARE_DOCS, RARE_SHARE * total))).select("seed")
-        few = windows.filter(F.size("seeds") < ENOUGH_SEEDS)
-        key = ["doc_id", "item", "first_word"]
-        with_rare = few.select(*key, F.explode("seeds").alias("seed")).join(rare, "seed", "left_semi").select(*key).distinct()
-        chosen = windows.filter(F.size("seeds") >= ENOUGH_SEEDS).unionByName(few.join(with_rare, key, "left_semi"))
-        scored = _aligned(chosen, block).filter(F.col("score") >= least_score)
+        scored = _aligned(seed_windows(docs, block, least_score), block).filter(F.col("score") >= least_score)
         best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word")))
         out.append(materialize(scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*"), "aligned"))
     if not out:

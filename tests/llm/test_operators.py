@@ -431,6 +431,27 @@ def test_contaminated_documents(spark):
 # --- 8: line dedup
 
 
+def test_frequent_seeds_are_aligned(spark):
+    """Short items and edited copies hold few seeds; in many documents these are frequent."""
+    rng = random.Random(9)
+    item = [f"b{k}" for k in range(15)]
+    edited = [t if k not in (4, 9, 12) else f"z{k}" for k, t in enumerate(item)]
+    short = ["q1", "q2", "q3", "q4"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    rows = [(k, " ".join([*words(rng, 20), *(edited if k % 2 else short), *words(rng, 20)])) for k in range(80)]
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, 1 if k % 2 else 2): (0.7, 20, 35) if k % 2 else (1.0, 20, 24) for k in range(80)}
+
+
+def test_matches_are_bounded_by_shared_tokens():
+    rng = random.Random(10)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(6) for _ in range(rng.randrange(1, 25))], np.uint64) for _ in range(2))
+        most = decontam.most_matches(a, b)
+        assert most == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        assert decontam.align(a, b)[0] <= decontam.MATCH * most
+
+
 def test_recurring_templates_go(spark):
     rng = random.Random(14)
     rows = []
