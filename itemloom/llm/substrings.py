@@ -33,8 +33,6 @@ LENGTH = MIN_WORDS - SHINGLE_WORDS + 1  # of the shortest passage, in shingles
 HASHES = 6
 #: Of HASHES functions, so many must agree on a passage.
 LEAST_AGREEING = 2
-#: Unmatched shingles inside a passage, at most, before it is cut in two.
-MOST_GAP = 20
 #: Regions to compare begin and end at multiples of this, so that pairs share them.
 GRID = 64
 FLUSH_BYTES = 48 << 20
@@ -239,7 +237,7 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
         widest = max(gap_x.max(initial=0), gap_y.max(initial=0))
         s, t = np.unique(x[a:b]), np.unique(y[c:d])
         shared = len(np.intersect1d(s, t, assume_unique=True))
-        if widest <= MOST_GAP and similar(shared, len(s), len(t)):
+        if similar(shared, len(s), len(t)):
             out.append((a, b, c, d))
         elif widest <= 1:
             continue

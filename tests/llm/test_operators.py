@@ -204,6 +204,20 @@ def test_repeated_passages_are_covered(docs):
     assert not set(alone) & set(got)
 
 
+def test_passages_with_a_wide_gap(spark):
+    """45 shared words, 16 inserted ones and 45 shared words: 82 of 106 shingles, though neither half is a passage."""
+    rng = random.Random(21)
+    rows, n = [], 30
+    for k in range(n):
+        base = [f"{k}p{j}" for j in range(90)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:45], *words(rng, 16), *base[45:]]))]
+    shingles = [substrings.sequences(next(bytescan.chunks(pa.array([t]))))[0] for _, t in rows[:2]]
+    assert substrings.passages(*shingles) == [(0, 86, 0, 102)]
+    got = {r.doc_id: (r.first_word, r.end_word, r.first_doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= n  # two hash functions of six must agree, so not all pairs meet
+    assert all(found == (0, 106 if i % 2 else 90, i - i % 2) for i, found in got.items())
+
+
 # --- 5: mixing
 
 
