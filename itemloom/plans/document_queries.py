@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.operators import blocks as B
@@ -180,14 +180,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.size("topics").cast("bigint").alias("n_topics"))
 
 
+#: Items (or topics of a chapter) in one bank file, about.
+PER_FILE = 5000
+
+
+def _bank_documents(m: Model) -> DataFrame:
+    """The bank as documents of bounded size: a subject's items by hash, and a chapter's topics by hash."""
+    _, items = bank.export_bank(m.subjects, m.chapters, m.topics, m.items, m.links)
+
+    def bucket(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // PER_FILE)))).alias("bucket")
+
+    questions = items.groupBy("subject_name", bucket("id", m.items.count())).agg(F.collect_list(F.struct(*[c for c in items.columns if c != "id"])).alias("questions"))
+    chapters = m.chapters.select(F.col("id").alias("chapter_id"), F.col("subject_id"), F.col("name").alias("chapter"))
+    topics = m.topics.select("chapter_id", F.col("id").alias("topic_id"), F.col("name").alias("topic"))
+    named = m.subjects.select(F.col("id").alias("subject_id"), "name").join(chapters, "subject_id", "left").join(topics, "chapter_id", "left")
+    parts = named.groupBy("name", "chapter", bucket("topic_id", m.topics.count())).agg(F.collect_list(F.when(F.col("topic_id").isNotNull(), F.struct(F.col("topic").alias("name")))).alias("topics"))
+    tree = parts.select(F.array(F.struct("name", F.when(F.col("chapter").isNotNull(), F.array(F.struct(F.col("chapter").alias("name"), "topics"))).alias("chapters"))).alias("subjects"))
+    return tree.unionByName(questions.select("questions"), allowMissingColumns=True)
+
+
 @query("o03_read_bank", model_sql(f"SELECT s.name AS subject_name, count(*) AS n_entries, CAST(sum(n) AS BIGINT) AS n_topics FROM (SELECT i.id, i.subject_id, count(t.id) AS n FROM items i LEFT JOIN (SELECT l.item_id, t.id, c.subject_id FROM links l JOIN {CHAIN} ON l.topic_id = t.id) t ON t.item_id = i.id AND t.subject_id = i.subject_id GROUP BY 1, 2) x JOIN subjects s ON s.id = x.subject_id GROUP BY 1"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    tree, items = bank.export_bank(m.subjects, m.chapters, m.topics, m.items, m.links)
     path = f"{shared_dir(spark)}/bank-{uuid.uuid4().hex}"
-    dealt = items.groupBy("subject_name").agg(F.collect_list(F.struct(*[c for c in items.columns if c != "id"])).alias("questions"))
-    chapters = tree.select("name", F.transform("chapters", lambda c: F.struct(c["name"].alias("name"), F.transform(c["topics"], lambda t: F.struct(t["name"].alias("name"))).alias("topics"))).alias("chapters"))
-    dealt.join(chapters, F.col("name") == F.col("subject_name")).select(F.array(F.struct("name", "chapters")).alias("subjects"), "questions").write.option("maxRecordsPerFile", 1).json(path)
+    _bank_documents(m).write.option("maxRecordsPerFile", 1).json(path)
     _, found = bank.read_bank(spark, path)
     return found.groupBy("subject_name").agg(F.count("*").alias("n_entries"), F.sum(F.size("topics")).cast("bigint").alias("n_topics"))
 

@@ -30,12 +30,18 @@ def _named(subjects: DataFrame, chapters: DataFrame, topics: DataFrame) -> DataF
 
 
 def _syllabus(m: Model) -> DataFrame:
-    """The tables as a syllabus document."""
-    t = m.topics.select("chapter_id", "sort_order", "name")
-    by_chapter = t.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]).alias("names"))
-    by_subject = m.chapters.join(by_chapter, F.col("id") == F.col("chapter_id")).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("sort_order", "name", "names"))).alias("c"))
-    named = m.subjects.join(by_subject, F.col("id") == F.col("subject_id")).select("name", F.map_from_entries(F.transform("c", lambda x: F.struct(x["name"], x["names"]))).alias("chapters"))
-    return named.agg(F.map_from_entries(F.collect_list(F.struct("name", "chapters"))).alias("subjects")).select(F.lit("test").alias("exam_type"), "subjects")
+    """The tables as syllabus documents, one for each chapter.
+
+    The subject's chapters before it are named without topics, so that it keeps its place.
+    """
+    t = m.topics.select("chapter_id", F.struct("sort_order", "name").alias("t"))
+    by_chapter = t.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["name"]).alias("names"))
+    own = m.chapters.select("id", "subject_id", F.struct("sort_order", "name").alias("own"))
+    listed = own.join(t.select("chapter_id"), F.col("id") == F.col("chapter_id"), "left_semi").groupBy("subject_id").agg(F.array_sort(F.collect_list("own")).alias("all"))
+    named = own.join(by_chapter, F.col("id") == F.col("chapter_id")).join(listed, "subject_id").join(m.subjects.select(F.col("id").alias("subject_id"), "name"), "subject_id")
+    before = F.transform(F.filter("all", lambda x: x < F.col("own")), lambda x: F.struct(x["name"].alias("key"), F.array().cast("array<string>").alias("value")))
+    chapters = F.map_from_entries(F.concat(before, F.array(F.struct(F.col("own.name").alias("key"), F.col("names").alias("value")))))
+    return named.select(F.lit("test").alias("exam_type"), F.create_map("name", chapters).alias("subjects"))
 
 
 _LOADED = f"SELECT t.name AS topic, c.name AS chapter, s.name AS subject, CAST(row_number() OVER (PARTITION BY c.id ORDER BY t.sort_order) - 1 AS INTEGER) AS sort_order FROM {CHAIN}"
@@ -45,7 +51,7 @@ _LOADED = f"SELECT t.name AS topic, c.name AS chapter, s.name AS subject, CAST(r
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     path = f"{shared_dir(spark)}/syllabus-{uuid.uuid4().hex}"
-    _syllabus(m).write.json(path)
+    _syllabus(m).write.option("maxRecordsPerFile", 1).json(path)
     loaded = H.load_syllabus(H.read_syllabus(spark, path), *_empty(spark))
     again = H.load_syllabus(H.read_syllabus(spark, path), *(materialize(t, "hierarchy") for t in loaded))  # adds nothing
     return _named(*again).select("topic", "chapter", "subject", F.col("sort_order").cast("int").alias("sort_order"))
