@@ -1,11 +1,69 @@
-"""Connected components of an edge table by alternating stars."""
+"""Groups cut to tasks of bounded size, and connected components of an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.session import materialize
+from itemloom.session import discard, materialize
+
+
+def deal(members: DataFrame, block: int, total: int) -> DataFrame:
+    """``members`` with what groups them to tasks of bounded size: cell, lo, hi, block.
+
+    ``members`` has group and id (long) and weight; ``total`` is the sum of weights.
+    A group of at most ``block`` weight goes whole, some to a cell. A heavier one
+    is cut in blocks by a hash of the id, and each pair of blocks is a cell of its own,
+    so that every two members meet in a task that holds two blocks at most.
+    """
+    cells = max(16, -(-int(total) // block))
+    heavy = members.groupBy("group").agg(F.sum("weight").alias("all")).filter(F.col("all") > block)
+    heavy = heavy.select(F.col("group").alias("heavy"), F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    placed = members.join(heavy, F.col("group") == F.col("heavy"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", "group"), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("group"), F.lit(cells))).otherwise(F.xxhash64("group"))
+    return dealt.select(*(F.col(c) for c in members.columns), "block", cell.alias("cell"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+
+
+def groups_of(table: pa.Table, order: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each group of a dealt task: its rows by ``order``, and which of them meet which (masks)."""
+    group, block = table.column("group").to_numpy(), table.column("block").to_numpy()
+    rows = np.lexsort((table.column(order).to_numpy(), group))
+    cuts = np.flatnonzero(np.concatenate([[True], group[rows[1:]] != group[rows[:-1]], [True]]))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = rows[a:b]
+        yield own, block[own] == lo, block[own] == hi
+
+
+def forest(size: np.ndarray, left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the near pairs of left and right rows.
+
+    Rows are in order of ``size``; only sizes within 4 to 3 meet. ``near(x, ys)``
+    tells which rows ``ys`` (ascending) are near to ``x``. Rows already in one tree aren't
+    compared again, so that there are fewer edges than rows.
+    """
+    edges, label = [], np.arange(len(size))
+    others = np.flatnonzero(right)
+    begin = np.searchsorted(4 * size[others], 3 * size)
+    if (left == right).all():  # within one block each pair is looked at from its first row
+        begin = np.maximum(begin, np.searchsorted(others, np.arange(len(size)), "right"))
+    end = np.searchsorted(3 * size[others], 4 * size, "right")
+    for x in np.flatnonzero(left):
+        ys = others[begin[x] : end[x]]
+        ys = ys[label[ys] != label[x]]
+        if not len(ys):
+            continue
+        ys = ys[near(x, ys)]
+        if len(ys):
+            trees, first = np.unique(label[ys], return_index=True)
+            edges += [(x, int(y)) for y in ys[first]]
+            label[np.isin(label, trees)] = label[x]
+    return edges
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,13 +90,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns a and b, in either order; loops are ignored. The
     rounds grow with the logarithm of the longest chain; each is written to the
-    shared folder, so a lost executor costs one round at most.
+    shared folder, so a lost executor costs one round at most. The result is such a
+    table too.
     """
     now = materialize(edges.select("a", "b").filter("a != b").distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()
         if not state.n or state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        before = state
+            named = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+            out = materialize(named, "components")
+            discard(now)
+            return out
+        before, last = state, now
         now = materialize(_small_star(_large_star(now)), "edges")
+        discard(last)

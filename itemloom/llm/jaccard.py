@@ -6,16 +6,19 @@ elements that the set has in it. Two sets that differ in H elements spoil at mos
 H parts, and Jaccard similarity of 3/4 bounds H by a third of the smaller set and
 so of either. A set with more than k = size // 3 filled parts therefore shares a
 filled part with each similar set, and as at most H of its parts are spoiled, the
-k + 1 least signatures of both sides already have one in common. Sets with fewer
-filled parts (small ones) add the signatures of the next finer cuts, down to
-single elements. A set just above an octave also emits in the octave below, where
-the smaller partner is. So every similar pair shares a signature.
-
-Equal sets are one node from the start. Signatures travel as packed arrays by hash
-bucket; documents that share one are compared in rounds with one leader each, verified
-on their whole sets, and joined to components. What then still meets in a run but lies
-in different components is compared pairwise behind exact bounds (size and parity
-sketches), so no link between components is lost and no group is paired out.
+k + 1 first signatures of both sides, in any order common to all sets, already have
+one in common. Sets with fewer filled parts (small ones) add the signatures of the
+next finer cuts, down to single elements. A set just above an octave also emits in
+the octave below, where the smaller partner is. So every similar pair shares a
+signature. Parts made of shingles that many documents hold come last in the order,
+so that passages which many documents share make few documents meet.
+
+Equal sets are one node from the start. Nodes that share a signature form a group
+around the signature's leading node; groups are dealt to tasks of bounded size. A first
+pass compares parity sketches, which rule out most pairs and never a similar one, and
+gives a spanning forest of what is left. A second one deals the trees of that forest out with their
+whole sets, verifies, and gives a spanning forest of the links. So both passes compare all
+pairs that may be similar, but neither gives more rows than it has nodes.
 """
 
 from __future__ import annotations
@@ -28,25 +31,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan
-from itemloom.llm.graph import components
-from itemloom.session import materialize
+from itemloom.llm.graph import components, deal, forest, groups_of
+from itemloom.session import discard, materialize
 
 SHINGLE_WORDS = 5
 U64 = np.uint64
-SKETCH_LONGS = 16
-SKETCH_BITS = 64 * SKETCH_LONGS
-SKETCH = [f"p{i}" for i in range(SKETCH_LONGS)]
 #: Packed signatures held by a task before it hands them on.
-FLUSH_BYTES = 48 << 20
-#: Most document ids that are broadcast to pick the texts to verify (12 MB).
+FLUSH_BYTES = 24 << 20
+#: Bytes of signatures, of sketches and of sets that one task compares, about.
+BUCKET_BYTES, SKETCH_BYTES, SET_BYTES = 8 << 20, 2 << 20, 8 << 20
+#: What a sketch weighs besides its bytes, so that a task's pairs have a bound too.
+NODE_WEIGHT = 512
+#: Most document ids that are broadcast to pick the texts to verify: 24 bytes each, 12 MB.
 BROADCAST_IDS = 500_000
-#: Rounds of comparing each node with one leader, before all open pairs are.
-ROUNDS = 3
-#: Nodes that one block of a pairwise comparison holds, about.
-BLOCK_NODES = 4096
 #: The finest cut: parts this small hold single elements.
 FINEST = 63
-_INDEX_SCHEMA = "doc_id long, n_shingles long, node long, " + ", ".join(f"{p} long" for p in SKETCH) + ", wide binary"
+#: Documents are counted by this many low bits of their shingles.
+SLOT_BITS = 16
+_SLOT = U64((1 << SLOT_BITS) - 1)
+#: Standard deviations above the mean from which a slot is frequent: within a task, then in all.
+TASK_DEVIATIONS, DEVIATIONS = 4, 6
+_INDEX_SCHEMA = "doc_id long, n_shingles long, node long, sketch binary, slot int, excess double"
 
 
 def similar(shared: Column | np.ndarray, a: Column | np.ndarray, b: Column | np.ndarray):
@@ -61,63 +66,60 @@ def _set_id(sh: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return bytescan.mix((total[offsets[1:]] - total[offsets[:-1]]) ^ np.diff(offsets).astype(U64))
 
 
-def _sketches(sh: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of SKETCH_BITS hash cells, packed.
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of two to four hash cells an element, packed.
 
     Each element that only one of two sets has flips one cell at most, so the
-    cells in which two sketches differ never outnumber the differing elements.
+    cells in which two sketches differ never outnumber the differing elements. The
+    same holds when a sketch is folded to half its cells.
     """
-    rows = len(offsets) - 1
-    cell = (sh & U64(SKETCH_BITS - 1)).astype(np.int64) + np.repeat(np.arange(rows), np.diff(offsets)) * SKETCH_BITS
-    odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(rows, SKETCH_LONGS)
-
-
-def _wide_sketch(s: np.ndarray) -> bytes | None:
-    """The same with a cell for each element or more, for sets that would fill the short one."""
-    if len(s) <= SKETCH_BITS:
-        return None
-    cells = 1 << (len(s) - 1).bit_length()
+    cells = max(64, 2 << (len(s) - 1).bit_length())
     odd = (np.bincount((s & U64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
 
 
-def _wide_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that their wide sketches don't rule out; the longer one is folded to the shorter."""
-    for batch in batches:
-        keep = []
-        sizes = batch.column(2).to_numpy()
-        for total, x, y in zip(sizes, batch.column(3), batch.column(4), strict=True):
-            if not (x.is_valid and y.is_valid):
-                keep.append(True)
-                continue
-            p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-            n = min(len(p), len(q))
-            p, q = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (p, q))
-            keep.append(7 * int(np.bitwise_count(p ^ q).sum()) <= total)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and one for each slot of shingles that many of the task's texts hold."""
+    counted, total = np.zeros(1 << SLOT_BITS, np.int64), 0
     for batch in batches:
         for c in bytescan.chunks(batch.column(1)):
             sh, offsets = bytescan.shingle_sets(c, SHINGLE_WORDS)
-            sketch = _sketches(sh, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(c.first, c.rows), pa.array(np.diff(offsets)), pa.array(_set_id(sh, offsets).view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_LONGS)), pa.array([_wide_sketch(sh[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
-                names=["doc_id", "n_shingles", "node", *SKETCH, "wide"],
-            )
+            counted += np.bincount((sh & _SLOT).astype(np.int64), minlength=len(counted))
+            total += len(sh)
+            sketches = [sketch(sh[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = [batch.column(0).slice(c.first, c.rows), pa.array(np.diff(offsets)), pa.array(_set_id(sh, offsets).view(np.int64)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(c.rows, pa.int32()), pa.nulls(c.rows, pa.float64())], names=_INDEX_NAMES)
+    mean = total / len(counted)
+    often = np.flatnonzero(counted > mean + TASK_DEVIATIONS * np.sqrt(mean) + 2)
+    nothing = [pa.nulls(len(often), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([*nothing, pa.array(often.astype(np.int32)), pa.array(counted[often] - mean)], names=_INDEX_NAMES)
+
+
+_INDEX_NAMES = [x.split()[0] for x in _INDEX_SCHEMA.split(", ")]
 
 
-def _part_signatures(s: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of the filled parts of one sorted set, least first."""
+def _frequent_slots(index: DataFrame, shingles: int) -> np.ndarray:
+    """Which slots hold shingles of many documents: 2 ** SLOT_BITS bits.
+
+    Only the order of signatures depends on it, so it needn't be exact.
+    """
+    mean = shingles / (1 << SLOT_BITS)
+    found = index.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("excess").alias("excess")).filter(F.col("excess") > DEVIATIONS * np.sqrt(mean))
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[found.select("slot").toArrow()["slot"].to_numpy()] = True
+    return out
+
+
+def _part_signatures(s: np.ndarray, band: int, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of the filled parts of one sorted set in order: parts of frequent shingles only come last."""
     part = s >> U64(64 - band) if band else np.zeros(len(s), U64)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     total = np.add.reduceat(bytescan.mix(s), first)
-    return np.sort(bytescan.mix(total + U64(band)))
+    often = np.logical_and.reduceat(frequent[(s & _SLOT).astype(np.int64)], first)
+    return np.sort(bytescan.mix(total + U64(band)) >> U64(1) | often.astype(U64) << U64(63))
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """All signatures that one sorted, non-empty set emits."""
     n = len(s)
     most = n // 3
@@ -128,7 +130,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
     out = []
     for band in bands:
         while True:
-            found = _part_signatures(s, band)
+            found = _part_signatures(s, band, frequent)
             out.append(found[: most + 1])
             if len(found) > most or band >= FINEST:
                 break
@@ -136,72 +138,136 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
-def _packed_signatures(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)  # (signature, node) pairs
-        bucket = rows[:, 0] % U64(buckets)
-        rows = rows[np.argsort(bucket, kind="stable")]
-        cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1, dtype=U64))
+def _packed_signatures(buckets: int, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def flush(held: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        signature = np.concatenate(held)
+        node = np.repeat(np.array(nodes, U64), [len(x) for x in held])
+        bucket = signature % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
+        signature, node = signature[order], node[order]
         filled = np.flatnonzero(np.diff(cuts))
-        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary())], names=["bucket", "packed"])
+        packed = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()) for x in (signature, node)]
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *packed], names=["bucket", "signatures", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        nodes: list[int] = []
         size, seen = 0, set()
         for batch in batches:
             for c in bytescan.chunks(batch.column(0)):
                 sh, offsets = bytescan.shingle_sets(c, SHINGLE_WORDS)
-                for node, a, b in zip(_set_id(sh, offsets), offsets[:-1], offsets[1:], strict=True):
+                for node, a, b in zip(_set_id(sh, offsets).tolist(), offsets[:-1], offsets[1:], strict=True):
                     if a == b or node in seen:  # copies within the task emit once
                         continue
                     seen.add(node)
-                    sig = signatures(sh[a:b])
-                    rows = np.empty((len(sig), 2), U64)
-                    rows[:, 0], rows[:, 1] = sig, node
-                    held.append(rows)
-                    size += rows.nbytes
+                    held.append(signatures(sh[a:b], frequent))
+                    nodes.append(node)
+                    size += 16 * len(held[-1])
                 if size > FLUSH_BYTES:
-                    yield from flush(held)
-                    held, size, seen = [], 0, set()
+                    yield from flush(held, nodes)
+                    held, nodes, size, seen = [], [], 0, set()
         if held:
-            yield from flush(held)
+            yield from flush(held, nodes)
 
     return run
 
 
-def _runs(table: pa.Table) -> pa.Table:
-    """The distinct lists of two or more nodes that share a signature of this bucket."""
-    packed = b"".join(table.column("packed").to_pylist())
-    rows = np.frombuffer(packed, U64).reshape(-1, 2)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    rows = rows[new]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-    lengths = np.diff(np.concatenate([first, [len(rows)]]))
-    seen, run_ids, members = set(), [], []
-    for a, n in zip(first[lengths > 1], lengths[lengths > 1], strict=True):
-        nodes = rows[a : a + n, 1]
-        run = int(bytescan.mix(np.array([np.add.reduce(bytescan.mix(nodes))], U64)).view(np.int64)[0])
-        if run not in seen:
-            seen.add(run)
-            run_ids.append(run)
-            members.append(np.ascontiguousarray(nodes).view(np.int64))
-    return pa.table({"run": pa.array(run_ids, pa.int64()), "members": pa.array(members, pa.list_(pa.int64()))})
-
-
-def _sketch_bound(a: str, b: str) -> Column:
-    """False only where the pair can't be similar: sizes, then differing cells."""
-    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differing = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in SKETCH), F.lit(0))
-    return (4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (7 * differing <= na + nb)
-
-
-def _not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be similar by their wide sketches."""
-    wide = nodes.select("node", "n_shingles", "wide")
-    joined = pairs.join(wide.alias("s"), F.col("a") == F.col("s.node")).join(wide.alias("t"), F.col("b") == F.col("t.node"))
-    return joined.select("a", "b", (F.col("s.n_shingles") + F.col("t.n_shingles")).alias("total"), F.col("s.wide").alias("x"), F.col("t.wide").alias("y")).mapInArrow(_wide_bound, "a long, b long")
+def _led(table: pa.Table) -> pa.Table:
+    """Nodes that share a signature of this bucket with others, with the signature's leader.
+
+    The leader is the node of least hash, so that nodes which share many signatures
+    mostly have one leader in all of them.
+    """
+    signature, node = (np.frombuffer(b"".join(table.column(x).to_pylist()), U64) for x in ("signatures", "nodes"))
+    order = np.lexsort((bytescan.mix(node), signature))
+    signature, node = signature[order], node[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
+    signature, node = signature[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+    length = np.diff(np.append(first, len(node)))
+    lead, met = np.repeat(node[first], length), np.repeat(length > 1, length)
+    lead, node = lead[met], node[met]
+    order = np.lexsort((node, lead))
+    lead, node = lead[order], node[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (node[1:] != node[:-1])
+    return pa.table({"group": pa.array(lead[new].view(np.int64)), "id": pa.array(node[new].view(np.int64))})
+
+
+_EDGE = "a long, b long"
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": pa.array(np.concatenate(a + none)), "b": pa.array(np.concatenate(b + none))})
+
+
+def _near_by_sketch(size: np.ndarray, sketches: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which rows a row may be similar to by the differing cells; rows are in order of size."""
+    width = np.array([len(x) for x in sketches])
+    own: dict[int, np.ndarray] = {}
+    folded: dict[int, np.ndarray] = {}
+    start = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    for w, at in start.items():
+        own[w] = np.frombuffer(b"".join(sketches[at : int(np.searchsorted(width, w, "right"))]), U64).reshape(-1, w // 8)
+        if w > 8:
+            folded[w] = own[w][:, : w // 16] ^ own[w][:, w // 16 :]
+
+    def near(x: int, ys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ys), bool)
+        w = int(width[x])
+        for v in np.unique(width[ys]).tolist():
+            a, b = np.searchsorted(width[ys], [v, v + 1])
+            least = min(v, w)
+            mine = (own if w == least else folded)[w][x - start[w]]
+            theirs = (own if v == least else folded)[v][ys[a:b] - start[v]]
+            differing = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+            out[a:b] = 7 * differing <= size[x] + size[ys[a:b]]
+        return out
+
+    return near
+
+
+def _near_sketches(table: pa.Table) -> pa.Table:
+    """A spanning forest of the pairs of each group that sizes and sketches don't rule out."""
+    ids, sizes, sketches = table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), table.column("sketch").to_pylist()
+    a, b = [], []
+    for rows, left, right in groups_of(table, "n_shingles"):
+        found = forest(sizes[rows], left, right, _near_by_sketch(sizes[rows], [sketches[r] for r in rows]))
+        if found:
+            pairs = ids[rows[np.array(found)]]
+            a.append(pairs[:, 0])
+            b.append(pairs[:, 1])
+    return _edges(a, b)
+
+
+def _similar_sets(table: pa.Table) -> pa.Table:
+    """A spanning forest of the pairs of each group whose whole sets are similar."""
+    ids, sizes, packed = table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), table.column("elements").to_pylist()
+    a, b = [], []
+    for rows, left, right in groups_of(table, "n_shingles"):
+        size = sizes[rows]
+        distinct, element = np.unique(np.frombuffer(b"".join(packed[r] for r in rows), U64), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        marked = np.zeros(len(distinct), bool)
+
+        def near(x: int, ys: np.ndarray, size=size, element=element, begin=begin, marked=marked) -> np.ndarray:
+            own = element[begin[x] : begin[x + 1]]
+            marked[own] = True
+            total = np.concatenate([[0], np.cumsum(size[ys])])
+            at = np.repeat(begin[ys] - total[:-1], size[ys]) + np.arange(total[-1])
+            shared = np.add.reduceat(marked[element[at]], total[:-1], dtype=np.int64)
+            marked[own] = False
+            return similar(shared, size[x], size[ys])
+
+        found = forest(size, left, right, near)
+        if found:
+            pairs = ids[rows[np.array(found)]]
+            a.append(pairs[:, 0])
+            b.append(pairs[:, 1])
+    return _edges(a, b)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,92 +275,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in bytescan.chunks(batch.column(0)):
             sh, offsets = bytescan.shingle_sets(c, SHINGLE_WORDS)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(_set_id(sh, offsets).view(np.int64)), pa.array([sh[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
-                names=["node", "elements"],
-            )
-            yield out.filter(pa.array(out.column(0).to_numpy() == batch.column(1).slice(c.first, c.rows).to_numpy()))
+            same = _set_id(sh, offsets).view(np.int64) == batch.column(1).slice(c.first, c.rows).to_numpy()
+            elements = [sh[a:b].tobytes() if ok else None for ok, a, b in zip(same, offsets[:-1], offsets[1:], strict=True)]
+            rest = batch.select(range(1, batch.num_columns)).slice(c.first, c.rows)
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(elements, pa.binary())], names=[*rest.schema.names, "elements"]).filter(pa.array(same))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both = np.concatenate([p, q])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(bool(similar(shared, len(p), len(q))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar.
+def _verified(docs: DataFrame, nodes: DataFrame, trees: DataFrame) -> DataFrame:
+    """Components of nodes by links within the trees (node, component) of what may be similar.
 
     Only the texts of one document for each node are read again. Their ids are
     broadcast up to BROADCAST_IDS of them; beyond that both sides shuffle.
     """
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-    ids = materialize(wanted.join(nodes, F.col("w") == F.col("node")).select(F.col("rep").alias("r"), "w"), "wanted")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, F.col("doc_id") == F.col("r")).select("text", "w")
-    sets = materialize(texts.mapInArrow(_sets, "node long, elements binary"), "sets")
-    left, right = sets.select(F.col("node").alias("x"), F.col("elements").alias("ea")), sets.select(F.col("node").alias("y"), F.col("elements").alias("eb"))
-    joined = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "ea", "eb")
-    return materialize(joined.mapInArrow(_verified, "a long, b long").distinct(), "links")
-
-
-def _open(met: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members (run, m, c) of the runs that span components, with their components as they are now."""
-    if found is not None:
-        label = found.select(F.col("node").alias("m"), "component")
-        met = met.join(label, "m", "left").select("run", "m", F.coalesce("component", "m").alias("c"))
-    spans = met.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("run")
-    return materialize(met.join(spans, "run", "left_semi"), "open-members")
-
-
-_PAIR = "a long, b long"
-
-
-def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of different components, between two blocks or in one, that the bounds leave.
-
-    Rows are in order of size; each slice of them only meets the sizes it may be
-    similar to.
-    """
-    order = np.argsort(table.column("n_shingles").to_numpy(), kind="stable")
-    m, c, size = (table.column(x).to_numpy()[order] for x in ("m", "c", "n_shingles"))
-    block, lo, hi = table.column("block").to_numpy()[order], table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    sketch = np.stack([table.column(p).to_numpy()[order] for p in SKETCH], 1).view(U64)
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    out = [np.zeros((0, 2), np.int64)]
-    for k in range(0, len(left), 64):
-        x = left[k : k + 64]
-        y = right[np.searchsorted(4 * size[right], 3 * size[x[0]]) : np.searchsorted(3 * size[right], 4 * size[x[-1]], "right")]
-        differing = np.bitwise_count(sketch[x][:, None, :] ^ sketch[y][None, :, :]).sum(2, dtype=np.int32)
-        keep = (7 * differing <= size[x][:, None] + size[y][None, :]) & (c[x][:, None] != c[y][None, :])
-        if lo == hi:
-            keep &= x[:, None] < y[None, :]
-        i, j = np.nonzero(keep)
-        out.append(np.stack([np.minimum(m[x[i]], m[y[j]]), np.maximum(m[x[i]], m[y[j]])], 1))
-    pairs = np.concatenate(out)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
-
-
-def _open_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that the bounds leave, of nodes in different components that share an open run.
-
-    Runs with the same node of least hash form one group, so that nodes which meet in
-    many runs are compared once. A group goes in blocks of BLOCK_NODES nodes or so, and
-    each pair of blocks is a task's work of bounded size.
-    """
-    lead = met.groupBy("run").agg(F.min_by("m", F.xxhash64("m")).alias("lead"))
-    grouped = materialize(met.join(lead, "run").select("lead", "m", "c").distinct(), "groups")
-    counts = grouped.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    placed = grouped.join(counts, "lead").withColumn("block", F.pmod(F.xxhash64("m", "lead"), F.col("blocks")).cast("int"))
-    dealt = placed.join(nodes.select(F.col("node").alias("m"), "n_shingles", *SKETCH), "m").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("lead", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "m", "c", "n_shingles", *SKETCH)
-    return dealt.groupBy("lead", "lo", "hi").applyInArrow(_compare_blocks, _PAIR).distinct()
+    wanted = trees.select(F.col("node").alias("id"), F.col("component").alias("group")).join(nodes.select(F.col("node").alias("id"), "rep", "n_shingles"), "id")
+    wanted = materialize(wanted.withColumn("weight", 8 * F.col("n_shingles")), "wanted")
+    n = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("weight"), F.lit(0)).alias("bytes")).first()
+    picked = wanted.select(F.col("rep").alias("r"), F.col("id").alias("w"))
+    texts = docs.join(F.broadcast(picked) if n.rows <= BROADCAST_IDS else picked, F.col("doc_id") == F.col("r")).select("text", "w")
+    sets = texts.mapInArrow(_sets, "w long, elements binary")
+    dealt = deal(wanted.select("id", "group", "n_shingles", "weight"), SET_BYTES, n.bytes).drop("weight")
+    tasks = dealt.join(sets, F.col("id") == F.col("w")).drop("w")
+    links = tasks.groupBy("cell", "lo", "hi").applyInArrow(_similar_sets, _EDGE)
+    found = components(links)
+    discard(wanted)
+    return found
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -307,48 +311,36 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Words are lower-cased over A-Z. A text of one to four words is one shingle,
     equal only to the same sequence. A null or wordless text has no shingles and
     its component is its own id. Rows that repeat a doc_id are separate documents
-    with that id. Ties can't arise: all comparisons are in whole numbers.
+    with that id; a null doc_id is passed over as a name of a component, unless all
+    its members have none. Ties can't arise: all comparisons are in whole numbers.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    index = materialize(docs.mapInArrow(_index, _INDEX_SCHEMA), "index")
-    filled = index.filter("n_shingles > 0")
-    node_columns = [F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *(F.first(p).alias(p) for p in SKETCH), F.first("wide").alias("wide")]
-    nodes = materialize(filled.groupBy("node").agg(*node_columns), "nodes")
-    buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.select("text").mapInArrow(_packed_signatures(buckets), "bucket int, packed binary")
-    runs = materialize(packed.groupBy("bucket").applyInArrow(_runs, "run long, members array<long>").dropDuplicates(["run"]), "runs")
-
-    # Rounds: each node meets the leader of one of its runs, both picked by hashes that
-    # change with the round, so groups soon are one component and their runs closed.
-    met = runs.select("run", F.explode("members").alias("m"), F.col("m").alias("c"))
-    links, tested, found = None, None, None
-    for k in range(ROUNDS):
-        met = _open(met, found)
-        lead = met.groupBy("run").agg(F.min_by(F.struct("m", "c"), F.xxhash64("m", "run", F.lit(k))).alias("lead"))
-        other = met.join(lead, "run").filter("c != lead.c")
-        pairs = other.groupBy("m").agg(F.min_by("lead.m", F.xxhash64("run", "m", F.lit(k))).alias("o")).select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct()
-        bounded = pairs.join(nodes.alias("s"), F.col("a") == F.col("s.node")).join(nodes.alias("t"), F.col("b") == F.col("t.node")).filter(_sketch_bound("s", "t")).select("a", "b")
-        pairs = materialize(_not_ruled_out(bounded, nodes), "round-pairs")
-        if pairs.isEmpty():
-            continue
-        new = _verify(docs, nodes, pairs)
-        links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
-        found = materialize(components(links), "components")
-
-    # Whatever still meets across components is compared in blocks behind the bounds.
-    late = _open_pairs(_open(met, found), nodes)
-    late = late.join(tested, ["a", "b"], "left_anti") if tested is not None else late
-    late = materialize(_not_ruled_out(late, nodes), "late-pairs")
-    if not late.isEmpty():
-        new = _verify(docs, nodes, late)
-        found = materialize(components(new if links is None else links.union(new)), "components")
-    if found is None:
-        found = spark.createDataFrame([], "node long, component long")
-
-    named = found.join(nodes.select("node", "rep"), "node")
+    found = materialize(docs.mapInArrow(_index, _INDEX_SCHEMA), "index")
+    index = found.filter("slot IS NULL").select("doc_id", "n_shingles", "node", "sketch")
+    nodes = index.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes, "nodes")
+    n = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    frequent = _frequent_slots(found, n.shingles)
+
+    # Nodes by shared signatures, 16 bytes for every second shingle or so.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n.shingles * 8 // BUCKET_BYTES)
+    packed = docs.select("text").mapInArrow(_packed_signatures(buckets, frequent), "bucket int, signatures binary, nodes binary")
+    led = packed.groupBy("bucket").applyInArrow(_led, "group long, id long").distinct()
+
+    # What sketches don't rule out, then what whole sets confirm.
+    met = led.join(nodes.select(F.col("node").alias("id"), "n_shingles", (F.length("sketch") + NODE_WEIGHT).alias("weight")), "id")
+    met = materialize(met, "met")
+    weight = met.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first().n
+    dealt = deal(met, SKETCH_BYTES, weight).drop("weight").join(nodes.select(F.col("node").alias("k"), "sketch"), F.col("id") == F.col("k")).drop("k")
+    trees = components(dealt.groupBy("cell", "lo", "hi").applyInArrow(_near_sketches, _EDGE))
+    discard(met)
+    linked = _verified(docs, nodes, trees)
+    discard(trees)
+
+    named = linked.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = nodes.select(F.col("node").alias("k"), "rep").join(found, F.col("k") == F.col("node"), "left").join(least, "component", "left").select("k", F.coalesce("component_id", "rep").alias("component_id"))
+    by_node = nodes.select(F.col("node").alias("k"), "rep").join(linked, F.col("k") == F.col("node"), "left").join(least, "component", "left").select("k", F.coalesce("component_id", "rep").alias("component_id"))
     return index.join(by_node, (F.col("node") == F.col("k")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -356,16 +348,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that have a similar one of lesser doc_id in their component.
 
     All columns stay as they are. Rows that share a doc_id stay if one of them does;
-    equal rows of one doc_id and text become one. Wordless texts all stay.
+    equal rows of one doc_id and text become one. Wordless texts all stay, and rows
+    without a doc_id, which can't be told apart.
     """
     found = materialize(similar_documents(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")), "found")
     by_id = materialize(found.groupBy("doc_id").agg(F.max("own").alias("own"), F.count("*").alias("n")), "by-id")
-    kept = docs.join(by_id.filter("NOT own").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    columns = quoted(docs)
+    kept = docs.join(by_id.filter("NOT own").select("doc_id"), "doc_id", "left_anti").select(*columns)
     twice = by_id.filter("own AND n > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+    once = kept.join(twice, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").select(*columns).union(once)
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 #: The components as SQL, by all pairs that share a shingle: for small tables.
