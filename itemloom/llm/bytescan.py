@@ -129,10 +129,12 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of each row's values."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """The sum of each row's values, which doesn't depend on the rows before it."""
+    out = np.zeros(len(offsets) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    filled = np.flatnonzero(np.diff(offsets))
+    if len(filled):
+        out[filled] = np.add.reduceat(values[: offsets[-1]], offsets[filled], dtype=out.dtype)
+    return out
 
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

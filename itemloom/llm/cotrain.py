@@ -2,12 +2,15 @@
 
 The text view sees hashed words and byte trigrams. The metadata view sees the
 page's record: source, language, length and layout measures, each in coarse steps.
-Both start from the labelled sample. In each round either view labels the pool's
-most certain documents for the other one. At the end both are calibrated on
-labelled rows held out from the start, a logistic model of their calibrated log odds
-joins them, and every document is scored in one pass.
-
-The labelled sample and the unlabelled pool are bounded; see PER_CLASS and POOL.
+Both start as naive Bayes models of a labelled sample. In each round every
+document of the table is scored by both views; those that one view is certain about are
+pseudo-labelled for the other, and Spark adds up their features by class. The sums
+and the sample's make the next models, whose weights are then fitted to the sample. At the
+end a logistic model of both calibrated log odds joins the views, and every document is
+scored in one pass.
+
+A quarter of the sample calibrates the views, another quarter fits the joint model, and
+half is learned from. The sample is bounded, see PER_CLASS; what is exchanged is not.
 """
 
 from __future__ import annotations
@@ -23,15 +26,13 @@ from pyspark.sql import functions as F
 from itemloom.llm import bytescan, linear
 
 PER_CLASS = 1500
-#: Unlabelled documents that the views may exchange, about.
-POOL = 3000
-ROUNDS = 3
-#: Pseudo-labels that a view gives in a round: of each class, at most.
-EXCHANGE = 150
+ROUNDS = 2
 #: Least probability of a pseudo-label.
 CERTAIN = 0.9
+#: Mass that each feature is given beside what is seen, in documents.
+SMOOTHING = 0.05
 KEEP_FROM = 0.5
-META_DIMS = 1 << 12
+META_DIMS, META_FEATURES = 1 << 12, 9
 SCHEMA = "doc_id long, p_text double, p_meta double, quality double, kept boolean"
 U64 = np.uint64
 
@@ -76,8 +77,8 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *own)
 
 
-def _extract(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Ids, labels (-1: none), text features and metadata features of a bounded sample."""
+def _extract(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, linear.Sparse, linear.Sparse]:
+    """Ids, labels, text shares and metadata features of a bounded sample, in id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,87 +86,139 @@ def _extract(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
             for c in bytescan.chunks(batch.column(1)):
                 rows = slice(c.first, c.first + c.rows)
                 index, offsets = linear.text_features(c)
-                packed = [index[a:b].astype(np.int32).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                meta = [m.astype(np.int32).tobytes() for m in metadata(c, source[rows], lang[rows])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(4).slice(c.first, c.rows), pa.array(packed, pa.binary()), pa.array(meta, pa.binary())], names=["doc_id", "label", "packed", "meta"])
+                own = [linear.counted(index[a:b].astype(np.int32)[:, None]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                packed = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in ([x.features for x in own], [x.counts for x in own], metadata(c, source[rows], lang[rows]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(4).slice(c.first, c.rows), *packed], names=["doc_id", "label", "features", "counts", "meta"])
 
-    got = sample.mapInArrow(run, "doc_id long, label int, packed binary, meta binary").toArrow()
+    got = sample.mapInArrow(run, "doc_id long, label int, features binary, counts binary, meta binary").toArrow()
     ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy()
     order = np.lexsort((y, ids))
-    packed, meta = got["packed"], got["meta"]
-    texts = [np.frombuffer(packed[int(i)].as_buffer(), np.int32) for i in order]
-    metas = np.array([np.frombuffer(meta[int(i)].as_buffer(), np.int32) for i in order], np.int64)
-    return ids[order], y[order], texts, metas
+    features, counts, meta = ([np.frombuffer(x.as_buffer(), np.int32) for x in got[name]] for name in ("features", "counts", "meta"))
+    texts = linear.sparse([linear.Counted(features[i][:, None], counts[i]) for i in order])
+    metas = np.array([meta[i] for i in order], np.int64).reshape(len(order), META_FEATURES)
+    return ids[order], y[order], texts, _meta_matrix(metas)
 
 
 def _meta_matrix(meta: np.ndarray) -> linear.Sparse:
-    rows, width = meta.shape if meta.size else (0, 1)
+    rows, width = meta.shape
     return linear.Sparse(np.repeat(np.arange(rows), width), meta.ravel(), np.ones(rows * width), rows)
 
 
+@dataclass
+class View:
+    """Weights of a view, and what makes calibrated log odds of its margins."""
+
+    weights: np.ndarray
+    bias: float
+    slope: float
+    offset: float
+
+    def odds(self, margins: np.ndarray) -> np.ndarray:
+        return self.slope * (margins + self.bias) + self.offset
+
+
+def naive_bayes(sums: np.ndarray, halves: int) -> np.ndarray:
+    """Log ratio of each feature's smoothed share in class 1 and 0; ``sums`` is (2, dims).
+
+    Shares are of each half of the dimensions, as words and trigrams are kinds of their own.
+    """
+    smooth = (sums + SMOOTHING / sums.shape[1]).reshape(2, halves, -1)
+    share = np.log(smooth / smooth.sum(2, keepdims=True))
+    return (share[1] - share[0]).ravel()
+
+
+def fit_view(x: linear.Sparse, y: np.ndarray, learn: np.ndarray, judge: np.ndarray, given: np.ndarray, halves: int) -> View:
+    """Naive Bayes of the sample's and the given sums, fitted on to the rows to learn from, calibrated on those to judge by."""
+    own = x.take(learn)
+    sums = given.copy()
+    for k in (0, 1):
+        sums[k] += np.bincount(own.index, own.value * (y[learn] == k)[own.row], given.shape[1])
+    prior = naive_bayes(sums, halves)
+    slope, offset = linear.fit_platt(own.margins(prior), y[learn])
+    w, bias = linear.fit_logistic(own, y[learn] - 0.0, given.shape[1], start=slope * prior)
+    slope, offset = linear.fit_platt(x.margins(w)[judge] + bias, y[judge])
+    return View(w.astype(np.float32), bias, slope, offset)
+
+
 @dataclass
 class CoTrained:
-    text: linear.Calibrated
-    meta_weights: np.ndarray
-    meta_bias: float
-    meta_slope: float
-    meta_offset: float
+    text: View
+    meta: View
     joint: tuple[float, float, float]  # weights of the two log odds, and a bias
 
-    def scores(self, c: bytescan.Chunk, source: list, lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = self.text.slope * self.text.margins(*linear.text_features(c)) + self.text.offset
-        meta = self.meta_slope * (self.meta_weights[metadata(c, source, lang)].sum(1) + self.meta_bias) + self.meta_offset
+    def odds(self, c: bytescan.Chunk, source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
+        means = linear.Calibrated(self.text.weights, 0.0, 1.0, 0.0).margins(*linear.text_features(c))
+        return self.text.odds(means), self.meta.odds(self.meta.weights[metadata(c, source, lang)].sum(1, dtype=np.float64))
+
+    def joined(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         a, b, bias = self.joint
-        return linear.sigmoid(text), linear.sigmoid(meta), linear.sigmoid(a * np.clip(text, -12, 12) + b * np.clip(meta, -12, 12) + bias)
-
-
-def _fit_view(x: linear.Sparse, dims: int, which: np.ndarray, labels: np.ndarray, judge: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, float, float, float, np.ndarray]:
-    """Weights, bias, calibration, and the calibrated log odds of all rows."""
-    w, bias = linear.fit_logistic(x.take(which), labels, dims)
-    margin = x.margins(w) + bias
-    slope, offset = linear.fit_platt(margin[judge], truth)
-    return w, bias, slope, offset, slope * margin + offset
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """Co-train on at most ``per_class`` rows of each label and about ``pool`` others."""
-    chosen = linear.labelled(docs, labels, "quality", per_class).select("doc_id", "label").distinct()
-    n = max(docs.count(), 1)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < int(min(1.0, pool / n) * (1 << 30))
-    rows = _columns(docs).filter(F.length("text") <= linear.MOST_CHARS)
-    known = rows.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
-    others = rows.filter(share).join(labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    ids, y, texts, metas = _extract(known.unionByName(others))
-    x_text, x_meta = linear.sparse(texts), _meta_matrix(metas)
-    seen = np.flatnonzero(y >= 0)
-    held = bytescan.mix(ids.astype(np.int64).view(U64)) % U64(4) == U64(0)
-    judge = seen[held[seen]]
-    if len(judge) < 20 or len(np.unique(y[judge])) < 2:
-        judge = seen
-    start = np.setdiff1d(seen, judge) if len(judge) < len(seen) else seen
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was given
-    views = ((x_text, linear.DIMS), (x_meta, META_DIMS))
+        return linear.sigmoid(a * np.clip(text, -12, 12) + b * np.clip(meta, -12, 12) + bias)
+
+
+def exchanged(rows: DataFrame, views: CoTrained) -> tuple[np.ndarray, np.ndarray]:
+    """Feature sums by class (2, dims) of all rows: for the text view those that metadata is certain of, and conversely.
+
+    A task adds up its rows, Spark adds up the tasks; the driver gets as many numbers as
+    there are dimensions. ``rows`` are doc_id, text, source, lang.
+    """
+    limit = float(np.log(CERTAIN / (1 - CERTAIN)))
+    dims = (linear.DIMS, META_DIMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, n)) for n in dims]
+        for batch in batches:
+            source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for c in bytescan.chunks(batch.column(1)):
+                names = source[c.first : c.first + c.rows], lang[c.first : c.first + c.rows]
+                odds, some = views.odds(c, *names), bytescan.words(c).counts > 0
+                index, offsets = linear.text_features(c)
+                upper = index >= linear.DIMS // 2
+                row = np.repeat(np.arange(c.rows), np.diff(offsets))
+                share = np.ones(len(index))
+                for half in (~upper, upper):
+                    share[half] /= bytescan.sums(half, offsets)[row[half]]
+                meta = metadata(c, *names)
+                for k, sign in ((0, -1), (1, 1)):
+                    sure = (sign * odds[1] >= limit) & some
+                    sums[0][k] += np.bincount(index, share * linear.SCALE * sure[row], dims[0])
+                    sums[1][k] += np.bincount(meta[(sign * odds[0] >= limit) & some].ravel(), minlength=dims[1])
+        for v, x in enumerate(sums):
+            used = np.flatnonzero(x.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), v, np.int32)), pa.array(used), pa.array(x[0, used]), pa.array(x[1, used])], names=["view", "slot", "zero", "one"])
+
+    got = rows.mapInArrow(run, "view int, slot long, zero double, one double").groupBy("view", "slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
+    out = [np.zeros((2, n)) for n in dims]
+    view, slot = got["view"].to_numpy(), got["slot"].to_numpy()
+    for v in (0, 1):
+        for k, name in enumerate(("zero", "one")):
+            out[v][k, slot[view == v]] = np.round(got[name].to_numpy()[view == v], 6)
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = ROUNDS) -> CoTrained:
+    """Co-train on at most ``per_class`` rows of each label, and on what the views say of all documents.
+
+    Null ids, labels and texts aren't learned from. Labelled documents are exchanged
+    like all others: by the views' word, not by their label.
+    """
+    rows = _columns(docs).filter(F.col("text").isNotNull())
+    ids, y, x_text, x_meta = _extract(linear.labelled(rows, labels, "quality", per_class, ("source", "lang")))
+    part = bytescan.mix(ids.astype(np.int64).view(U64)) % U64(4)
+    parts = [np.flatnonzero(part >= U64(2)), np.flatnonzero(part == U64(0)), np.flatnonzero(part == U64(1))]
+    everything = np.arange(len(y))
+    learn, judge, joint = (p if len(p) >= 20 and len(np.unique(y[p])) == 2 else everything for p in parts)
+    given = np.zeros((2, linear.DIMS)), np.zeros((2, META_DIMS))
     for turn in range(rounds + 1):
-        fitted = []
-        for (x, dims), given in zip(views, extra, strict=True):
-            which = np.concatenate([start, np.array(sorted(given), int)])
-            target = np.concatenate([y[start], np.array([given[k] for k in sorted(given)], int)])
-            fitted.append(_fit_view(x, dims, which, target, judge, y[judge]))
-        if turn == rounds:
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            odds = fitted[giver][4]
-            open_rows = np.array([r for r in np.flatnonzero(y < 0) if r not in extra[taker]], int)
-            limit = np.log(CERTAIN / (1 - CERTAIN))
-            for label, sign in ((1, 1), (0, -1)):
-                sure = open_rows[sign * odds[open_rows] >= limit]
-                for r in sure[np.argsort(-sign * odds[sure], kind="stable")][:EXCHANGE]:
-                    extra[taker][int(r)] = label
-    (tw, tb, ts, to, t_odds), (mw, mb, ms, mo, m_odds) = fitted
-    joint = linear.fit_logistic(_pair(t_odds[judge], m_odds[judge]), y[judge], 2, epochs=200, rate=0.3, decay=1e-3)
+        text = fit_view(x_text, y, learn, judge, given[0], 2)
+        meta = fit_view(x_meta, y, learn, judge, given[1], 1)
+        views = CoTrained(text, meta, (0.5, 0.5, 0.0))
+        if turn < rounds and len(np.unique(y)) == 2:
+            given = exchanged(rows, views)
+    both = [v.odds(x.margins(v.weights))[joint] for v, x in ((text, x_text), (meta, x_meta))]
+    weights, bias = linear.fit_logistic(_pair(*both), y[joint], 2, epochs=200, rate=0.3, decay=1e-3)
     # The joint odds are moved from the sample's class shares to those of all labelled rows.
-    shift = linear.prior_shift(labels, "quality", y[seen])
-    return CoTrained(linear.Calibrated(tw.astype(np.float32), tb, ts, to), mw, mb, ms, mo, (float(joint[0][0]), float(joint[0][1]), float(joint[1]) + shift))
+    shift = linear.prior_shift(labels, "quality", y)
+    return CoTrained(text, meta, (float(weights[0]), float(weights[1]), float(bias) + shift))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> linear.Sparse:
@@ -186,9 +239,9 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> Da
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for c in bytescan.chunks(batch.column(1)):
                 rows = slice(c.first, c.first + c.rows)
-                p_text, p_meta, both = model.scores(c, source[rows], lang[rows])
-                both = np.where(bytescan.words(c).counts > 0, both, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(p_text), pa.array(p_meta), pa.array(both), pa.array(both >= keep_from)], names=["doc_id", "p_text", "p_meta", "quality", "kept"])
+                text, meta = model.odds(c, source[rows], lang[rows])
+                both = np.where(bytescan.words(c).counts > 0, model.joined(text, meta), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(linear.sigmoid(text)), pa.array(linear.sigmoid(meta)), pa.array(both), pa.array(both >= keep_from)], names=["doc_id", "p_text", "p_meta", "quality", "kept"])
 
     return _columns(docs).mapInArrow(run, SCHEMA)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan
-from itemloom.session import materialize
+from itemloom.session import materialize, quoted
 
 SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -208,4 +208,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents in no contaminated pair, all columns as they are."""
-    return docs.join(contaminated(docs, benchmark, least_score).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated(docs, benchmark, least_score).select("doc_id").distinct(), "doc_id", "left_anti").select(*quoted(docs))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan
 from itemloom.llm.graph import components, deal, forest, groups_of
-from itemloom.session import discard, materialize
+from itemloom.session import discard, materialize, quoted
 
 SHINGLE_WORDS = 5
 U64 = np.uint64
@@ -173,8 +173,8 @@ def _packed_signatures(buckets: int, frequent: np.ndarray) -> Callable[[Iterator
     return run
 
 
-def _led(table: pa.Table) -> pa.Table:
-    """Nodes that share a signature of this bucket with others, with the signature's leader.
+def led(table: pa.Table) -> pa.Table:
+    """Nodes (id) that share a signature of this bucket with others, with the signature's leader (group).
 
     The leader is the node of least hash, so that nodes which share many signatures
     mostly have one leader in all of them.
@@ -326,10 +326,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Nodes by shared signatures, 16 bytes for every second shingle or so.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n.shingles * 8 // BUCKET_BYTES)
     packed = docs.select("text").mapInArrow(_packed_signatures(buckets, frequent), "bucket int, signatures binary, nodes binary")
-    led = packed.groupBy("bucket").applyInArrow(_led, "group long, id long").distinct()
+    grouped = packed.groupBy("bucket").applyInArrow(led, "group long, id long").distinct()
 
     # What sketches don't rule out, then what whole sets confirm.
-    met = led.join(nodes.select(F.col("node").alias("id"), "n_shingles", (F.length("sketch") + NODE_WEIGHT).alias("weight")), "id")
+    met = grouped.join(nodes.select(F.col("node").alias("id"), "n_shingles", (F.length("sketch") + NODE_WEIGHT).alias("weight")), "id")
     met = materialize(met, "met")
     weight = met.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first().n
     dealt = deal(met, SKETCH_BYTES, weight).drop("weight").join(nodes.select(F.col("node").alias("k"), "sketch"), F.col("id") == F.col("k")).drop("k")
@@ -362,11 +362,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept.join(twice, "doc_id", "left_anti").select(*columns).union(once)
 
 
-def quoted(df: DataFrame) -> list[Column]:
-    """The columns, whatever characters their names have."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
-
-
 #: The components as SQL, by all pairs that share a shingle: for small tables.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

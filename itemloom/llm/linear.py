@@ -1,9 +1,10 @@
 """Hashed sparse features and logistic regression on a bounded labelled sample.
 
 The sample is drawn by a hash of the id, at most ``per_class`` rows of each class,
-so it doesn't grow with the corpus. Its features are extracted in Spark; only the
-sparse rows of the sample reach the driver, where the weights are fitted. Scores
-are means of weights over a text's features, which needs no sorting per text.
+so it doesn't grow with the corpus. Its features are counted in Spark, of whole texts
+of any length; only the sparse rows of the sample reach the driver, where the weights are
+fitted. Scores are means of weights over a text's features, which needs no sorting per
+text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from itemloom.llm import bytescan
 DIMS = 1 << 18
 #: Rows of each class that a model learns from, at most.
 PER_CLASS = 2000
-#: Longer texts aren't learned from, so that the sample's features have a bound too.
-MOST_CHARS = 20_000
 #: Features are shares of the text times this.
 SCALE = 30.0
 U64 = np.uint64
@@ -73,17 +72,18 @@ class Sparse:
         return Sparse(row[kept], self.index[kept], self.value[kept], len(which))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int] = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` rows of each class (or of 0 and 1), by a hash of the id: doc_id, text, label.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int] = PER_CLASS, more: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``per_class`` rows of each class (or of 0 and 1), by a hash of the id: doc_id, text, ``more``, label.
 
-    An id with several labels takes the greatest; null labels, null texts and texts
-    over MOST_CHARS are left out.
+    An id with several labels takes the greatest, one with several texts the least; null
+    ids, labels and texts are left out.
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit(label))
     most = (per_class, per_class) if isinstance(per_class, int) else per_class
     chosen = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(most[k]) for k in (0, 1)]
-    return docs.filter(F.length("text") <= MOST_CHARS).select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.struct("text", *more).alias("row")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("row").alias("row"), F.first("label").alias("label")).select("doc_id", "row.*", "label")
 
 
 def prior_shift(labels: DataFrame, label: str, y: np.ndarray) -> float:
@@ -98,29 +98,43 @@ def prior_shift(labels: DataFrame, label: str, y: np.ndarray) -> float:
     return float(np.log(n.one / n.zero) - np.log(one / zero)) if min(n.one, n.zero, one, zero) else 0.0
 
 
-def extract(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids, labels and feature indices of a bounded sample, in id order."""
+@dataclass
+class Counted:
+    """Distinct features of a text (a row for each) and how often it has them."""
+
+    features: np.ndarray
+    counts: np.ndarray
+
+
+def counted(features: np.ndarray) -> Counted:
+    return Counted(*np.unique(features, axis=0, return_counts=True))
+
+
+def extract(sample: DataFrame, features: Features, width: int = 1) -> tuple[np.ndarray, np.ndarray, list[Counted]]:
+    """Ids, labels and feature counts of a bounded sample, in id order; features are ``width`` numbers each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in bytescan.chunks(batch.column(1)):
                 index, offsets = features(c)
-                packed = [index[a:b].astype(np.int32).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(2).slice(c.first, c.rows), pa.array(packed, pa.binary())], names=["doc_id", "label", "packed"])
+                own = [counted(index[a:b].astype(np.int32).reshape(-1, width)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                packed = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in ([x.features for x in own], [x.counts for x in own])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(2).slice(c.first, c.rows), *packed], names=["doc_id", "label", "features", "counts"])
 
-    got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, packed binary").toArrow()
+    got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features binary, counts binary").toArrow()
     ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy()
-    packed = [np.frombuffer(x.as_buffer(), np.int32) for x in got["packed"]]
+    rows = [Counted(np.frombuffer(f.as_buffer(), np.int32).reshape(-1, width), np.frombuffer(n.as_buffer(), np.int32)) for f, n in zip(got["features"], got["counts"], strict=True)]
     order = np.lexsort((y, ids))
-    return ids[order], y[order], [packed[i] for i in order]
+    return ids[order], y[order], [rows[i] for i in order]
 
 
-def sparse(packed: list[np.ndarray]) -> Sparse:
+def sparse(texts: list[Counted]) -> Sparse:
+    """Shares of each text's words and of its trigrams."""
     rows, indices, values = [], [], []
-    for r, x in enumerate(packed):
-        index, count = np.unique(x, return_counts=True)
+    for r, x in enumerate(texts):
+        index = x.features[:, 0]
         half = np.searchsorted(index, DIMS // 2)
-        share = count.astype(np.float64)
+        share = x.counts.astype(np.float64)
         for part in (slice(0, half), slice(half, None)):
             share[part] /= max(share[part].sum(), 1)
         rows.append(np.full(len(index), r))
@@ -128,21 +142,20 @@ def sparse(packed: list[np.ndarray]) -> Sparse:
         values.append(share * SCALE)
     if not rows:
         return Sparse(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0)
-    return Sparse(np.concatenate(rows), np.concatenate(indices), np.concatenate(values), len(packed))
+    return Sparse(np.concatenate(rows), np.concatenate(indices), np.concatenate(values), len(texts))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, dims: int = DIMS, epochs: int = 12, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias by AdaGrad over small batches in a fixed random order."""
-    w, bias, square, bias_square = np.zeros(dims), 0.0, np.full(dims, 1e-8), 1e-8
+def fit_logistic(x: Sparse, y: np.ndarray, dims: int = DIMS, epochs: int = 12, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by AdaGrad over small batches in a fixed random order, from ``start`` or 0."""
+    w, bias, square, bias_square = np.zeros(dims) if start is None else start.copy(), 0.0, np.full(dims, 1e-8), 1e-8
     if not x.rows:
         return w, bias
     by_row = np.concatenate([[0], np.cumsum(np.bincount(x.row, minlength=x.rows))])
     random = np.random.default_rng(7)
-    weight = np.ones(x.rows) if weight is None else weight
     for _ in range(epochs):
         order = random.permutation(x.rows)
         for k in range(0, x.rows, batch):
@@ -150,7 +163,7 @@ def fit_logistic(x: Sparse, y: np.ndarray, dims: int = DIMS, epochs: int = 12, b
             at = np.concatenate([np.arange(by_row[r], by_row[r + 1]) for r in some])
             row = np.repeat(np.arange(len(some)), by_row[some + 1] - by_row[some])
             index, value = x.index[at], x.value[at]
-            error = (sigmoid(np.bincount(row, value * w[index], len(some)) + bias) - y[some]) * weight[some] / len(some)
+            error = (sigmoid(np.bincount(row, value * w[index], len(some)) + bias) - y[some]) / len(some)
             used, place = np.unique(index, return_inverse=True)
             g = np.bincount(place, value * error[row], len(used)) + decay * w[used]
             square[used] += g * g

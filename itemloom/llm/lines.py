@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.session import materialize
+from itemloom.session import discard, materialize, quoted
 
 MIN_TEXTS = 10
 LEADING = 3
 LEAST_CONSTANT = 0.7
-_DROPS = "_line_places_to_drop"
+_DROPS, _LINES = "_line_places_to_drop", "_lines_of_text"
+#: Most document ids that are broadcast to pick texts: 8 bytes each.
+BROADCAST_IDS = 500_000
 VARIABLE = "<*>"
 
 
@@ -49,20 +51,23 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.when(2 * variable <= n_words, masked).otherwise(line)).otherwise(line)
 
 
-def templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """The recurring lines: line_id, template and keeper, the doc_id that keeps its lines."""
-    lines = _lines(docs)
+def templates(docs: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """The recurring lines: line_id, template and keeper, the doc_id that keeps its lines.
+
+    ``lines`` is the written table of the documents' lines, without their words.
+    """
     # A text's copies count once: only fixed-width keys are shuffled here.
     seen = lines.groupBy("leaf", "line_id", "text_id").agg(F.min("doc_id").alias("doc_id"))
     seen = materialize(seen, "line-texts")
     leaves = seen.select("leaf", "text_id").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select(F.col("leaf").alias("busy"))
-    leaves = materialize(leaves, "leaves")
     by_line = seen.groupBy("leaf", "line_id").agg(F.count("*").alias("texts"), F.min("doc_id").alias("doc_id"))
     by_line = materialize(by_line.join(leaves, F.col("leaf") == F.col("busy"), "left_semi"), "busy-lines")
 
-    # The tokens of one document's copy of each line in a busy leaf.
+    # The tokens of one document's copy of each line in a busy leaf: only these documents are cut again.
     wanted = by_line.select(F.col("line_id").alias("l"), F.col("doc_id").alias("d"), "texts")
-    tokens = lines.select("doc_id", "leaf", "line_id", "line").join(wanted, (F.col("line_id") == F.col("l")) & (F.col("doc_id") == F.col("d")))
+    ids = wanted.select(F.col("d").alias("i")).distinct()
+    some = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("i"), "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    tokens = _lines(some).select("doc_id", "leaf", "line_id", "line").join(wanted, (F.col("line_id") == F.col("l")) & (F.col("doc_id") == F.col("d")))
     tokens = tokens.dropDuplicates(["line_id"]).select("leaf", "line_id", "texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
     tokens = materialize(tokens, "leaf-tokens")
     token_id = F.xxhash64("token")
@@ -81,19 +86,23 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     found = seen.join(of_line, "line_id").select("template", "text_id", "doc_id")
     found = found.groupBy("template", "text_id").agg(F.min("doc_id").alias("doc_id"))
     found = found.groupBy("template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("keeper")).filter(F.col("texts") >= min_texts)
-    return of_line.join(found, "template").select("line_id", "template", "keeper", "texts")
+    out = materialize(of_line.join(found, "template").select("line_id", "template", "keeper", "texts"), "templates")
+    discard(seen, by_line, tokens, of_line)
+    return out
 
 
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """doc_id, place and template of each line to drop."""
-    recurring = materialize(templates(docs, min_texts), "templates").select(F.col("line_id").alias("l"), "template", "keeper")
-    lines = _lines(docs).select("doc_id", "place", "line_id")
+    docs = docs.select("doc_id", "text")
+    lines = materialize(_lines(docs).select("doc_id", "text_id", "place", "leaf", "line_id"), "lines")
+    recurring = templates(docs, lines, min_texts).select(F.col("line_id").alias("l"), "template", "keeper")
     return lines.join(recurring, F.col("line_id") == F.col("l")).filter("doc_id != keeper").select("doc_id", "place", "template")
 
 
-def _kept(text: Column, drops: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(drops, i))
-    return F.when(drops.isNull(), text).otherwise(F.array_join(lines, "\n"))
+def _kept(lines: Column, drops: Column) -> Column:
+    """The lines between the sorted places to drop, joined again."""
+    begins, ends = F.concat(F.array(F.lit(0)), F.transform(drops, lambda d: d + 1)), F.concat(drops, F.array(F.size(lines)))
+    return F.array_join(F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, e - b))), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -104,11 +113,13 @@ def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     at ``\\n``; those without a word neither count nor go. A null or empty text
     stays. A text all of whose lines go becomes empty; no document goes. Rows that
     share a doc_id count as one document and lose the same line places. Ties of the
-    first document don't arise: it is the least doc_id.
+    first document don't arise: it is the least doc_id. The lines of rows without a
+    doc_id count, but stay.
     """
-    drops = dropped_lines(docs, min_texts).groupBy("doc_id").agg(F.collect_set("place").alias(_DROPS))
-    joined = docs.join(drops, "doc_id", "left")
-    own = [_kept(F.col("text"), F.col(_DROPS)).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_dropped"]
+    drops = dropped_lines(docs, min_texts).groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias(_DROPS))
+    joined = docs.join(drops, "doc_id", "left").withColumn(_LINES, F.when(F.col(_DROPS).isNotNull(), F.split("text", "\n", -1)))
+    text = F.when(F.col(_DROPS).isNull(), F.col("text")).otherwise(_kept(F.col(_LINES), F.col(_DROPS)))
+    own = [text.alias("text") if c == "text" else named for c, named in zip(docs.columns, quoted(docs), strict=True) if c != "n_dropped"]
     return joined.select(*own, F.coalesce(F.array_size(_DROPS), F.lit(0)).cast("long").alias("n_dropped"))
 
 

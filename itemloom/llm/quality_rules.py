@@ -60,8 +60,8 @@ def counts(c: bytescan.Chunk) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = linear.PER_CLASS) -> linear.Calibrated:
     """The calibrated classifier of ``labels.quality`` on a bounded sample."""
-    ids, y, packed = linear.extract(linear.labelled(docs, labels, "quality", per_class), linear.text_features)
-    return linear.fit_calibrated(ids, y, linear.sparse(packed), linear.prior_shift(labels, "quality", y))
+    ids, y, texts = linear.extract(linear.labelled(docs, labels, "quality", per_class), linear.text_features)
+    return linear.fit_calibrated(ids, y, linear.sparse(texts), linear.prior_shift(labels, "quality", y))
 
 
 def score(docs: DataFrame, model: linear.Calibrated, least_quality: float = LEAST_QUALITY) -> DataFrame:

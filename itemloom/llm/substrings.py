@@ -4,19 +4,25 @@ A text is its sequence of five-word shingle hashes. Under one hash function, all
 subsequences with the same least element form a compact window (left, centre,
 right): a node of the Cartesian tree over the values, with its subtree's range. Only
 nodes whose range holds a passage of MIN_WORDS are kept; they are the minima of the
-sliding windows of that length, and the tree is built on them alone. Windows with
-equal least elements meet by hash bucket; documents whose windows overlap on both
-sides under enough functions are candidates, and their shingles around the windows
-are compared: a passage pair holds MIN_WORDS or more words on both sides and has
-Jaccard similarity of 3/4 or more.
-
-Equal texts are one node throughout. Each node of a bucket's run is paired with one
-leader, the same for all runs of the same nodes, so runs don't become all pairs.
+sliding windows of that length, and the tree is built on them alone. Two passages of
+similarity 3/4 share the least element under HASHES functions but in one case of 256.
+
+Windows with equal least elements meet by hash bucket. Those of other nodes that also agree on
+the least element of what stands left or right of theirs, under one of SIDES further functions, put
+their regions in the group of a leading region, whose members are compared on their
+shingles, those not yet linked or with an open stretch only. A passage pair holds MIN_WORDS or more words on both sides,
+shares LEAST_SHARED different shingles or more (which follows where none is repeated), and has Jaccard similarity of 3/4 or
+more. Stretches joined by pairs are one class, named by
+its least document.
+
+Equal texts are one node throughout. Groups are dealt to tasks of bounded size and give a
+forest of links, so they don't become all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +30,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan
-from itemloom.llm.jaccard import similar
-from itemloom.session import materialize
+from itemloom.llm.graph import components, deal, groups_of
+from itemloom.llm.jaccard import led, similar
+from itemloom.session import discard, materialize
 
 SHINGLE_WORDS = 5
 MIN_WORDS = 50
 LENGTH = MIN_WORDS - SHINGLE_WORDS + 1  # of the shortest passage, in shingles
-HASHES = 6
-#: Of HASHES functions, so many must agree on a passage.
-LEAST_AGREEING = 2
-#: Regions to compare begin and end at multiples of this, so that pairs share them.
-GRID = 64
-FLUSH_BYTES = 48 << 20
+HASHES = 4
+#: Two passages of LENGTH different shingles are similar if they share so many: 3/7 of both.
+LEAST_SHARED = -(-6 * LENGTH // 7)
+#: Regions are cut at multiples of this, and reach beyond by what a shortest passage can.
+CELL, MARGIN = 256, 64
+#: Functions whose least element left and right of a window is looked at.
+SIDES = 2
+FLUSH_BYTES = 24 << 20
+#: Bytes of windows and of regions that one task compares, about.
+BUCKET_BYTES, REGION_BYTES = 8 << 20, 2 << 20
+#: Most document ids that are broadcast to pick texts: 16 bytes each, 8 MB.
 BROADCAST_IDS = 500_000
 U64 = np.uint64
-WINDOW = np.dtype([("key", "u8"), ("node", "u8"), ("centre", "u4"), ("left", "u4"), ("right", "u4")])
-_PLACE_BITS = 24
-_PLACE = U64((1 << _PLACE_BITS) - 1)
+_WINDOW = ("keys", "nodes", "centres")
 
 
 def sequences(c: bytescan.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,10 +85,13 @@ def compact_windows(values: np.ndarray, length: int = LENGTH) -> tuple[np.ndarra
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none
-    ranked = (values & ~_PLACE) | np.arange(n, dtype=U64) & _PLACE
-    least = _sliding_minimum(ranked, length) & _PLACE
-    centre = least[np.concatenate([[True], least[1:] != least[:-1]])].astype(np.int64)
-    key = ranked[centre].tolist()
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(values, kind="stable")] = np.arange(n)
+    least = _sliding_minimum(rank, length)
+    key = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    place = np.empty(n, np.int64)
+    place[rank] = np.arange(n)
+    centre, key = place[key], key.tolist()
     left, right = np.zeros(len(centre), np.int64), np.full(len(centre), n - 1)
     stack: list[int] = []
     for k, v in enumerate(key):
@@ -93,33 +106,33 @@ def compact_windows(values: np.ndarray, length: int = LENGTH) -> tuple[np.ndarra
 def _packed_windows(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     salts = bytescan.mix(np.arange(1, HASHES + 1, dtype=U64))
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        bucket = rows["key"] % U64(buckets)
+    def flush(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([k for _, k, _ in held])
+        node = np.repeat(np.array([n for n, _, _ in held], U64), [len(k) for _, k, _ in held])
+        centre = np.concatenate([c for _, _, c in held]).astype(np.uint32)
+        bucket = key % U64(buckets)
         order = np.argsort(bucket, kind="stable")
-        rows, cuts = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
         filled = np.flatnonzero(np.diff(cuts))
-        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary())], names=["bucket", "packed"])
+        packed = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()) for x in (key[order], node[order], centre[order])]
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *packed], names=["bucket", *_WINDOW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size, seen = 0, set()
         for batch in batches:
             for c in bytescan.chunks(batch.column(0)):
                 shingles, offsets, nodes = sequences(c)
                 hashed = [bytescan.mix(shingles ^ s) for s in salts]
                 for r in np.flatnonzero(np.diff(offsets) >= LENGTH):
-                    a, b, node = offsets[r], offsets[r + 1], nodes[r]
+                    a, b, node = offsets[r], offsets[r + 1], int(nodes[r])
                     if node in seen:  # copies within the task emit once
                         continue
                     seen.add(node)
                     for h in hashed:
-                        left, centre, right = compact_windows(h[a:b])
-                        rows = np.empty(len(centre), WINDOW)
-                        rows["key"], rows["node"] = h[a:b][centre], node
-                        rows["left"], rows["centre"], rows["right"] = left, centre, right
-                        held.append(rows)
-                        size += rows.nbytes
+                        _, centre, _ = compact_windows(h[a:b])
+                        held.append((node, h[a:b][centre], centre))
+                        size += 20 * len(centre)
                 if size > FLUSH_BYTES:
                     yield from flush(held)
                     held, size, seen = [], 0, set()
@@ -129,89 +142,93 @@ def _packed_windows(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-_MEETING = "a long, b long, key long, ca int, la int, ra int, cb int, lb int, rb int"
+_MET = "key long, node long, centre int"
 
 
-def _meetings(table: pa.Table) -> pa.Table:
-    """Windows of different nodes with one least element: each with its run's leader.
+def _met(table: pa.Table) -> pa.Table:
+    """The windows of this bucket whose least element is also that of a window of another node."""
+    key, node, centre = (np.frombuffer(b"".join(table.column(x).to_pylist()), t) for x, t in zip(_WINDOW, (U64, U64, np.uint32), strict=True))
+    order = np.lexsort((centre, node, key))
+    key, node, centre = key[order], node[order], centre[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (centre[1:] != centre[:-1])
+    key, node, centre = key[new], node[new], centre[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(first[1:], len(key)) - 1
+    met = np.repeat(node[first] != node[last], last + 1 - first)
+    return pa.table({"key": pa.array(key[met].view(np.int64)), "node": pa.array(node[met].view(np.int64)), "centre": pa.array(centre[met].astype(np.int32))})
 
-    The leader is the node of least hash; its first window meets all windows of the
-    others, and its further windows meet the first one of the next node.
-    """
-    rows = np.frombuffer(b"".join(table.column("packed").to_pylist()), WINDOW)
-    order = np.lexsort((rows["centre"], rows["node"], bytescan.mix(rows["node"]), rows["key"]))
-    rows = rows[order]
-    same = (rows[1:]["key"] == rows[:-1]["key"]) & (rows[1:]["node"] == rows[:-1]["node"]) & (rows[1:]["centre"] == rows[:-1]["centre"])
-    rows = rows[np.concatenate([[True], ~same])]
-    begin = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
-    first = np.flatnonzero(begin)
-    lead = first[np.cumsum(begin) - 1]
-    is_other = rows["node"] != rows["node"][lead]
-    # the first window of another node in each run, or -1
-    others = np.flatnonzero(is_other)
-    run = np.cumsum(begin) - 1
-    second = np.full(len(first), -1)
-    second[run[others[::-1]]] = others[::-1]
-    more = np.flatnonzero(~is_other & ~begin & (second[run] >= 0))
-    x = np.concatenate([lead[others], more])
-    y = np.concatenate([others, second[run[more]]])
-    a, b = rows[x], rows[y]
-    columns = [a["node"].view(np.int64) if a["node"].flags.c_contiguous else a["node"].astype(U64).view(np.int64), b["node"].astype(U64).view(np.int64), a["key"].astype(U64).view(np.int64)]
-    columns += [s[f].astype(np.int32) for s in (a, b) for f in ("centre", "left", "right")]
-    return pa.table([pa.array(np.ascontiguousarray(v)) for v in columns], names=["a", "b", "key", "ca", "la", "ra", "cb", "lb", "rb"])
-
-
-_REGION = "a long, b long, la int, ra int, lb int, rb int"
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of nodes, the regions in which enough windows overlap on both sides.
-
-    Windows are cut to what a shortest passage around their centre can reach. In
-    order of centres, a window joins the region before it if it overlaps it in both
-    texts; a region with fewer than LEAST_AGREEING least elements is no candidate.
+
+def region_id(node: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return bytescan.mix(node.view(U64) + cell.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+_REGION = "bucket int, signatures binary, nodes binary, id long, node long, cell int, content binary"
+
+
+def surroundings(own: np.ndarray, key: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of one text their keys joined with the least elements on either side, and which window each is of."""
+    reach, none = LENGTH - 1, U64((1 << 64) - 1)
+    out, of = [], []
+    for k in range(SIDES):
+        value = np.full(len(own) + 2 * reach, none)
+        value[reach:-reach] = bytescan.mix(own ^ bytescan.mix(np.array([1000 + k], U64)))
+        least = _sliding_minimum(value, reach)
+        for side, at in enumerate((centre, centre + reach + 1)):
+            some = np.flatnonzero(least[at] != none)
+            out.append(bytescan.mix(key[some] + bytescan.mix(least[at[some]] + U64(2 * k + side))))
+            of.append(some)
+    return np.concatenate(out), np.concatenate(of)
+
+
+def _regions(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of windows with their surroundings, packed by bucket; and, without bucket, the shingles of their regions.
+
+    Shingles are cut to 32 bits: they are only compared within a group.
     """
-    for batch in batches:
-        rows = []
-        for a, b, met in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            m = np.array([list(x.values()) for x in met.as_py()], np.int64)  # key, ca, la, ra, cb, lb, rb
-            m = m[np.lexsort((m[:, 4], m[:, 1]))]
-            reach = LENGTH - 1
-            la, ra = np.maximum(m[:, 2], m[:, 1] - reach), np.minimum(m[:, 3], m[:, 1] + reach)
-            lb, rb = np.maximum(m[:, 5], m[:, 4] - reach), np.minimum(m[:, 6], m[:, 4] + reach)
-            open_regions: list[list] = []
-            for k in range(len(m)):
-                for g in open_regions:
-                    if la[k] <= g[1] and g[0] <= ra[k] and lb[k] <= g[3] and g[2] <= rb[k]:
-                        g[:4] = min(g[0], la[k]), max(g[1], ra[k]), min(g[2], lb[k]), max(g[3], rb[k])
-                        g[4].add(m[k, 0])
-                        break
-                else:
-                    open_regions.append([la[k], ra[k], lb[k], rb[k], {m[k, 0]}])
-            for g in open_regions:
-                if len(g[4]) >= LEAST_AGREEING:
-                    lo = [max(0, int(g[i]) - GRID) // GRID * GRID for i in (0, 2)]
-                    hi = [-(-(int(g[i]) + 1 + GRID) // GRID) * GRID for i in (1, 3)]
-                    rows.append((a.as_py(), b.as_py(), lo[0], hi[0], lo[1], hi[1]))
-        if rows:
-            types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "la", "ra", "lb", "rb"])
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each wanted region of each text."""
-    for batch in batches:
-        for c in bytescan.chunks(batch.column(0)):
-            shingles, offsets, nodes = sequences(c)
-            wanted = batch.column(1).slice(c.first, c.rows).to_numpy()
-            rows = []
-            for r in np.flatnonzero(nodes.view(np.int64) == wanted):
-                own = shingles[offsets[r] : offsets[r + 1]]
-                for lo, hi in (tuple(x.values()) for x in batch.column(2)[c.first + int(r)].as_py()):
-                    rows.append((int(wanted[r]), lo, hi, own[lo:hi].tobytes()))
-            if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["node", "lo", "hi", "part"])
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = key % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
+        filled = np.flatnonzero(np.diff(cuts))
+        columns = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()) for x in (key[order], ids[order])]
+        rest = [pa.nulls(len(filled), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *columns, *rest], names=names)
+
+    names = [c.split()[0] for c in _REGION.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for c in bytescan.chunks(batch.column(0)):
+                shingles, offsets, nodes = sequences(c)
+                wanted = batch.column(1).slice(c.first, c.rows).to_numpy()
+                windows = batch.column(2).slice(c.first, c.rows)
+                rows = []
+                for r in np.flatnonzero(nodes.view(np.int64) == wanted):
+                    own = shingles[offsets[r] : offsets[r + 1]]
+                    met = windows[int(r)].values
+                    key, centre = met.field("key").to_numpy().view(U64), met.field("centre").to_numpy()
+                    joined, of = surroundings(own, key, centre)
+                    cell = centre // CELL
+                    held.append((joined, region_id(np.full(len(of), wanted[r]), cell[of])))
+                    size += 16 * len(of)
+                    cells = np.unique(cell)
+                    ids = region_id(np.full(len(cells), wanted[r]), cells)
+                    rows += [(i, wanted[r], x, own[max(0, x * CELL - MARGIN) : (x + 1) * CELL + MARGIN].astype(np.uint32).tobytes()) for i, x in zip(ids.tolist(), cells.tolist(), strict=True)]
+                if rows:
+                    columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in (pa.int32(), pa.binary(), pa.binary())), *columns], names=names)
+                if size > FLUSH_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
 
 
 def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -222,26 +239,37 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     side, and both parts are tried.
     """
     out = []
+    distinct, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
+    p, q = ids[: len(x)], ids[len(x) :]
+    marked = np.zeros(len(distinct), bool)
+
+    def shared_places(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        marked[other] = True
+        at = np.flatnonzero(marked[own])
+        marked[other] = False
+        return at
+
+    def different(own: np.ndarray) -> int:
+        marked[own] = True
+        n = int(np.count_nonzero(marked))
+        marked[own] = False
+        return n
+
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        if b - a < LENGTH or d - c < LENGTH:
-            continue
-        in_x, in_y = a + np.flatnonzero(np.isin(x[a:b], y[c:d])), c + np.flatnonzero(np.isin(y[c:d], x[a:b]))
-        if len(in_x) == 0:
+        in_x, in_y = a + shared_places(p[a:b], q[c:d]), c + shared_places(q[c:d], p[a:b])
+        if min(len(in_x), len(in_y)) < LEAST_SHARED:
             continue
         a, b, c, d = int(in_x[0]), int(in_x[-1]) + 1, int(in_y[0]), int(in_y[-1]) + 1
-        if b - a < LENGTH or d - c < LENGTH:
+        shared = different(p[in_x])
+        if min(b - a, d - c) < LENGTH or shared < LEAST_SHARED:
             continue
-        gap_x, gap_y = np.diff(in_x), np.diff(in_y)
-        widest = max(gap_x.max(initial=0), gap_y.max(initial=0))
-        s, t = np.unique(x[a:b]), np.unique(y[c:d])
-        shared = len(np.intersect1d(s, t, assume_unique=True))
-        if similar(shared, len(s), len(t)):
+        if similar(shared, different(p[a:b]), different(q[c:d])):
             out.append((a, b, c, d))
-        elif widest <= 1:
             continue
-        elif gap_x.max(initial=0) >= gap_y.max(initial=0):
+        gap_x, gap_y = np.diff(in_x), np.diff(in_y)
+        if gap_x.max() >= gap_y.max():
             k = int(gap_x.argmax())
             todo += [(a, int(in_x[k]) + 1, c, d), (int(in_x[k + 1]), b, c, d)]
         else:
@@ -250,17 +278,122 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        a, b, la, lb = (batch.column(i).to_numpy() for i in range(4))
-        for k, (p, q) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-            for s, e, u, v in passages(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64)):
-                tail = SHINGLE_WORDS - 1
-                rows.append((a[k], b[k], la[k] + s, la[k] + e + tail, lb[k] + u, lb[k] + v + tail))
-        if rows:
-            types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "sa", "ea", "sb", "eb"])
+_PAIR = "a long, b long, sa int, ea int, sb int, eb int"
+
+
+@dataclass
+class _Group:
+    """Regions of a group: their shingles as small numbers, and where each different one is."""
+
+    begin: np.ndarray  # of each region's shingles in ``element``
+    element: np.ndarray
+    first: np.ndarray  # whether a shingle is the first of its kind in its region
+    known: np.ndarray  # by element: whether the reference region has it
+    in_known: np.ndarray  # by region: different shingles of the reference region
+    posting: np.ndarray  # regions by element
+    posting_begin: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray], reference: int, members: np.ndarray) -> _Group:
+        size = np.array([len(p) for p in parts])
+        begin = np.concatenate([[0], np.cumsum(size)])
+        distinct, element = np.unique(np.concatenate(parts), return_inverse=True)
+        region = np.repeat(np.arange(len(parts)), size)
+        _, at = np.unique(region * len(distinct) + element, return_index=True)
+        first = np.zeros(len(element), bool)
+        first[at] = True
+        known = np.zeros(len(distinct), bool)
+        known[element[begin[reference] : begin[reference + 1]]] = True
+        in_known = np.bincount(region[at], known[element[at]], len(parts)).astype(np.int64)
+        listed = at[members[region[at]]]
+        listed = listed[np.argsort(element[listed], kind="stable")]
+        return cls(begin, element, first, known, in_known, region[listed], np.searchsorted(element[listed], np.arange(len(distinct) + 1)))
+
+    def content(self, x: int) -> np.ndarray:
+        return self.element[self.begin[x] : self.begin[x + 1]]
+
+    def most_shared(self, x: int) -> np.ndarray:
+        """Different shingles that each region shares with ``x``, at most.
+
+        Those outside of the reference region are counted; of it, two regions share no more
+        than the one with fewer has.
+        """
+        own = self.content(x)[self.first[self.begin[x] : self.begin[x + 1]]]
+        return self.holders(own[~self.known[own]]) + np.minimum(self.in_known[x], self.in_known)
+
+    def holders(self, elements: np.ndarray) -> np.ndarray:
+        """How many of the (different) elements each region has."""
+        lengths = self.posting_begin[elements + 1] - self.posting_begin[elements]
+        at = np.repeat(self.posting_begin[elements] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.posting[at], minlength=len(self.in_known))
+
+    def holding(self, shingles: np.ndarray) -> np.ndarray:
+        """Which regions have enough of these shingles for a passage."""
+        different = np.unique(shingles)
+        return self.holders(different) >= LEAST_SHARED if len(different) >= LEAST_SHARED else np.zeros(len(self.in_known), bool)
+
+    def dense_enough(self, x: int, ys: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether some stretch of ``x`` has enough shingles of each of ``ys`` for a similar passage.
+
+        A stretch of m different shingles, s of them shared, can be in such a pair only if 7 s >= 3 (m + LENGTH):
+        that is a sum of 4 for each shared and -3 for each other one. Shared ones that are
+        ``found`` already don't count.
+        """
+        own = self.content(x)
+        first = self.first[self.begin[x] : self.begin[x + 1]]
+        marked = np.zeros(len(self.known), bool)
+        score = np.zeros((len(ys), len(own) + 1), np.int64)
+        for k, y in enumerate(ys):
+            theirs = self.content(y)
+            marked[theirs] = True
+            score[k, 1:] = np.where(marked[own], 4 * ~found, -3 * first)
+            marked[theirs] = False
+        np.cumsum(score, axis=1, out=score)
+        return (score - np.minimum.accumulate(score, axis=1)).max(1) >= 3 * LENGTH
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Passage pairs between the regions of each group: a forest, and what covers open stretches."""
+    node, cell, content = table.column("node").to_numpy(), table.column("cell").to_numpy(), table.column("content").to_pylist()
+    out: list[tuple[int, ...]] = []
+    for rows, left, right in groups_of(table, "order"):
+        group = _Group.of([np.frombuffer(content[r], np.uint32) for r in rows], int(np.flatnonzero(left)[0]) if left.any() else 0, right)
+        begin, element = group.begin, group.element
+        covered = np.zeros(len(element), bool)
+        label, names = np.arange(len(rows)), node[rows]
+        rank, one_block = np.arange(len(rows)), (left == right).all()
+        for x in np.flatnonzero(left):
+            own, open_x = group.content(x), ~covered[begin[x] : begin[x + 1]]
+            shared, others = group.most_shared(x), right & (names != names[x])
+            linking = others & (shared >= LEAST_SHARED) & ((rank > x) if one_block else True)
+            covering, n_open = np.zeros(len(rows), bool), -1
+            while True:
+                # Those of other trees; those of its own only for what is still open of x.
+                if n_open != open_x.sum():
+                    covering, n_open = group.holding(own[open_x]), open_x.sum()
+                todo = np.flatnonzero(np.where(label == label[x], covering & others, linking))
+                todo = todo[np.argsort(-shared[todo], kind="stable")][:64]
+                linking[todo] = others[todo] = False  # each once
+                if not len(todo):
+                    break
+                other_tree = label[todo] != label[x]
+                dense = np.concatenate([group.dense_enough(x, todo[other_tree], np.zeros(len(own), bool)), group.dense_enough(x, todo[~other_tree], ~open_x)])
+                for y in np.concatenate([todo[other_tree], todo[~other_tree]])[dense].tolist():
+                    if label[y] == label[x] and not (covering[y] and group.dense_enough(x, np.array([y]), ~open_x)[0]):
+                        continue
+                    found = passages(own, group.content(y))
+                    for s, e, u, v in found:
+                        open_x[s:e] = False
+                        covered[begin[x] + s : begin[x] + e] = covered[begin[y] + u : begin[y] + v] = True
+                        from_x, from_y = (max(0, int(cell[rows[k]]) * CELL - MARGIN) for k in (x, y))
+                        tail = SHINGLE_WORDS - 1
+                        out.append((int(names[x]), int(names[y]), from_x + s, from_x + e + tail, from_y + u, from_y + v + tail))
+                    if found:
+                        label[label == label[y]] = label[x]
+                        if n_open != open_x.sum():
+                            covering, n_open = group.holding(own[open_x]), open_x.sum()
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.table([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=[c.split()[0] for c in _PAIR.split(", ")])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,49 +403,79 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(w.counts), pa.array(node.view(np.int64))], names=["doc_id", "n_words", "node"])
 
 
+def passage_pairs(docs: DataFrame, nodes: DataFrame, repeated: bool = True) -> DataFrame:
+    """Passages (a, sa, ea) and (b, sb, eb) in words of two nodes that are near-duplicates.
+
+    ``docs`` has doc_id and text, ``nodes`` node, n_words and rep, a document that has it. Not all
+    pairs, but enough to link each passage to one that it is similar to. ``repeated`` says
+    that rows may be repeated as they are.
+    """
+    spark = docs.sparkSession
+    n_words = nodes.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words * HASHES * 40 // LENGTH // BUCKET_BYTES)
+    packed = docs.select("text").mapInArrow(_packed_windows(buckets), "bucket int, keys binary, nodes binary, centres binary")
+    met = materialize(packed.groupBy("bucket").applyInArrow(_met, _MET), "met-windows")
+
+    # The surroundings of these windows, and their regions, from one document of each node.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), met.count() * 2 * SIDES * 16 // BUCKET_BYTES)
+    wanted = met.groupBy("node").agg(F.collect_list(F.struct("key", "centre")).alias("windows"))
+    reps = nodes.select(F.col("node").alias("w"), F.col("rep").alias("r"))
+    wanted = materialize(wanted.join(reps, F.col("node") == F.col("w")).select("r", "w", "windows"), "wanted")
+    ids = wanted.select(F.col("r").alias("i")).distinct()
+    texts = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("i"), "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    found = texts.join(wanted, F.col("doc_id") == F.col("r")).select("text", "w", "windows").mapInArrow(_regions(buckets), _REGION)
+    regions = materialize(found, "regions")
+    discard(met, wanted)
+
+    grouped = regions.filter("bucket IS NOT NULL").select("bucket", "signatures", "nodes").groupBy("bucket").applyInArrow(led, "group long, id long").distinct()
+    content = regions.filter("bucket IS NULL").select(F.col("id").alias("k"), "node", F.col("cell").alias("at"), "content")
+    content = content.dropDuplicates(["k"]) if repeated else content
+    weighed = grouped.join(content.select("k", F.length("content").alias("weight")), F.col("id") == F.col("k")).drop("k")
+    weighed = materialize(weighed, "led-regions")
+    total = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first().n
+    # The leader comes first in its group, the others in the order of a hash.
+    order = F.when(F.col("group") == F.col("id"), F.lit(-(1 << 63))).otherwise(F.xxhash64("id", "group"))
+    tasks = deal(weighed, REGION_BYTES, total).drop("weight").join(content, F.col("id") == F.col("k")).select("group", "block", F.col("cell").alias("task"), "lo", "hi", "node", F.col("at").alias("cell"), "content", order.alias("order"))
+    pairs = materialize(tasks.groupBy("task", "lo", "hi").applyInArrow(_linked, _PAIR), "passages")
+    discard(weighed, regions)
+    return pairs
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Stretches of documents that are near-duplicates of stretches of others.
 
     ``docs`` has doc_id and text; other columns are ignored. Returns doc_id,
-    first_word, end_word (exclusive), n_words, first_doc_id (the least document
-    found with a passage of the stretch, itself included) and repeats (true unless
-    it is that document). Overlapping passages of a document are one stretch.
+    first_word, end_word (exclusive), n_words, first_doc_id and repeats. Overlapping
+    passages of a document are one stretch, and stretches that passages join, directly or by
+    others, one class; first_doc_id is the least document of the class, and repeats is
+    true in all other documents.
 
     Null texts and texts under MIN_WORDS words are in no row. Texts with equal words
     are wholly repeated. Rows that repeat a doc_id count as one document and give
     each stretch once; such rows with different texts are told apart by text only.
+    A null doc_id is never the least; texts that only rows without one hold are
+    found where they repeat each other, and their class has no name.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     index = materialize(docs.mapInArrow(_index, "doc_id long, n_words long, node long").filter(F.col("n_words") >= MIN_WORDS), "index")
-    nodes = materialize(index.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words")), "nodes")
-    buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.select("text").mapInArrow(_packed_windows(buckets), "bucket int, packed binary")
-    met = packed.groupBy("bucket").applyInArrow(_meetings, _MEETING)
-    gathered = met.groupBy("a", "b").agg(F.collect_list(F.struct("key", "ca", "la", "ra", "cb", "lb", "rb")).alias("met")).filter(F.size("met") >= LEAST_AGREEING)
-    regions = materialize(gathered.mapInArrow(_regions, _REGION), "regions")
-
-    wanted = regions.select(F.col("a").alias("w"), F.col("la").alias("lo"), F.col("ra").alias("hi")).union(regions.select("b", "lb", "rb")).distinct()
-    wanted = wanted.groupBy("w").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    wanted = materialize(wanted.join(nodes, F.col("w") == F.col("node")).select(F.col("rep").alias("r"), "w", "spans"), "wanted")
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(picked, F.col("doc_id") == F.col("r")).select("text", "w", "spans")
-    parts = materialize(texts.mapInArrow(_slices, "node long, lo int, hi int, part binary"), "parts")
-    left = parts.select(F.col("node").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ra"), F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("rb"), F.col("part").alias("pb"))
-    both = regions.join(left, ["a", "la", "ra"]).join(right, ["b", "lb", "rb"]).select("a", "b", "la", "lb", "pa", "pb")
-    pairs = materialize(both.mapInArrow(_compared, "a long, b long, sa int, ea int, sb int, eb int"), "passages")
-
-    def side(own: str, other: str, s: str, e: str) -> DataFrame:
-        named = pairs.select(F.col(own).alias("n"), F.col(other).alias("o"), F.col(s).alias("s"), F.col(e).alias("e"))
-        return named.join(nodes.select("node", "rep"), F.col("o") == F.col("node")).groupBy("n", "s", "e").agg(F.min("rep").alias("other"))
-
-    whole = nodes.filter("rep != last").select(F.col("node").alias("n"), F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"), F.col("rep").alias("other"))
-    spans = side("a", "b", "sa", "ea").union(side("b", "a", "sb", "eb")).union(whole)
+    nodes = index.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"))
+    nodes = materialize(nodes, "nodes")
+    rows = index.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    pairs = passage_pairs(docs, nodes, not rows.filter("n > 1").isEmpty()).withColumn("link", F.xxhash64("a", "b", "sa", "sb", "ea", "eb"))
+
+    # Stretches: overlapping passages of a node. Equal texts are one stretch.
+    whole = nodes.filter("rep != last").select(F.col("node").alias("n"), F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"), F.lit(None).cast("long").alias("link"))
+    spans = pairs.select(F.col("a").alias("n"), F.col("sa").alias("s"), F.col("ea").alias("e"), "link").union(pairs.select("b", "sb", "eb", "link")).union(whole)
     before = Window.partitionBy("n").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("n").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    stretch = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1)).withColumn("stretch", F.sum("new").over(upto))
-    stretch = stretch.groupBy("n", "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("other").alias("other"))
+    spans = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1)).withColumn("stretch", F.sum("new").over(upto))
+    spans = materialize(spans.select("n", "s", "e", "link", F.xxhash64("n", "stretch").alias("stretch")), "spans")
+    stretches = spans.groupBy("n", "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    joined = components(spans.filter("link IS NOT NULL").groupBy("link").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")))
+    named = stretches.join(joined, F.col("stretch") == F.col("node"), "left").select("n", "s", "e", F.coalesce("component", "stretch").alias("class"))
+    named = materialize(named.join(nodes.select("node", "rep"), F.col("n") == F.col("node")).drop("node"), "stretches")
+    least = named.groupBy("class").agg(F.min("rep").alias("first")).withColumnRenamed("class", "c")
+    stretch = named.join(least, F.col("class") == F.col("c")).select("n", "s", "e", "first")
     out = index.select("doc_id", "node").distinct().join(stretch, F.col("node") == F.col("n"))
-    first = F.least("doc_id", "other")
-    return out.select("doc_id", F.col("s").cast("long").alias("first_word"), F.col("e").cast("long").alias("end_word"), (F.col("e") - F.col("s")).cast("long").alias("n_words"), first.alias("first_doc_id"), (first < F.col("doc_id")).alias("repeats"))
+    repeats = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
+    return out.select("doc_id", F.col("s").cast("long").alias("first_word"), F.col("e").cast("long").alias("end_word"), (F.col("e") - F.col("s")).cast("long").alias("n_words"), F.col("first").alias("first_doc_id"), repeats.alias("repeats"))

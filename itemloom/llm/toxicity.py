@@ -7,7 +7,9 @@ weight vector serves all grades; ordered thresholds part them:
 P(grade >= k) = sigmoid(score - threshold_k).
 
 The labels say toxic or not. Grades 1 to 3 of toxic rows are thirds of their
-evidence density, the vocabulary hits per hundred tokens; other rows have grade 0.
+evidence density, hits per hundred tokens, as a vocabulary sees it that was learned from
+the other half of the sample; other rows have grade 0. So a grade never rests on
+what the row itself has taught.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ REJECT_FROM = 0.5
 #: chance doesn't give among a few hundred thousand features.
 LEAST_LOG_ODDS = 3.5
 LEAST_RATIO = 16.0
-MOST_FEATURES = 400
 SCHEMA = "doc_id long, severity double, p_toxic double, grade int, rejected boolean"
 U64 = np.uint64
 
@@ -91,19 +92,21 @@ def known(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return maybe[same], at[same]
 
 
-def vocabulary(packed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURES) -> np.ndarray:
+def vocabulary(texts: list[linear.Counted], y: np.ndarray) -> np.ndarray:
     """Sorted hashes of the features that speak for a toxic text, by sequential covering.
 
     The feature that tells most is taken, its tokens are set aside, and toxic rows
     that have it count for less from then on. So what merely stands beside known
-    evidence, in copies of one text above all, gathers no weight of its own.
+    evidence, in copies of one text above all, gathers no weight of its own. It goes
+    on until no feature tells enough.
     """
-    every, place = np.unique(np.concatenate([*packed, np.zeros(0, np.int32)]), return_inverse=True)
+    flat = [x.features.ravel() for x in texts]
+    every, place = np.unique(np.concatenate([*flat, np.zeros(0, np.int32)]), return_inverse=True)
     place = place.astype(np.int32)
-    ends = np.cumsum([len(x) for x in packed])[:-1]
+    ends = np.cumsum([len(x) for x in flat])[:-1]
     tokens = [x.reshape(-1, 1 + len(STEMS)) for x in np.split(place, ends)]
     order = np.argsort(place, kind="stable").astype(np.int32)
-    doc = np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) for x in packed])
+    doc = np.repeat(np.arange(len(flat), dtype=np.int32), [len(x) for x in flat])
     by_feature = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(every)))])
     cover = np.ones(len(y))
     seen = np.zeros((2, len(every)))
@@ -111,12 +114,12 @@ def vocabulary(packed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURE
         seen[int(k), np.unique(t)] += 1
     n = np.bincount(y, minlength=2)[:2].astype(float)
     chosen = np.zeros(len(every), bool)
-    for _ in range(most):
+    while len(every) and n.all():
         odds = np.log((seen[1] + 0.5) / (n[1] - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n[0] - seen[0] + 0.5))
         both, share = seen.sum(0), n[1] / n.sum()
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(seen[1] > 0, seen[1] * np.log(seen[1] / (both * share)), 0) + np.where(seen[0] > 0, seen[0] * np.log(seen[0] / (both * (1 - share))), 0))
-        ratio[odds < LEAST_LOG_ODDS] = 0
+        ratio[(odds < LEAST_LOG_ODDS) | chosen] = 0
         best = int(ratio.argmax())
         if ratio[best] < LEAST_RATIO:
             break
@@ -137,13 +140,31 @@ def vocabulary(packed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURE
     return every[chosen].astype(np.int64)
 
 
-def grades(hits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """0 for rows that aren't toxic, else 1 to GRADES by thirds of the hit density."""
+def _hits(columns: np.ndarray, x: linear.Counted) -> tuple[np.ndarray, np.ndarray]:
+    """Which vocabulary entries a text has, and how often."""
+    place, at = known(columns, x.features.ravel())
+    n = np.bincount(at, x.counts[place // (1 + len(STEMS))], len(columns)) if len(at) else np.zeros(len(columns))
+    some = np.flatnonzero(n)
+    return some, n[some]
+
+
+def grades(ids: np.ndarray, y: np.ndarray, texts: list[linear.Counted]) -> np.ndarray:
+    """0 for rows that aren't toxic, else 1 to GRADES by thirds of the evidence density.
+
+    Either half of the rows (by id hash) is looked at with the vocabulary of the other.
+    """
     out = np.zeros(len(y), int)
+    half = (bytescan.mix(ids.astype(np.int64).view(U64)) & U64(1)).astype(int)
+    density = np.zeros(len(y))
+    for k in (0, 1):
+        other = np.flatnonzero(half != k)
+        columns = vocabulary([texts[r] for r in other], y[other])
+        for r in np.flatnonzero((half == k) & (y == 1)):
+            density[r] = 100 * _hits(columns, texts[r])[1].sum() / max(texts[r].counts.sum(), 1)
     toxic = np.flatnonzero(y == 1)
     if len(toxic):
-        cuts = np.quantile(hits[toxic], np.arange(1, GRADES) / GRADES)
-        out[toxic] = 1 + np.searchsorted(cuts, hits[toxic], "left")
+        cuts = np.quantile(density[toxic], np.arange(1, GRADES) / GRADES)
+        out[toxic] = 1 + np.searchsorted(cuts, density[toxic], "left")
     return out
 
 
@@ -172,7 +193,7 @@ def fit_ordinal(x: linear.Sparse, grade: np.ndarray, columns: int, rounds: int =
         g_w = np.bincount(x.index, x.value * slope[x.row], columns) / n - decay * w / n
         square_w += g_w**2
         square_gap += g_gap**2
-        w = np.maximum(w + rate * g_w / np.sqrt(square_w), 0.0)  # the vocabulary only speaks for
+        w = w + rate * g_w / np.sqrt(square_w)
         gap += rate * g_gap / np.sqrt(square_gap)
     return w, gap[0] + np.concatenate([[0.0], np.cumsum(np.exp(gap[1:]))])
 
@@ -182,21 +203,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLA
 
     Without toxic rows or without evidence nothing is toxic.
     """
-    _, y, packed = linear.extract(linear.labelled(docs, labels, "toxic", per_class), features)
-    columns = vocabulary(packed, y) if len(np.unique(y)) == 2 else np.zeros(0, np.int64)
+    ids, y, texts = linear.extract(linear.labelled(docs, labels, "toxic", per_class), features, 1 + len(STEMS))
+    columns = vocabulary(texts, y) if len(np.unique(y)) == 2 else np.zeros(0, np.int64)
     if not len(columns):
         return Ordinal(columns, np.zeros(0), 0.0, 20.0 + np.arange(GRADES))
-    hits = [known(columns, x)[1] for x in packed]
-    tokens = np.array([len(x) for x in packed]) / (1 + len(STEMS))
-    counted = [np.unique(x, return_counts=True) for x in hits]
-    row = np.repeat(np.arange(len(y)), [len(i) for i, _ in counted])
-    value = np.concatenate([k for _, k in counted]) / np.sqrt(np.maximum(tokens, 1) / 100)[row]
-    some = np.flatnonzero([len(h) for h in hits])  # rows with any evidence: one more column
+    hits = [_hits(columns, x) for x in texts]
+    tokens = np.array([x.counts.sum() for x in texts])
+    row = np.repeat(np.arange(len(y)), [len(i) for i, _ in hits])
+    value = np.concatenate([n for _, n in hits]) / np.sqrt(np.maximum(tokens, 1) / 100)[row]
+    some = np.flatnonzero([len(i) for i, _ in hits])  # rows with any evidence: one more column
     row, value = np.concatenate([row, some]), np.concatenate([value, np.ones(len(some))])
-    x = linear.Sparse(row, np.concatenate([*(i for i, _ in counted), np.full(len(some), len(columns))]).astype(int), value, len(y))
-    density = 100 * np.array([len(h) for h in hits]) / np.maximum(tokens, 1)
-    w, thresholds = fit_ordinal(x, grades(density, y), len(columns) + 1)
-    return Ordinal(columns, np.maximum(w[:-1], 1e-3), float(w[-1]), thresholds)
+    x = linear.Sparse(row, np.concatenate([*(i for i, _ in hits), np.full(len(some), len(columns))]).astype(int), value, len(y))
+    w, thresholds = fit_ordinal(x, grades(ids, y, texts), len(columns) + 1)
+    return Ordinal(columns, w[:-1], float(w[-1]), thresholds)
 
 
 def score(docs: DataFrame, model: Ordinal, reject_from: float = REJECT_FROM) -> DataFrame:
