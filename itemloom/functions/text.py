@@ -78,15 +78,22 @@ def to_entries(enriched: DataFrame) -> DataFrame:
     return enriched.filter(F.coalesce(blank("content"), F.lit("")) != "").select("entry_id", F.coalesce(blank("subject_name"), F.lit(DEFAULT_SUBJECT)).alias("subject_name"), "content", number.alias("question_number"), page.cast("int").alias("source_page"), "pages")
 
 
+def _group_end(text: str, at: int, opens: str, closes: str) -> int | None:
+    """The place after the group whose opening character stands just before ``at``; None if it isn't closed."""
+    depth = 1
+    for m in re.compile(f"[{re.escape(opens + closes)}]").finditer(text, at):
+        depth += 1 if m[0] == opens else -1
+        if not depth:
+            return m.end()
+    return None
+
+
 def _braced(text: str, command: re.Pattern[str], form: str) -> str:
     """Replace each command and its braced argument, which may hold braces."""
     out, at = [], 0
     while m := command.search(text, at):
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[end], 0)
-            end += 1
-        if depth:  # never closed: stays
+        end = _group_end(text, m.end(), "{", "}")
+        if end is None:  # never closed: stays
             out.append(text[at : m.end()])
             at = m.end()
             continue
@@ -95,6 +102,24 @@ def _braced(text: str, command: re.Pattern[str], form: str) -> str:
     return "".join(out) + text[at:]
 
 
+# What document structure is taken out or becomes, in this order; braced commands come after the first table.
+STRUCTURE = (
+    (r"<[^>]+>", ""),
+    (r"\\(?:documentclass|usepackage|geometry)[^\n]*\n", ""),
+    (r"\\(?:begin|end)\{document\}", ""),
+)
+LAYOUT = (
+    (r"\\noindent\*?", ""),
+    (r"\\(?:bigskip|medskip|smallskip)\*?", ""),
+    (r"\\\$((?:4|6|8|10|12|20)pt\])", r"\\[$1"),
+    (r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$"),
+    (r"(?s)\\begin\{align\*\}(.+?)\\end\{align\*\}", r"\$\$\\begin{aligned}$1\\end{aligned}\$\$"),
+    (r"(?s)(?<!\$)\\begin\{aligned\}(.+?)\\end\{aligned\}(?!\$)", r"\$\$\\begin{aligned}$1\\end{aligned}\$\$"),
+    (r"\\qquad", "  "),
+    (r"\\quad", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"(?m)^[^\S\n]+|[^\S\n]+$", ""),
+)
 _BRACED = [(re.compile(rf"\\{name}\s*\{{"), form) for name, form in ((r"section\*?", ""), (r"subsection\*?", ""), ("textbf", "**#**"), ("textit", "*#*"), ("emph", "*#*"))]
 
 
@@ -109,49 +134,69 @@ def _braces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
-def clean_corpus(df: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts without LaTeX document structure, and how many rows changed.
+def clean_corpus(df: DataFrame, column: str = "text", source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts without LaTeX document structure, and how many rows changed, by ``source`` if it is given.
 
     Only rows with a command pass through Python, for nested braces.
     """
     t = F.col(column)
-    for pattern, new in ((r"<[^>]+>", ""), (r"\\(?:documentclass|usepackage|geometry)[^\n]*\n", ""), (r"\\(?:begin|end)\{document\}", "")):
+    for pattern, new in STRUCTURE:
         t = F.regexp_replace(t, pattern, new)
     t = F.when(t.rlike(r"\\(?:sub)?section|\\text(?:bf|it)|\\emph"), _braces(t)).otherwise(t)
-    for pattern, new in (
-        (r"\\noindent\*?", ""),
-        (r"\\(?:bigskip|medskip|smallskip)\*?", ""),
-        (r"\\\$((?:4|6|8|10|12|20)pt\])", r"\\["),
-        (r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$"),
-        (r"(?s)\\begin\{align\*\}(.+?)\\end\{align\*\}", r"\$\$\\begin{aligned}$1\\end{aligned}\$\$"),
-        (r"(?s)(?<!\$)\\begin\{aligned\}(.+?)\\end\{aligned\}(?!\$)", r"\$\$\\begin{aligned}$1\\end{aligned}\$\$"),
-        (r"\\qquad", "  "),
-        (r"\\quad", " "),
-        (r"\n{3,}", "\n\n"),
-        (r"(?m)^[^\S\n]+|[^\S\n]+$", ""),
-    ):
-        new = r"\\[$1" if pattern.startswith(r"\\\$") else new
+    for pattern, new in LAYOUT:
         t = F.regexp_replace(t, pattern, new)
     out = df.withColumn("cleaned", strip(t))
-    return out, out.agg(F.count("*").alias("n_rows"), F.count_if(F.col("cleaned") != F.col(column)).alias("n_changed"))
+    return out, out.groupBy(*[source] if source else []).agg(F.count("*").alias("n_rows"), F.count_if(F.col("cleaned") != F.col(column)).alias("n_changed"))
 
 
 _DELIMITED = re.compile(r"\$\$.+?\$\$|(?<!\$)\$(?!\$).+?(?<!\$)\$(?!\$)", re.DOTALL)
-_BOUNDARY = "[\u2e80-\u2fff\u3000-\u303f\u4e00-\u9fff\uff00-\uff60,;:!?.\n\r]"
-#: A command and what may follow it in a formula, nested braces to a depth of three.
-_GROUP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-_RUN = re.compile(rf"\\[a-zA-Z]+(?: *(?:{_GROUP}|[\^_](?:{_GROUP}|.)|\([^()]*\)|[)}}+\-=<>!0-9A-Za-z]|(?:(?!{_BOUNDARY}|\\|\$).)*?\\[a-zA-Z]+))*", re.DOTALL)
+# What ends a run of commands (Chinese text and punctuation), and what may follow a command besides groups.
+_BOUNDARY = re.compile("[\u2e80-\u2fff\u3000-\u303f\u4e00-\u9fff\uff00-\uff60,;:!?.\n\r]")
+_LOOSE = re.compile("(?:[ +\\-=<>!)}]|\\d|[^\\W_\u2000-\U0010ffff])*")
+_COMMAND = re.compile(r"\\[a-zA-Z]+")
+_GROUPS = {"{": "}", "(": ")"}
+
+
+def _run_end(text: str, at: int) -> int:
+    """Where the formula that holds the command before ``at`` ends; groups nest to any depth."""
+    while True:
+        at = _LOOSE.match(text, at).end()
+        found = text[at : at + 1]
+        if found and found in "^_":
+            at, found = at + 1, text[at + 1 : at + 2]
+            if found != "{":
+                at += len(found)
+                continue
+        if found not in _GROUPS:
+            return at
+        at = _group_end(text, at + 1, found, _GROUPS[found]) or len(text)
+
+
+def _wrapped(text: str) -> str:
+    """Text without delimiters, its runs of commands between dollar signs.
+
+    Commands with no boundary between them are one run; so are those that stand in a group of it.
+    """
+    out, at = [], 0
+    commands = list(_COMMAND.finditer(text))
+    while commands:
+        start, end = commands.pop(0).span()
+        while commands and not _BOUNDARY.search(text, end, commands[0].start()):
+            end = commands.pop(0).end()
+        end = _run_end(text, end)
+        while commands and commands[0].start() < end:
+            commands.pop(0)
+        out.append(f"{text[at:start]}${text[start:end]}$")
+        at = end
+    return "".join(out) + text[at:]
 
 
 def _delimit(text: str) -> str:
     out, at = [], 0
-    for m in [*_DELIMITED.finditer(text), None]:
-        end = m.start() if m else len(text)
-        out.append(_RUN.sub(lambda r: f"${r[0]}$", text[at:end]))
-        if m:
-            out.append(m[0])
-            at = m.end()
-    return "".join(out)
+    for m in _DELIMITED.finditer(text):
+        out.append(_wrapped(text[at : m.start()]) + m[0])
+        at = m.end()
+    return "".join(out) + _wrapped(text[at:])
 
 
 @F.pandas_udf(StringType())

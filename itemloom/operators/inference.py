@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from itemloom.functions.text import strip
+from itemloom.session import quoted
 
 QUESTION_TYPES = ("choice", "fill_blank", "calculation", "proof", "short_answer", "comprehensive", "true_false", "unknown")
 TOPIC = "struct<name:string, chapter:string, role:string, weight:double>"
@@ -56,6 +58,7 @@ def pending(items: DataFrame, done: DataFrame, force: bool = False) -> DataFrame
 
 
 _ESCAPES = set('"\\/bfnrtu')
+_OUTERMOST = (("object", "{", "}"), ("array", "[", "]"))
 
 
 def _repair(text: str) -> str:
@@ -69,35 +72,71 @@ def _repair(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(StringType())
-def _repaired(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: _repair(t) if t else t)
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
 
 
-def parse_responses(df: DataFrame, column: str = "response") -> tuple[DataFrame, DataFrame]:
+def _without_fences(text: str) -> str:
+    text = text.strip()
+    if not text.startswith("```"):
+        return text
+    lines = text.split("\n")[1:]
+    return "\n".join(lines[:-1] if lines and lines[-1].strip() == "```" else lines).strip()
+
+
+def _find_json(text: str) -> tuple[str, str] | None:
+    """How JSON was found in a text, and the JSON: the first way that gives some."""
+
+    def tries() -> Iterator[tuple[str, str]]:
+        yield "direct", text
+        yield "repaired", _repair(text)
+        for name, opens, closes in _OUTERMOST:
+            inner = text[text.find(opens) : text.rfind(closes) + 1] if opens in text else ""
+            yield name, inner
+            yield f"{name}_repaired", _repair(inner)
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            if line.strip()[:1] in ("{", "["):
+                yield "line", "\n".join(lines[k:])
+
+    return next(((name, t) for name, t in tries() if t and _is_json(t)), None)
+
+
+@F.pandas_udf(StructType([StructField("status", StringType()), StructField("json", StringType())]))
+def _found(contents: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for content, reasoning in contents:
+        rows = []
+        for c, r in zip(content, reasoning, strict=True):
+            found = _find_json(_without_fences(c)) if c else None
+            if not found and r and (found := _find_json(_without_fences(r))):
+                found = f"reasoning_{found[0]}", found[1]
+            rows.append(found or (None, None))
+        yield pd.DataFrame(rows, columns=["status", "json"], dtype=object)
+
+
+def parse_responses(df: DataFrame, column: str = "response", reasoning: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Responses with their JSON text and how it was found, and those without one.
 
     Tried in turn: the text without fences, the same with backslashes repaired, the
-    outermost object, the outermost array, and these repaired. Only texts with a
-    backslash are repaired, in Arrow batches.
+    outermost object, the outermost array, these repaired, and what follows a line that
+    begins like JSON; then the same on the column ``reasoning``, if there is one. Most texts parse at once in the
+    JVM; only the others pass through Python, in Arrow batches.
     """
     text = strip(F.coalesce(F.col(column), F.lit("")))
     fenced = strip(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))
-    plain = F.when(text.startswith("```"), fenced).otherwise(text)
-    with_text = df.withColumn("_plain", plain)
-    good = lambda c: F.try_parse_json(c).isNotNull() & (c != "")
-    repaired = lambda c: F.when(F.contains(c, F.lit("\\")), _repaired(c))
-    inner = [("object", F.nullif(F.regexp_extract("_plain", r"\{[\s\S]*\}", 0), F.lit(""))), ("array", F.nullif(F.regexp_extract("_plain", r"\[[\s\S]*\]", 0), F.lit("")))]
-    with_text = with_text.withColumns({f"_{n}": c for n, c in inner})
-    tried = with_text.withColumns({f"_{n}_fixed": repaired(F.col(f"_{n}")) for n in ("plain", "object", "array")})
-    found = F.lit(None).cast("struct<status:string,json:string>")
-    for name, status in (("_array_fixed", "array_repaired"), ("_array", "array"), ("_object_fixed", "object_repaired"), ("_object", "object"), ("_plain_fixed", "repaired"), ("_plain", "direct")):
-        c = F.col(name)
-        found = F.when(F.coalesce(good(c), F.lit(False)), F.struct(F.lit(status).alias("status"), c.alias("json"))).otherwise(found)
-    out = tried.withColumn("_found", found).select(*df.columns, F.col("_found.status").alias("status"), F.col("_found.json").alias("json"))
-    reason = F.when(text == "", "empty").otherwise("no JSON")
-    return out.filter("json IS NOT NULL"), out.filter("json IS NULL").select(*df.columns, reason.alias("error"))
+    tried = df.withColumn("_plain", F.when(text.startswith("```"), fenced).otherwise(text))
+    tried = tried.withColumn("_good", (F.col("_plain") != "") & F.try_parse_json("_plain").isNotNull())
+    thought = F.col(reasoning) if reasoning else F.lit(None)
+    rest = lambda c: F.when(~F.col("_good"), c)
+    tried = tried.withColumn("_found", _found(rest(F.col("_plain")), rest(thought).cast("string")))
+    status, found = F.when(F.col("_good"), "direct").otherwise(F.col("_found.status")), F.when(F.col("_good"), F.col("_plain")).otherwise(F.col("_found.json"))
+    reason = F.when(F.col("_plain") == "", "empty").otherwise("no JSON")
+    out = tried.select(*quoted(df), status.alias("status"), found.alias("json"), reason.alias("error"))
+    return out.filter("json IS NOT NULL").drop("error"), out.filter("json IS NULL").drop("status", "json")
 
 
 def _rules(q: Column) -> list[tuple[str, Column]]:
