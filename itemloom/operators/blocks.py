@@ -1,7 +1,7 @@
 """From typed document blocks to question spans.
 
 A block has document_id, page, reading_order, type, level, text, and inlines, an
-array of (type, content). Rules are tables of patterns, so that a corpus of another
+array of (type, content); it may have latex, a formula of its own. Rules are tables of patterns, so that a corpus of another
 language brings its own; the defaults are for Chinese exercise books.
 """
 
@@ -32,16 +32,34 @@ STRUCTURAL = ("page_header", "page_footer", "page_number")
 class CandidateRules:
     """What makes a block the start of a question."""
 
+    # Patterns and least lengths of the rules.
     leading_number: str = r"(?s)^(\d{1,2})\s+(.+)$"
     least_rest: int = 10
     numbered_title: str = r"^(一|二|三|四|五|六|七|八|九|十)[、．.\s]"
     long_text: int = 15
     formula_prefix: str = "^(设|已知|若|当|计算|求|证明)"
     math_text: str = r"[=()\[\]{}^_+]|(?i:lim|sin|cos|ln|log|exp)|^(I |设|已知|求|证明)"
-    question_prefix: str = "^(设函数|设常数|设|已知|求|证明|计算|讨论|判断|试证|若|当)"
+    question_prefix: str = "^(设|已知|求|证明|计算|讨论|判断|试证|若|当)"
     least_prefixed: int = 5
 
 
+# The names of the rules and their scores, in the order in which they are tried.
+METHOD_SCORES = {
+    "leading_number": 0.9,
+    "chinese_number_title": 0.7,
+    "formula_paragraph": 0.7,
+    "prefix_with_formula": 0.65,
+    "pure_formula": 0.4,
+    "text_math_expression": 0.5,
+    "question_prefix": 0.5,
+}
+
+
+def _latex(blocks: DataFrame) -> Column:
+    """A block's own formula, null where the table has none."""
+    return F.nullif(F.col("latex"), F.lit("")) if "latex" in blocks.columns else F.lit(None).cast("string")
+
+
 def block_text(column: str = "text") -> Column:
     """A block's text, else all its inlines."""
     own = F.nullif(F.col(column), F.lit(""))
@@ -66,8 +84,11 @@ def annotate_noise(blocks: DataFrame, patterns: tuple[tuple[str, str], ...] = NO
 
 
 def annotate_candidates(blocks: DataFrame, rules: CandidateRules = CandidateRules()) -> DataFrame:
-    """Blocks with method, score and number of a question start, null for others."""
-    text = block_text()
+    """Blocks with method, score and number of a question start, null for others.
+
+    A column ``latex``, if there is one, counts as a formula of the block, and as its text where it has no other.
+    """
+    text = F.coalesce(F.nullif(block_text(), F.lit("")), _latex(blocks), F.lit(""))
     plain = F.coalesce(F.array_join(F.transform(F.filter("inlines", lambda i: i["type"] == "text"), lambda i: i["content"]), ""), F.lit(""))
     stem = F.regexp_replace(plain, r"^\s+|\s+$", "")
     formulas = F.coalesce(F.size(F.filter("inlines", lambda i: i["type"] == "formula")), F.lit(0))
@@ -75,20 +96,20 @@ def annotate_candidates(blocks: DataFrame, rules: CandidateRules = CandidateRule
     number = F.regexp_extract(text, rules.leading_number, 1)
     rest = F.regexp_replace(F.regexp_extract(text, rules.leading_number, 2), r"^\s+|\s+$", "")
     kind = F.col("type")
-    is_paragraph, has_formula = kind == "paragraph", formulas > 0
+    is_paragraph, has_formula = kind == "paragraph", (formulas > 0) | _latex(blocks).isNotNull()
     numbered = (F.coalesce(number.try_cast("int"), F.lit(0)) >= 1) & (F.length(rest) > rules.least_rest)
-    tried = (
-        ("leading_number", 0.9, numbered),
-        ("chinese_number_title", 0.7, (kind == "title") & text.rlike(rules.numbered_title)),
-        ("formula_paragraph", 0.7, is_paragraph & has_formula & (F.length(stem) >= rules.long_text)),
-        ("prefix_with_formula", 0.65, is_paragraph & has_formula & stem.rlike(rules.formula_prefix)),
-        ("pure_formula", 0.4, is_paragraph & has_formula & (F.length(stem) == 0)),
-        ("text_math_expression", 0.5, is_paragraph & ~has_formula & (F.length(stem) >= rules.long_text) & stem.rlike(rules.math_text)),
-        ("question_prefix", 0.5, stem.rlike(rules.question_prefix) & (F.length(stem) >= rules.least_prefixed)),
-    )
+    holds = {
+        "leading_number": numbered,
+        "chinese_number_title": (kind == "title") & text.rlike(rules.numbered_title),
+        "formula_paragraph": is_paragraph & has_formula & (F.length(stem) >= rules.long_text),
+        "prefix_with_formula": is_paragraph & has_formula & stem.rlike(rules.formula_prefix),
+        "pure_formula": is_paragraph & has_formula & (F.length(stem) == 0),
+        "text_math_expression": is_paragraph & ~has_formula & (F.length(stem) >= rules.long_text) & stem.rlike(rules.math_text),
+        "question_prefix": stem.rlike(rules.question_prefix) & (F.length(stem) >= rules.least_prefixed),
+    }
     method, score = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, s, holds in reversed(tried):
-        method, score = F.when(holds, name).otherwise(method), F.when(holds, s).otherwise(score)
+    for name in reversed(METHOD_SCORES):
+        method, score = F.when(holds[name], name).otherwise(method), F.when(holds[name], METHOD_SCORES[name]).otherwise(score)
     able = kind.isin("paragraph", "title", "list_item")
     out = blocks.withColumn("method", F.when(able, method)).withColumn("score", F.when(able, score))
     return out.withColumn("number", F.when(F.col("method") == "leading_number", number))

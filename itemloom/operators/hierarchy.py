@@ -76,22 +76,29 @@ def topic_forest(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return topics.join(done, "id"), topics.join(up.filter("up IS NOT NULL").select("id"), "id", "left_semi")
 
 
-def move_topics(topics: DataFrame, moves: DataFrame, most_steps: int = 1000) -> tuple[DataFrame, DataFrame]:
+def move_topics(topics: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topics after the moves (id, new_parent), and the moves that were refused.
 
     A topic can't move under itself or a descendant, nor under a topic that isn't
-    there. All moves are judged on the tree as it was; null moves to the top.
+    there or reaches no root. All moves are judged on the tree as it was; null moves to the top.
+    A new parent is a descendant if as many steps up from it as it is deeper lead to
+    the topic; the steps are taken by doubling, so the rounds grow with the logarithm of
+    the depth.
     """
-    parent = topics.select(F.col("id").alias("n"), "parent_id")
-    state = moves.select("id", "new_parent", F.col("new_parent").alias("at"), F.lit(False).alias("refused"))
-    state = materialize(state, "moves")
-    for _ in range(most_steps):
-        if state.filter("NOT refused AND at IS NOT NULL").isEmpty():
-            break
-        walked = state.join(parent, F.col("at") == F.col("n"), "left")
-        lost = F.col("n").isNull() & F.col("at").isNotNull()
-        state = materialize(walked.select("id", "new_parent", F.col("parent_id").alias("at"), (F.col("refused") | F.coalesce(F.col("at") == F.col("id"), F.lit(False)) | lost).alias("refused")), "moves")
-    refused = F.col("refused") | F.col("at").isNotNull()
+    forest = materialize(topic_forest(topics)[0].select("id", "depth", "parent_id"), "depths")
+    own, above = forest.select(F.col("id").alias("o"), F.col("depth").alias("own_depth")), forest.select(F.col("id").alias("n"), F.col("depth").alias("new_depth"))
+    placed = moves.select("id", "new_parent").join(own, F.col("id") == F.col("o"), "left").join(above, F.col("new_parent") == F.col("n"), "left")
+    lost = F.col("new_parent").isNotNull() & F.col("n").isNull()
+    state = materialize(placed.select("id", "new_parent", F.col("new_parent").alias("at"), (F.col("new_depth") - F.col("own_depth")).alias("steps"), lost.alias("lost")), "moves")
+    up = forest.select(F.col("id").alias("n"), F.col("parent_id").alias("up"))
+    most, step = state.agg(F.max("steps")).first()[0] or 0, 1
+    while step <= most:
+        taken = (F.col("steps") > 0) & (F.col("steps").bitwiseAND(F.lit(step)) != 0)
+        state = materialize(state.join(up, F.col("at") == F.col("n"), "left").select("id", "new_parent", F.when(taken, F.col("up")).otherwise(F.col("at")).alias("at"), "steps", "lost"), "moves")
+        further = up.select(F.col("n").alias("m"), F.col("up").alias("far"))
+        up = materialize(up.join(further, F.col("up") == F.col("m"), "left").select("n", F.col("far").alias("up")), "up")
+        step *= 2
+    refused = F.col("lost") | F.coalesce((F.col("steps") >= 0) & (F.col("at") == F.col("id")), F.lit(False))
     taken = state.filter(~refused).groupBy("id").agg(F.max(F.struct("new_parent")).alias("to"))
     moved = topics.join(taken, "id", "left").withColumn("parent_id", F.when(F.col("to").isNotNull(), F.col("to.new_parent")).otherwise(F.col("parent_id"))).drop("to")
     return moved.select(*topics.columns), state.filter(refused).select("id", "new_parent")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemloom.functions.ids import assign_ids
+
 
 def with_hierarchy(links: DataFrame, topics: DataFrame, chapters: DataFrame, subjects: DataFrame) -> DataFrame:
     """Links with the names and ids of topic, chapter and subject."""
@@ -164,9 +166,20 @@ def exam_counts(exams: DataFrame, bridge: DataFrame) -> DataFrame:
 def append_ordered(existing: DataFrame, new: DataFrame, parent_col: str | None = None, order: str = "id") -> DataFrame:
     """New rows with the sort orders that follow the greatest one of their parent.
 
-    Without ``parent_col`` all rows are one list.
+    A null parent is a list of its own. Without ``parent_col`` all rows are one list, which is
+    numbered by ranges of ``order``.
     """
-    key = F.col(parent_col) if parent_col else F.lit(0)
-    last = existing.groupBy(key.alias("k")).agg(F.max("sort_order").alias("last"))
-    numbered = new.withColumn("k", key).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(order)))
-    return numbered.join(last, "k", "left").withColumn("sort_order", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("bigint")).drop("k", "n", "last")
+    if parent_col is None:
+        last = existing.agg(F.max("sort_order").alias("last")).first().last
+        return assign_ids(new.drop("sort_order"), [order], 0 if last is None else last + 1, "sort_order")
+    last = existing.groupBy(F.col(parent_col).alias("k")).agg(F.max("sort_order").alias("last"))
+    numbered = new.withColumn("n", F.row_number().over(Window.partitionBy(parent_col).orderBy(order)))
+    joined = numbered.join(last, F.col(parent_col).eqNullSafe(F.col("k")), "left")
+    return joined.withColumn("sort_order", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("bigint")).drop("k", "n", "last")
+
+
+def numbered_order(items: DataFrame, descending: bool = False, name: str = "place") -> DataFrame:
+    """Items with their place (from 1) in the order of ``order_by_number``, numbered by ranges."""
+    value = number_value("question_number")
+    keyed = items.withColumn("_none", F.col("question_number").isNull()).withColumn("_value", -value if descending else value)
+    return assign_ids(keyed, ["_none", "_value", "id"], 1, name).drop("_none", "_value")

@@ -80,14 +80,20 @@ def import_report(accepted: DataFrame, refused: DataFrame) -> DataFrame:
     return accepted.agg(F.lit("imported").alias("outcome"), F.count("*").alias("n")).union(refused.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n")))
 
 
+def new_rows(accepted: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """Accepted entries as items with ids from ``start``, and their links; of an entry's links to one topic the first counts."""
+    numbered = assign_ids(accepted, ["entry_id"], start, "id")
+    spread = numbered.select("id", F.explode("links").alias("l")).select(F.col("id").alias("item_id"), "l.*")
+    first = F.row_number().over(Window.partitionBy("item_id", "topic_id").orderBy("at"))
+    links = spread.withColumn("n", first).filter("n = 1").select("item_id", "topic_id", F.coalesce("role", F.lit("primary")).alias("role"), safe_weight(F.col("weight")).cast("decimal(6,4)").alias("weight"))
+    return numbered.drop("links"), links
+
+
 def write_entries(accepted: DataFrame, items: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items and links after the import; of an entry's links to one topic the first counts."""
-    numbered = assign_ids(accepted, ["entry_id"], next_id(items), "new_id")
-    new_items = numbered.select(F.col("new_id").alias("id"), *[c for c in items.columns if c != "id" and c in numbered.columns])
-    spread = numbered.select("new_id", F.explode("links").alias("l")).select(F.col("new_id").alias("item_id"), "l.*")
-    first = F.row_number().over(Window.partitionBy("item_id", "topic_id").orderBy("at"))
-    new_links = spread.withColumn("n", first).filter("n = 1").select("item_id", "topic_id", F.coalesce("role", F.lit("primary")).alias("role"), safe_weight(F.col("weight")).cast("decimal(6,4)").alias("weight"))
-    return items.unionByName(new_items, allowMissingColumns=True), links.unionByName(new_links)
+    new_items, new_links = new_rows(accepted, next_id(items))
+    own = new_items.select(*[c for c in items.columns if c in new_items.columns])
+    return items.unionByName(own, allowMissingColumns=True), links.unionByName(new_links)
 
 
 def replace_links(links: DataFrame, item_tags: DataFrame, new_links: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:

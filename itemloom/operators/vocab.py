@@ -9,8 +9,11 @@ BATCH = 80
 
 
 def canonicalise(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """``df`` with a name column trimmed and replaced by its canonical form, one hop only."""
-    known = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical")).dropDuplicates(["_alias"])
+    """``df`` with a name column trimmed and replaced by its canonical form, one hop only.
+
+    Of an alias that is listed more than once the least canonical form counts.
+    """
+    known = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("canonical").alias("_canonical"))
     joined = df.withColumn(column, F.trim(column)).join(known, F.col(column) == F.col("_alias"), "left")
     return joined.withColumn(column, F.coalesce("_canonical", column)).drop("_alias", "_canonical")
 

@@ -77,6 +77,7 @@ def blocks_of(documents: DataFrame) -> DataFrame:
         F.when(F.size("bbox") >= 4, F.struct(*[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])).alias("bbox"),
         F.when(F.col("type") == "title", F.coalesce(F.get_json_object("content", "$.level").try_cast("int"), F.lit(1))).alias("level"),
         F.coalesce(formula, furniture).alias("text"),
+        formula.alias("latex"),
         inlines.alias("inlines"),
         F.when(F.col("type") == "table", F.get_json_object("content", "$.html")).alias("html"),
         path.alias("image_path"),

@@ -12,20 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from itemloom.operators.resolve import new_rows
+from itemloom.session import discard, materialize
 
-def mark_stream(marks: DataFrame, out: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+
+def mark_stream(marks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write the latest mark of each item in every batch to ``out``, one folder a batch.
 
-    ``marks`` is a stream of mark_id, item_id, level and ts; repeats of a mark within
-    ``late`` count once. latest_of() reads the folders together.
+    ``marks`` is a stream of mark_id, item_id, level and ts. Marks count however late
+    they come, and repeats change nothing: latest_of() reads the folders together and
+    takes the last by time, then mark id. No state is held.
     """
-    once = marks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["mark_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         last = F.max_by(F.struct("level", "ts", "mark_id"), F.struct("ts", "mark_id"))
         batch.filter(F.col("level").between(0, 5)).groupBy("item_id").agg(last.alias("m")).select("item_id", "m.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return marks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def latest_of(batches: DataFrame) -> DataFrame:
@@ -34,23 +37,33 @@ def latest_of(batches: DataFrame) -> DataFrame:
     return batches.groupBy("item_id").agg(last.alias("m")).select("item_id", F.col("m.level").alias("level"), F.col("m.ts").alias("ts"))
 
 
-def import_stream(entries: DataFrame, accept: Callable[[DataFrame], tuple[DataFrame, DataFrame]], out: str, checkpoint: str) -> StreamingQuery:
-    """Accept or refuse a stream of entries batch by batch into ``out``.
+_TOTALS = "imported long, refused long, imported_so_far long, refused_so_far long"
+
 
-    ``accept`` gives the accepted and the refused of a batch. Accepted ones are keyed
-    by the hash of subject and content; those that an earlier batch wrote are skipped.
+def import_stream(entries: DataFrame, accept: Callable[[DataFrame], tuple[DataFrame, DataFrame]], start: int, out: str, checkpoint: str) -> StreamingQuery:
+    """Import a stream of entries batch by batch: items and links as new_rows() makes them, refused entries, totals.
+
+    ``accept`` gives the accepted and the refused of a batch; items get ids from
+    ``start`` on, in order of entry id within a batch. An entry is known by its entry_id: one
+    that comes again is passed over by the stream's own state, and no earlier batch is
+    read again but for its line of totals. Each table is a folder of ``out``, with a folder for each batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        accepted, refused = accept(batch)
-        key = F.sha2(F.concat_ws("\u0001", "subject_name", "content"), 256)
-        keyed = accepted.withColumn("content_key", key).dropDuplicates(["content_key"])
-        earlier = [f"{out}/accepted/batch={k}" for k in range(batch_id)]
-        if earlier:
-            known = spark.read.schema("content_key string").option("ignoreMissingFiles", True).parquet(*earlier)
-            keyed = keyed.join(known, "content_key", "left_anti")
-        keyed.write.mode("overwrite").parquet(f"{out}/accepted/batch={batch_id}")
-        refused.write.mode("overwrite").parquet(f"{out}/refused/batch={batch_id}")
-
-    return entries.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        spark, batch = batch.sparkSession, materialize(batch, "batch")
+        write_to = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        before = (0, 0)
+        if batch_id:
+            lines = [f"{out}/totals/batch={k}" for k in range(batch_id)]
+            before = tuple(spark.read.schema(_TOTALS).parquet(*lines).agg(F.sum("imported"), F.sum("refused")).first())
+        accepted, refused = (materialize(df, "batch") for df in accept(batch))
+        items, links = new_rows(accepted, start + before[0])
+        write_to(items, "items")
+        write_to(links, "links")
+        write_to(refused, "refused")
+        n = accepted.count(), refused.count()
+        write_to(spark.createDataFrame([(*n, before[0] + n[0], before[1] + n[1])], _TOTALS).coalesce(1), "totals")
+        discard(batch, accepted, refused)
+
+    once = entries.dropDuplicates(["entry_id"])
+    return once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
