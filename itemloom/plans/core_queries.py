@@ -202,14 +202,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return I.append_ordered(m.topics.filter("id % 2 = 0"), new, "chapter_id")
 
 
-@query("o38_order_by_number", model_sql("SELECT id, question_number, row_number() OVER (ORDER BY question_number IS NULL, coalesce(TRY_CAST(nullif(regexp_extract(question_number, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) DESC, id) AS place FROM (SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN question_number || 'a' WHEN id % 13 = 0 THEN 'abc' ELSE question_number END AS question_number FROM items) ORDER BY place LIMIT 50"))
+@query("o38_order_by_number", model_sql("SELECT id, question_number, row_number() OVER (ORDER BY question_number IS NULL, coalesce(TRY_CAST(nullif(regexp_extract(question_number, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) DESC, id) AS place FROM (SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN question_number || 'a' WHEN id % 13 = 0 THEN 'abc' ELSE question_number END AS question_number FROM items)"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     n = F.col("question_number")
     items = m.items.withColumn("question_number", F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 7 == 0, F.concat(n, F.lit("a"))).when(F.col("id") % 13 == 0, "abc").otherwise(n))
-    top = I.order_by_number(items, descending=True).limit(50)
-    place = F.row_number().over(Window.orderBy(F.col("question_number").isNull(), I.number_value("question_number").desc(), "id"))
-    return top.select("id", "question_number", place.cast("bigint").alias("place"))
+    return I.numbered_order(items, descending=True).select("id", "question_number", "place")
 
 
 _SCORED = f"""{_NEED},

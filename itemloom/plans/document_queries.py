@@ -11,7 +11,7 @@ from itemloom.operators import blocks as B
 from itemloom.operators import inference as N
 from itemloom.operators import resolve as R
 from itemloom.functions import text as T
-from itemloom.functions.ids import number_within
+from itemloom.functions.ids import next_id, number_within
 from itemloom.plans.bindings import Model, model_sql
 from itemloom.plans.core_queries import CHAIN
 from itemloom.plans.hierarchy_queries import _ENTRIES, _MARKS, entries, marks
@@ -251,17 +251,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.array_join(T.page_list(t), ",").alias("pages"))
 
 
-@query("o58_clean_corpus")
+_LATEX = "event_id % 3 = 0"
+
+
+def _latex_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit("\\documentclass{article}\n\\section{A {nested} one} \\textbf{"), "event_type", F.lit("} and \\[x^2\\] \\quad "), F.col("user_id").cast("string"))
+    return table(spark, d, "events").select("event_id", "event_type", F.when(F.expr(_LATEX), t).otherwise(F.concat("event_type", F.lit(" as it is"))).alias("text"))
+
+
+@query("o58_clean_corpus", f"SELECT event_id, CASE WHEN {_LATEX} THEN '**' || event_type || '** and $$x^2$$   ' || user_id ELSE event_type || ' as it is' END AS cleaned FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("\\documentclass{article}\n\\section{A {nested} one} \\textbf{"), "event_type", F.lit("} and \\[x^2\\] \\quad "), "props")
-    out, _ = T.clean_corpus(table(spark, d, "events").select("event_id", t.alias("text")))
-    return out.select("event_id", "cleaned")
+    return T.clean_corpus(_latex_texts(spark, d))[0].select("event_id", "cleaned")
 
 
-@query("o59_delimit_formulas")
+@query("o58_clean_changes", f"SELECT event_type, count(*) AS n_rows, count(*) FILTER (WHERE {_LATEX}) AS n_changed FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat("event_type", F.lit(": \\frac{a}{b_{1}} + \\sqrt{x}, then $\\pi$ and \\alpha^2"))
-    return T.delimit_formulas(table(spark, d, "events").select("event_id", t.alias("text"))).select("event_id", "delimited")
+    return T.clean_corpus(_latex_texts(spark, d), source="event_type")[1]
+
+
+@query(
+    "o59_delimit_formulas",
+    r"SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ': $\frac{a}{b_{1}} + \sqrt{x}$, then $\pi$ and $\alpha^2$' WHEN 1 THEN event_type || '; $\frac{a{b{c{d{' || user_id || '}}}}} + \max(f(g(x)))$, end' ELSE event_type END AS delimited FROM events",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    plain = F.concat("event_type", F.lit(": \\frac{a}{b_{1}} + \\sqrt{x}, then $\\pi$ and \\alpha^2"))
+    deep = F.concat("event_type", F.lit("; \\frac{a{b{c{d{"), "user_id", F.lit("}}}}} + \\max(f(g(x))), end"))
+    t = F.when(F.col("event_id") % 3 == 0, plain).when(F.col("event_id") % 3 == 1, deep).otherwise(F.col("event_type"))
+    return T.delimit_formulas(e.select("event_id", t.alias("text"))).select("event_id", "delimited")
 
 
 @query("o62_to_entries", _sql("SELECT document_id * 100000 + span AS entry_id, CASE WHEN document_id % 2 = 0 THEN 'S' || document_id % 3 ELSE 'uncategorised' END AS subject_name, coalesce(nullif(regexp_extract(text, '^(?:第\\s*)?(\\d{1,4})', 1), ''), CAST(span + 1 AS VARCHAR)) AS question_number, page_list[1] AS source_page FROM spans WHERE trim(text) != ''"))
@@ -289,9 +306,10 @@ def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return requests, cache
 
 
-@query("o73_cache_hits", "SELECT count(*) AS n FROM conversations WHERE role = 'user' AND md5('s:' || text) IN (SELECT md5('s:' || text) FROM conversations WHERE conv_id % 2 = 0)")
+@query("o73_cache_hits", "SELECT md5('s:' || text) AS content_hash, text AS content, '{}' AS response_json FROM conversations WHERE role = 'user' AND md5('s:' || text) IN (SELECT md5('s:' || text) FROM conversations WHERE conv_id % 2 = 0)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return N.split_by_cache(*_requests(spark, d))[0].agg(F.count("*").alias("n"))
+    requests, cache = _requests(spark, d)
+    return N.split_by_cache(requests, cache)[0].select("content_hash", "content", "response_json")
 
 
 @query("o73_cache_pending", "SELECT DISTINCT md5('s:' || text) AS content_hash, 's' AS subject_name, text AS content FROM conversations WHERE role = 'user' AND md5('s:' || text) NOT IN (SELECT md5('s:' || text) FROM conversations WHERE conv_id % 2 = 0)")
@@ -342,12 +360,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     marks(m).repartitionByRange(4, "ts").write.parquet(f"{out}/in")
     stream = spark.readStream.schema(marks(m).schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
-    streams.mark_stream(stream, f"{out}/latest", f"{out}/checkpoint", late="400 days").awaitTermination()
+    streams.mark_stream(stream, f"{out}/latest", f"{out}/checkpoint").awaitTermination()
     found = streams.latest_of(spark.read.parquet(f"{out}/latest"))
     return found.select("item_id", "level", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("o79_import_stream", model_sql(f"{_ENTRIES} SELECT entry_id FROM state WHERE subject_id IS NOT NULL AND n_lost = 0"))
+@query("o79_import_stream", model_sql(f"{_ENTRIES} SELECT r.entry_id, count(DISTINCT r.topic_id) AS n_links FROM state s JOIN resolved r ON r.entry_id = s.entry_id WHERE s.subject_id IS NOT NULL AND n_lost = 0 GROUP BY 1"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     out = f"{shared_dir(spark)}/imports-{uuid.uuid4().hex}"
     m = Model(spark, d)
@@ -355,5 +373,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     all_entries.repartition(4).write.parquet(f"{out}/in")
     stream = spark.readStream.schema(all_entries.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
     accept = lambda b: R.accept_entries(b, R.resolve_topics(b, m.aliases, m.topics, m.chapters, m.subjects), m.subjects)
-    streams.import_stream(stream, accept, f"{out}/out", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/out/accepted").select("entry_id")
+    streams.import_stream(stream, accept, next_id(m.items), f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    links = spark.read.parquet(f"{out}/out/links").groupBy("item_id").agg(F.count("*").alias("n_links"))
+    return spark.read.parquet(f"{out}/out/items").join(links, F.col("id") == F.col("item_id")).select("entry_id", "n_links")

@@ -57,10 +57,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _named(*again).select("topic", "chapter", "subject", F.col("sort_order").cast("int").alias("sort_order"))
 
 
-@query("o02_seed", model_sql("SELECT count(*) AS n_topics, count(DISTINCT name) AS n_names, min(id) AS least, max(id) AS most FROM (SELECT name, row_number() OVER () AS id FROM topics)"))
+@query("o02_seed", model_sql(_LOADED))
 def _(spark: SparkSession, d: str) -> DataFrame:
     seeded = H.seed(H.flatten_syllabus(_syllabus(Model(spark, d))), *_empty(spark))
-    return seeded[2].agg(F.count("*").alias("n_topics"), F.count_distinct("name").alias("n_names"), F.min("id").alias("least"), F.max("id").alias("most"))
+    return _named(*seeded).select("topic", "chapter", "subject", F.col("sort_order").cast("int").alias("sort_order"))
 
 
 @query("o44_get_or_create", model_sql("SELECT name, coalesce(old, 1000 + row_number() OVER (PARTITION BY old IS NULL ORDER BY name)) AS id FROM (SELECT name, max(old) AS old FROM (SELECT p_brand AS name, NULL AS old FROM part UNION ALL SELECT DISTINCT p_brand, 1000 FROM part WHERE p_brand = 'Brand#7') GROUP BY 1)"))
@@ -265,14 +265,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.normalise_links(spoiled, snap_roles=True).select("item_id", "topic_id", "weight")
 
 
-_MARKS = "marks AS (SELECT event_id AS mark_id, event_id % (SELECT count(*) FROM orders) % 700 AS item_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 5 WHEN 'error' THEN 9 ELSE 3 END AS level, ts FROM events)"
+_MARKS = "marks AS (SELECT event_id AS mark_id, event_id % (SELECT count(*) FROM orders) AS item_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 5 WHEN 'error' THEN 9 ELSE 3 END AS level, ts FROM events)"
 
 
 def marks(m: Model, events: DataFrame | None = None) -> DataFrame:
     level = F.expr("CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 5 WHEN 'error' THEN 9 ELSE 3 END")
     n = m._table("orders").count()
     events = m._table("events") if events is None else events
-    return events.select(F.col("event_id").alias("mark_id"), (F.col("event_id") % n % 700).alias("item_id"), level.alias("level"), F.col("ts").cast("timestamp").alias("ts"))
+    return events.select(F.col("event_id").alias("mark_id"), (F.col("event_id") % n).alias("item_id"), level.alias("level"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 @query("o75_apply_marks", model_sql(f"{_MARKS}, last AS (SELECT item_id, arg_max(level, (ts, mark_id)) AS level, max(ts) AS ts FROM marks WHERE level BETWEEN 0 AND 5 GROUP BY 1) SELECT i.id, coalesce(l.level, i.mastery_level) AS mastery_level, coalesce(l.ts, i.updated_at) AS updated_at FROM items i LEFT JOIN last l ON l.item_id = i.id"))

@@ -194,7 +194,7 @@ def test_clean_latex(spark):
 
 @pytest.mark.parametrize(
     ("given", "out"),
-    [("no commands", "no commands"), ("so \\alpha^2 is", "so $\\alpha^2 is$"), ("keep $\\pi$ and \\frac{a}{b}, end", "keep $\\pi$ and $\\frac{a}{b}$, end"), ("\\alpha，\\beta", "$\\alpha$，$\\beta$")],
+    [("no commands", "no commands"), ("so \\alpha^2 is", "so $\\alpha^2 is$"), ("keep $\\pi$ and \\frac{a}{b}, end", "keep $\\pi$ and $\\frac{a}{b}$, end"), ("\\alpha，\\beta", "$\\alpha$，$\\beta$"), ("\\frac{a{b{c{d{e}}}}}", "$\\frac{a{b{c{d{e}}}}}$"), ("\\max(f(g(x)), y)", "$\\max(f(g(x)), y)$"), ("\\frac{a, \\beta} c", "$\\frac{a, \\beta} c$")],
 )
 def test_delimit_formulas(spark, given, out):
     assert T.delimit_formulas(spark.createDataFrame([(given,)], "text string")).first().delimited == out
@@ -207,6 +207,47 @@ def test_responses(spark):
     assert {r.response_id: r.error for r in failed.collect()} == {5: "no JSON", 6: "empty", 7: "empty"}
 
 
+def test_reasoning_and_lines_are_searched_last(spark):
+    rows = [(1, "no", '```json\n{"a":1}\n```'), (2, '{"b":2}', '{"a":1}'), (3, None, None), (4, "so {x\n[1]\n", None), (5, "", "x {\"a\":\"\\q\"} y")]
+    found, failed = N.parse_responses(spark.createDataFrame(rows, "response_id long, response string, thought string"), reasoning="thought")
+    assert {r.response_id: (r.status, r.json) for r in found.collect()} == {1: ("reasoning_direct", '{"a":1}'), 2: ("direct", '{"b":2}'), 4: ("array", "[1]"), 5: ("reasoning_object_repaired", '{"a":"\\\\q"}')}
+    assert [r.response_id for r in failed.collect()] == [3]
+
+
+def test_changes_by_source(spark):
+    rows = [("a", "\\quad x"), ("a", "x"), ("b", "y")]
+    _, stats = T.clean_corpus(spark.createDataFrame(rows, "source string, text string"), source="source")
+    assert {tuple(r) for r in stats.collect()} == {("a", 2, 1), ("b", 1, 0)}
+
+
+def test_a_block_formula_counts(spark):
+    rows = [(1, 1, 0, "paragraph", None, None, [], "x^2"), (1, 1, 1, "paragraph", None, None, [], None)]
+    got = B.annotate_candidates(spark.createDataFrame(rows, "document_id long, page int, reading_order int, type string, level int, text string, inlines array<struct<type:string,content:string>>, latex string"))
+    assert [r.method for r in got.orderBy("reading_order").collect()] == ["pure_formula", None]
+
+
+def test_sort_orders_follow_a_null_parent_and_one_list(spark):
+    old = spark.createDataFrame([(1, None, 0), (2, None, 1), (3, 7, 4)], "id long, parent long, sort_order long")
+    new = spark.createDataFrame([(4, None), (5, 7), (6, 8)], "id long, parent long")
+    assert {r.id: r.sort_order for r in I.append_ordered(old, new, "parent").collect()} == {4: 2, 5: 5, 6: 0}
+    assert {r.id: r.sort_order for r in I.append_ordered(old, new).collect()} == {4: 5, 5: 6, 6: 7}
+
+
+def test_moves_in_a_deep_tree(spark):
+    n = 1500
+    topics = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(5000, None), (6000, 6001), (6001, 6000)], "id long, parent_id long")
+    moves = [(5000, n - 1), (3, n - 1), (10, 10), (20, 19), (30, 77777), (40, None), (50, 6000)]
+    moved, refused = H.move_topics(topics, spark.createDataFrame(moves, "id long, new_parent long"))
+    assert {r.id for r in refused.collect()} == {3, 10, 30, 50}
+    parent = {r.id: r.parent_id for r in moved.collect()}
+    assert parent[5000] == n - 1 and parent[20] == 19 and parent[40] is None and parent[3] == 2
+
+
+def test_repeated_aliases_take_the_least(spark):
+    aliases = spark.createDataFrame([("a", "z"), ("a", "y")], "alias string, canonical string")
+    assert V.canonicalise(spark.createDataFrame([("a ",)], "name string"), "name", aliases).first().name == "y"
+
+
 def test_ocr_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         '[[{"type":"title","bbox":[1,2,3,4],"content":{"title_content":[{"type":"text","content":"T"}],"level":2}},'
