@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.session import materialize
+from itemloom.session import materialize, quoted
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -148,11 +148,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The documents of which the mix takes words: doc_id, text, source, size, target, repeats, taken."""
+    """The documents of which the mix takes words: all their columns, then size, target, repeats and taken.
+
+    Where a document's own column has one of these names, the new one is called mix_size and so on.
+    Rows without words are never taken. Otherwise as in ``mix``.
+    """
     sized = materialize(_sized(docs, "doc_id"), "mixing-sizes")
-    joined = _join_sources(_sized(docs, "doc_id", "text"), _plan(sized, weights, most))
-    out = joined.select("doc_id", "text", "source", "size", "target", _repeats(most).alias("repeats"), (F.col("size") * _repeats(most)).alias("taken"))
-    return out.filter("taken > 0")
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    joined = _join_sources(rows, _plan(sized, weights, most))
+    named = {"size": F.col("size"), "target": F.col("target"), "repeats": _repeats(most), "taken": F.col("size") * _repeats(most)}
+    new = [c.alias(f"mix_{name}" if name in docs.columns else name) for name, c in named.items()]
+    return joined.filter(named["taken"] > 0).select("row.*", *new)
 
 
 #: The mix with the default weights as SQL.

@@ -253,4 +253,5 @@ def without_toxic(docs: DataFrame, model: Ordinal, reject_from: float = REJECT_F
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots can't be passed
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

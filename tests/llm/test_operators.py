@@ -604,5 +604,88 @@ def test_pipeline_stages_keep_the_columns(spark, labelled, tmp_path):
     spark.createDataFrame([(1, docs.filter("doc_id = 7").first().text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out and 7 not in out and not any(i % 5 == 0 for i in out)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        columns = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns
+        assert columns == docs.columns + (["size", "target", "repeats", "taken"] if name == "source mix" else [])
+
+
+def test_pipeline_on_odd_tables(spark, none, no_labels, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, a long text, and clashing and dotted extra columns."""
+    import corpus_pipeline
+
+    odd = [(None,) * 5, (None, "a b", None, None, None), (1, "", "", "", 0), (2, "x y " * 9000, "en", "s", 1), (2, "x y " * 9000, "en", "s", 1), (3, "one\ntwo", None, "s", 7)]
+    for k, rows in enumerate((none, spark.createDataFrame(odd, DOCS))):
+        more = rows.selectExpr("*", "1 AS size", "2 AS node", "'u' AS `meta.url`", "'t' AS line", "3 AS label", "4 AS row")
+        more.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        no_labels.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        assert out.columns == [*more.columns, "mix_size", "target", "repeats", "taken"]
+        assert {r.doc_id for r in out.collect()} <= {None, 2, 3} and out.count() <= (4 if k else 0)
+
+
+@pytest.mark.parametrize("module", [quality_rules, cotrain, toxicity])
+def test_clashing_columns_and_repeated_rows(module, labelled):
+    """Extra columns change nothing, and a text scores the same among other neighbours."""
+    docs, labels = labelled
+    model = module.fit(docs, labels)
+    plain = {r.doc_id: tuple(r) for r in module.score(docs, model).collect()}
+    more = docs.selectExpr("*", "1 AS label", "2 AS row", "'u' AS `meta.url`", "3 AS kept").orderBy("text").repartition(3)
+    again = module.score(more.union(more), model).collect()
+    assert len(again) == 2 * len(plain) and all(tuple(r) == plain[r.doc_id] for r in again)
+    assert module.score(more, module.fit(more, labels)).count() == len(plain)
+
+
+def test_sums_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(20)
+    row = rng.normal(size=333) * 1e3
+    for before in (0, 7, 1000):
+        values = np.concatenate([rng.normal(size=before) * 1e9, row, rng.normal(size=50)])
+        assert bytescan.sums(values, np.array([0, before, before, before + 333, len(values)]))[2] == bytescan.sums(row, np.array([0, 333]))[0]
+
+
+def test_exchange_adds_up_certain_documents(labelled):
+    """The sums that Spark gives are those of a plain loop over the documents."""
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled
+    rows = cotrain._columns(docs)
+    views = cotrain.fit(docs, labels, rounds=0)
+    text, meta = cotrain.exchanged(rows, views)
+    expected = np.zeros_like(text), np.zeros_like(meta)
+    limit = np.log(cotrain.CERTAIN / (1 - cotrain.CERTAIN))
+    for r in rows.filter(F.col("text").isNotNull()).collect():
+        c = next(bytescan.chunks(pa.array([r.text])))
+        odds = views.odds(c, [r.source], [r.lang])
+        index, _ = linear.text_features(c)
+        halves = Counter(int(i >= linear.DIMS // 2) for i in index)
+        for k, sign in ((0, -1), (1, 1)):
+            if sign * odds[1][0] >= limit:
+                for i in index:
+                    expected[0][k, i] += linear.SCALE / halves[int(i >= linear.DIMS // 2)]
+            if sign * odds[0][0] >= limit:
+                expected[1][k, cotrain.metadata(c, [r.source], [r.lang])[0]] += 1
+    assert text.sum() + meta.sum() > 0 and np.allclose(text, expected[0], atol=1e-4) and np.allclose(meta, expected[1])
+
+
+def test_ordinal_likelihood_against_a_plain_one():
+    """At the fitted weights no small step in any direction has a higher plain likelihood."""
+    rng = np.random.default_rng(24)
+    values, grade = rng.normal(size=(200, 2)), rng.integers(0, 4, 200)
+    values[:, 0] += grade
+    x = linear.Sparse(np.repeat(np.arange(200), 2), np.tile([0, 1], 200), values.ravel(), 200)
+    w, thresholds = toxicity.fit_ordinal(x, grade, 2, rounds=3000)
+
+    def plain(w, thresholds):
+        total = 0.0
+        for v, g in zip(values, grade, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(t - v @ w)) for t in thresholds), 0.0]
+            total += np.log(above[g] - above[g + 1])
+        return total - 0.5 * 1e-3 * (w @ w)
+
+    best = plain(w, thresholds)
+    for k in range(5):
+        for step in (-0.02, 0.02):
+            moved = np.concatenate([w, thresholds])
+            moved[k] += step
+            assert plain(moved[:2], moved[2:]) < best + 1e-6
