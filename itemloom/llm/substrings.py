@@ -10,7 +10,7 @@ similarity 3/4 share the least element under HASHES functions but in one case of
 Windows with equal least elements meet by hash bucket. Those of other nodes that also agree on
 the least element of what stands left or right of theirs, under one of SIDES further functions, put
 their regions in the group of a leading region, whose members are compared on their
-shingles, those not yet linked or with an open stretch only. A passage pair holds MIN_WORDS or more words on both sides,
+shingles, those not yet linked only. A passage pair holds MIN_WORDS or more words on both sides,
 shares LEAST_SHARED different shingles or more (which follows where none is repeated), and has Jaccard similarity of 3/4 or
 more. Stretches joined by pairs are one class, named by
 its least document.
@@ -231,23 +231,38 @@ def _regions(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _densest(shared: np.ndarray) -> tuple[int, int] | None:
+    """The stretch with the greatest sum of 4 for each shared and -3 for each other shingle, if that is enough.
+
+    A stretch of m different shingles, s of them shared, can be in a similar pair only if
+    7 s >= 3 (m + LENGTH).
+    """
+    total = np.zeros(len(shared) + 1, np.int64)
+    np.cumsum(np.where(shared, 4, -3), out=total[1:])
+    least = np.minimum.accumulate(total)
+    end = int((total - least).argmax())
+    if total[end] - least[end] < 3 * LENGTH:
+        return None
+    return int(np.flatnonzero(total[:end] == least[end])[-1]), end
+
+
 def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Similar passages of two shingle sequences: begin and end in x, begin and end in y.
 
-    Shared shingles that lie close together in x, and their places in y, are a
-    passage if its sets are similar; else it is cut at its widest gap, on either
-    side, and both parts are tried.
+    The densest stretch of shared shingles in x and that of its shingles in y are a
+    passage if their sets are similar; else the stretch is cut at its widest gap, on
+    either side. What stands before and after it in x is looked at in turn.
     """
     out = []
     distinct, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
     p, q = ids[: len(x)], ids[len(x) :]
     marked = np.zeros(len(distinct), bool)
 
-    def shared_places(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    def shares(own: np.ndarray, other: np.ndarray) -> np.ndarray:
         marked[other] = True
-        at = np.flatnonzero(marked[own])
+        found = marked[own]
         marked[other] = False
-        return at
+        return found
 
     def different(own: np.ndarray) -> int:
         marked[own] = True
@@ -258,23 +273,34 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        in_x, in_y = a + shared_places(p[a:b], q[c:d]), c + shared_places(q[c:d], p[a:b])
-        if min(len(in_x), len(in_y)) < LEAST_SHARED:
+        if min(b - a, d - c) < LENGTH:
             continue
-        a, b, c, d = int(in_x[0]), int(in_x[-1]) + 1, int(in_y[0]), int(in_y[-1]) + 1
-        shared = different(p[in_x])
-        if min(b - a, d - c) < LENGTH or shared < LEAST_SHARED:
+        found = _densest(shares(p[a:b], q[c:d]))
+        if not found:
             continue
-        if similar(shared, different(p[a:b]), different(q[c:d])):
-            out.append((a, b, c, d))
+        s, e = a + found[0], a + found[1]
+        todo += [(a, s, c, d), (e, b, c, d)]
+        found = _densest(shares(q[c:d], p[s:e]))
+        if not found:
             continue
+        u, v = c + found[0], c + found[1]
+        in_x = np.flatnonzero(shares(p[s:e], q[u:v]))
+        shared = different(p[s:e][in_x])
+        if shared < LEAST_SHARED or min(e - s, v - u) < LENGTH:
+            continue
+        if similar(shared, different(p[s:e]), different(q[u:v])):
+            out.append((s, e, u, v))
+            continue
+        in_y = np.flatnonzero(shares(q[u:v], p[s:e]))
         gap_x, gap_y = np.diff(in_x), np.diff(in_y)
+        if max(gap_x.max(), gap_y.max()) <= 1:
+            continue
         if gap_x.max() >= gap_y.max():
             k = int(gap_x.argmax())
-            todo += [(a, int(in_x[k]) + 1, c, d), (int(in_x[k + 1]), b, c, d)]
+            todo += [(s, s + int(in_x[k]) + 1, u, v), (s + int(in_x[k + 1]), e, u, v)]
         else:
             k = int(gap_y.argmax())
-            todo += [(a, b, c, int(in_y[k]) + 1), (a, b, int(in_y[k + 1]), d)]
+            todo += [(s, e, u, u + int(in_y[k]) + 1), (s, e, u + int(in_y[k + 1]), v)]
     return out
 
 
@@ -319,79 +345,57 @@ class _Group:
         than the one with fewer has.
         """
         own = self.content(x)[self.first[self.begin[x] : self.begin[x + 1]]]
-        return self.holders(own[~self.known[own]]) + np.minimum(self.in_known[x], self.in_known)
-
-    def holders(self, elements: np.ndarray) -> np.ndarray:
-        """How many of the (different) elements each region has."""
-        lengths = self.posting_begin[elements + 1] - self.posting_begin[elements]
-        at = np.repeat(self.posting_begin[elements] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        return np.bincount(self.posting[at], minlength=len(self.in_known))
-
-    def holding(self, shingles: np.ndarray) -> np.ndarray:
-        """Which regions have enough of these shingles for a passage."""
-        different = np.unique(shingles)
-        return self.holders(different) >= LEAST_SHARED if len(different) >= LEAST_SHARED else np.zeros(len(self.in_known), bool)
-
-    def dense_enough(self, x: int, ys: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Whether some stretch of ``x`` has enough shingles of each of ``ys`` for a similar passage.
-
-        A stretch of m different shingles, s of them shared, can be in such a pair only if 7 s >= 3 (m + LENGTH):
-        that is a sum of 4 for each shared and -3 for each other one. Shared ones that are
-        ``found`` already don't count.
-        """
-        own = self.content(x)
-        first = self.first[self.begin[x] : self.begin[x + 1]]
+        own = own[~self.known[own]]
+        lengths = self.posting_begin[own + 1] - self.posting_begin[own]
+        at = np.repeat(self.posting_begin[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.posting[at], minlength=len(self.in_known)) + np.minimum(self.in_known[x], self.in_known)
+
+    def dense_enough(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Whether some stretch of ``x`` has enough shingles of each of ``ys`` for a similar passage, as in _densest."""
+        own, first = self.content(x), self.first[self.begin[x] : self.begin[x + 1]]
         marked = np.zeros(len(self.known), bool)
         score = np.zeros((len(ys), len(own) + 1), np.int64)
         for k, y in enumerate(ys):
             theirs = self.content(y)
             marked[theirs] = True
-            score[k, 1:] = np.where(marked[own], 4 * ~found, -3 * first)
+            score[k, 1:] = np.where(marked[own], 4, -3 * first)
             marked[theirs] = False
         np.cumsum(score, axis=1, out=score)
         return (score - np.minimum.accumulate(score, axis=1)).max(1) >= 3 * LENGTH
 
 
 def _linked(table: pa.Table) -> pa.Table:
-    """Passage pairs between the regions of each group: a forest, and what covers open stretches."""
+    """Passage pairs between the regions of each group: all of those with the leader, and a forest of the others.
+
+    Whatever two regions share under a key the key's leader has too, or they don't become
+    one tree by it; what they share besides has keys, and leaders, of its own.
+    """
     node, cell, content = table.column("node").to_numpy(), table.column("cell").to_numpy(), table.column("content").to_pylist()
     out: list[tuple[int, ...]] = []
     for rows, left, right in groups_of(table, "order"):
         group = _Group.of([np.frombuffer(content[r], np.uint32) for r in rows], int(np.flatnonzero(left)[0]) if left.any() else 0, right)
-        begin, element = group.begin, group.element
-        covered = np.zeros(len(element), bool)
         label, names = np.arange(len(rows)), node[rows]
         rank, one_block = np.arange(len(rows)), (left == right).all()
         for x in np.flatnonzero(left):
-            own, open_x = group.content(x), ~covered[begin[x] : begin[x + 1]]
-            shared, others = group.most_shared(x), right & (names != names[x])
-            linking = others & (shared >= LEAST_SHARED) & ((rank > x) if one_block else True)
-            covering, n_open = np.zeros(len(rows), bool), -1
-            while True:
-                # Those of other trees; those of its own only for what is still open of x.
-                if n_open != open_x.sum():
-                    covering, n_open = group.holding(own[open_x]), open_x.sum()
-                todo = np.flatnonzero(np.where(label == label[x], covering & others, linking))
-                todo = todo[np.argsort(-shared[todo], kind="stable")][:64]
-                linking[todo] = others[todo] = False  # each once
-                if not len(todo):
-                    break
-                other_tree = label[todo] != label[x]
-                dense = np.concatenate([group.dense_enough(x, todo[other_tree], np.zeros(len(own), bool)), group.dense_enough(x, todo[~other_tree], ~open_x)])
-                for y in np.concatenate([todo[other_tree], todo[~other_tree]])[dense].tolist():
-                    if label[y] == label[x] and not (covering[y] and group.dense_enough(x, np.array([y]), ~open_x)[0]):
+            open_rows = right & (names != names[x]) & (label != label[x]) & ((rank > x) if one_block else True)
+            if not open_rows.any():
+                continue
+            shared = group.most_shared(x)
+            todo = np.flatnonzero(open_rows & (shared >= LEAST_SHARED))
+            todo = todo[np.argsort(-shared[todo], kind="stable")]
+            while len(todo):
+                some, todo = todo[:64], todo[64:]
+                for y in some[group.dense_enough(x, some)].tolist():
+                    if label[y] == label[x]:
                         continue
-                    found = passages(own, group.content(y))
+                    found = passages(group.content(x), group.content(y))
                     for s, e, u, v in found:
-                        open_x[s:e] = False
-                        covered[begin[x] + s : begin[x] + e] = covered[begin[y] + u : begin[y] + v] = True
                         from_x, from_y = (max(0, int(cell[rows[k]]) * CELL - MARGIN) for k in (x, y))
                         tail = SHINGLE_WORDS - 1
                         out.append((int(names[x]), int(names[y]), from_x + s, from_x + e + tail, from_y + u, from_y + v + tail))
                     if found:
                         label[label == label[y]] = label[x]
-                        if n_open != open_x.sum():
-                            covering, n_open = group.holding(own[open_x]), open_x.sum()
+                todo = todo[label[todo] != label[x]]
     columns = list(zip(*out, strict=True)) or [()] * 6
     return pa.table([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=[c.split()[0] for c in _PAIR.split(", ")])
 
