@@ -12,21 +12,37 @@ from pyspark.sql import functions as F
 from itemloom.session import discard, materialize
 
 
-def deal(members: DataFrame, block: int, total: int) -> DataFrame:
-    """``members`` with what groups them to tasks of bounded size: cell, lo, hi, block.
+def place(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (group and id long, weight) with block, and blocks: into how many its group is cut, null for 1.
 
-    ``members`` has group and id (long) and weight; ``total`` is the sum of weights.
-    A group of at most ``block`` weight goes whole, some to a cell. A heavier one
-    is cut in blocks by a hash of the id, and each pair of blocks is a cell of its own,
-    so that every two members meet in a task that holds two blocks at most.
+    A group of at most ``block`` weight goes whole; a heavier one is cut by a hash of the id.
     """
-    cells = max(16, -(-int(total) // block))
     heavy = members.groupBy("group").agg(F.sum("weight").alias("all")).filter(F.col("all") > block)
     heavy = heavy.select(F.col("group").alias("heavy"), F.ceil(F.col("all") / block).cast("int").alias("blocks"))
-    placed = members.join(heavy, F.col("group") == F.col("heavy"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", "group"), F.col("blocks")), F.lit(0)).cast("int"))
+    placed = members.join(heavy, F.col("group") == F.col("heavy"), "left").drop("heavy")
+    return placed.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", "group"), F.col("blocks")), F.lit(0)).cast("int"))
+
+
+def spread(placed: DataFrame, cells: int) -> DataFrame:
+    """Placed rows with the task that they belong to: cell, lo, hi.
+
+    Whole groups share ``cells`` cells. Of a group in blocks each pair of blocks is a cell of its own,
+    so that every two members meet in a task that holds two blocks at most.
+    """
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("group"), F.lit(cells))).otherwise(F.xxhash64("group"))
-    return dealt.select(*(F.col(c) for c in members.columns), "block", cell.alias("cell"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    rest = [c for c in placed.columns if c != "blocks"]
+    return dealt.select(*rest, cell.alias("cell"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+
+
+def cells_for(total: int, block: int) -> int:
+    """How many cells whole groups share, for tasks of a block's weight or so."""
+    return max(16, -(-int(total) // block))
+
+
+def deal(members: DataFrame, block: int, total: int) -> DataFrame:
+    """``members`` dealt to tasks of bounded size; ``total`` is the sum of weights."""
+    return spread(place(members, block), cells_for(total, block))
 
 
 def groups_of(table: pa.Table, order: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan
-from itemloom.llm.graph import components, deal, forest, groups_of
+from itemloom.llm.graph import cells_for, components, deal, forest, groups_of, place, spread
 from itemloom.session import discard, materialize, quoted
 
 SHINGLE_WORDS = 5
@@ -42,7 +42,7 @@ FLUSH_BYTES = 24 << 20
 BUCKET_BYTES, SKETCH_BYTES, SET_BYTES = 8 << 20, 2 << 20, 8 << 20
 #: What a sketch weighs besides its bytes, so that a task's pairs have a bound too.
 NODE_WEIGHT = 512
-#: Most document ids that are broadcast to pick the texts to verify: 24 bytes each, 12 MB.
+#: Most rows that are broadcast to pick the texts to verify: six numbers each, 24 MB.
 BROADCAST_IDS = 500_000
 #: The finest cut: parts this small hold single elements.
 FINEST = 63
@@ -290,11 +290,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, trees: DataFrame) -> DataFrame:
     wanted = trees.select(F.col("node").alias("id"), F.col("component").alias("group")).join(nodes.select(F.col("node").alias("id"), "rep", "n_shingles"), "id")
     wanted = materialize(wanted.withColumn("weight", 8 * F.col("n_shingles")), "wanted")
     n = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("weight"), F.lit(0)).alias("bytes")).first()
-    picked = wanted.select(F.col("rep").alias("r"), F.col("id").alias("w"))
-    texts = docs.join(F.broadcast(picked) if n.rows <= BROADCAST_IDS else picked, F.col("doc_id") == F.col("r")).select("text", "w")
-    sets = texts.mapInArrow(_sets, "w long, elements binary")
-    dealt = deal(wanted.select("id", "group", "n_shingles", "weight"), SET_BYTES, n.bytes).drop("weight")
-    tasks = dealt.join(sets, F.col("id") == F.col("w")).drop("w")
+    # Where each set goes is known before it is made, so that sets are shuffled once.
+    picked = place(wanted, SET_BYTES).select(F.col("rep").alias("r"), "id", "group", "n_shingles", "block", "blocks")
+    texts = docs.join(F.broadcast(picked) if n.rows <= BROADCAST_IDS else picked, F.col("doc_id") == F.col("r")).select("text", "id", "group", "n_shingles", "block", "blocks")
+    sets = texts.mapInArrow(_sets, "id long, group long, n_shingles long, block int, blocks int, elements binary")
+    tasks = spread(sets, cells_for(n.bytes, SET_BYTES))
     links = tasks.groupBy("cell", "lo", "hi").applyInArrow(_similar_sets, _EDGE)
     found = components(links)
     discard(wanted)
