@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import cotrain, decontam, jaccard, langid, lines, mixing, quality_rules, secrets, substrings, toxicity
+from itemloom.llm import centroids, cotrain, decontam, jaccard, langid, lines, mixing, periodic, quality_rules, secrets, substrings, tokens, toxicity
 from itemloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    encoded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    decoded = tokens.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", tokens.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_centroid_clusters"] = centroids.ORACLE_SQL
