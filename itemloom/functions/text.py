@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -172,33 +173,37 @@ def _run_end(text: str, at: int) -> int:
         at = _group_end(text, at + 1, found, _GROUPS[found]) or len(text)
 
 
-def _wrapped(text: str) -> str:
-    """Text without delimiters, its runs of commands between dollar signs.
+def _bare_commands(text: str) -> list[tuple[int, int]]:
+    """Where the commands stand that no delimiters hold."""
+    out, math = [], iter([*(m.span() for m in _DELIMITED.finditer(text)), (len(text), len(text))])
+    start, end = next(math)
+    for m in _COMMAND.finditer(text):
+        while end <= m.start():
+            start, end = next(math)
+        if m.start() < start:
+            out.append(m.span())
+    return out
 
-    Commands with no boundary between them are one run; so are those that stand in a group of it.
+
+def _delimit(text: str) -> str:
+    """Text with its runs of bare commands between dollar signs.
+
+    Commands with no boundary between them are one run, and so is math that stands between them; so are those that stand in a group of it.
     """
     out, at = [], 0
-    commands = list(_COMMAND.finditer(text))
+    commands = deque(_bare_commands(text))
     while commands:
-        start, end = commands.pop(0).span()
-        while commands and not _BOUNDARY.search(text, end, commands[0].start()):
-            end = commands.pop(0).end()
+        start, end = commands.popleft()
+        while commands and not _BOUNDARY.search(text, end, commands[0][0]):
+            end = commands.popleft()[1]
         end = _run_end(text, end)
-        while commands and commands[0].start() < end:
-            commands.pop(0)
+        while commands and commands[0][0] < end:
+            commands.popleft()
         out.append(f"{text[at:start]}${text[start:end]}$")
         at = end
     return "".join(out) + text[at:]
 
 
-def _delimit(text: str) -> str:
-    out, at = [], 0
-    for m in _DELIMITED.finditer(text):
-        out.append(_wrapped(text[at : m.start()]) + m[0])
-        at = m.end()
-    return "".join(out) + _wrapped(text[at:])
-
-
 @F.pandas_udf(StringType())
 def _delimited(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:

@@ -154,6 +154,15 @@ def detection_summary(annotated: DataFrame) -> DataFrame:
     return noise.union(starts)
 
 
+def detection_details(annotated: DataFrame) -> DataFrame:
+    """One row for each block that is noise, with its reason, or a candidate, with method, score and number."""
+    noise = F.col("noise").isNotNull()
+    where = [c for c in ("document_id", "page", "reading_order", "block_id") if c in annotated.columns]
+    of_candidate = [F.when(~noise, F.col(c)).alias(c) for c in ("score", "number")]
+    kept = annotated.filter(noise | F.col("method").isNotNull())
+    return kept.select(*where, F.when(noise, "noise").otherwise("candidate").alias("kind"), F.coalesce("noise", "method").alias("what"), *of_candidate)
+
+
 def neighbour_context(spans: DataFrame, width: int = 2, chars: int = 200) -> DataFrame:
     """Spans with the beginnings of their neighbours' texts, nearest on the left last, on lines."""
     order = Window.partitionBy("document_id").orderBy("span")
@@ -174,9 +183,46 @@ def usable_documents(blocks: DataFrame, least: int = 2) -> DataFrame:
     return parts.groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("document_id")
 
 
+# How blocks are written, and what stands for a table without text and a picture without a path.
+TABLE, NO_TABLE, NO_PATH = "[表格: %s]", "(见原始数据)", "unknown.png"
+CLOSED = {"page_header": "---", "page_footer": "---", "code_block": "```"}
+
+
+def _own(blocks: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column that not every block table has."""
+    return F.col(name) if name in blocks.columns else F.lit(None).cast(kind)
+
+
+def _written(inlines: Column) -> Column:
+    """Inlines as Markdown: formulas between dollar signs, pictures by their path."""
+    part = lambda i: F.when(i["type"] == "formula", F.concat(F.lit("$"), i["content"], F.lit("$"))).when(i["type"] == "image", F.concat(F.lit("![inline]("), i["content"], F.lit(")"))).otherwise(i["content"])
+    return F.coalesce(F.array_join(F.transform(inlines, part), ""), F.lit(""))
+
+
 def render_markdown(blocks: DataFrame) -> DataFrame:
-    """Each document as Markdown: titles by level, formulas in $$, page furniture left out."""
-    text = F.when(F.col("type").isin("formula_block", "equation_interline"), F.concat(F.lit("$$"), block_text(), F.lit("$$"))).otherwise(block_text())
-    line = F.when(F.col("type") == "title", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), text)).when(F.col("type") == "list_item", F.concat(F.lit("- "), text)).when(F.col("type") == "aside", F.concat(F.lit("> "), text)).otherwise(text)
-    shown = blocks.filter(~F.col("type").isin(*STRUCTURAL)).select("document_id", F.struct("page", "reading_order", line.alias("line")).alias("l")).filter("l.line != ''")
-    return shown.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n\n").alias("markdown"))
+    """Each document as Markdown, its blocks in order between empty lines, a line end behind the last.
+
+    Page numbers are left out, and asides and unknown blocks without text. Figures and formulas show the picture that they
+    have (image_path), figures with their caption.
+    """
+    kind, body, text = F.col("type"), _written(F.col("inlines")), block_text()
+    path = F.nullif(_own(blocks, "image_path"), F.lit(""))
+    caption = _written(F.col("caption")) if "caption" in blocks.columns else F.lit("")
+    latex = F.coalesce(_latex(blocks), F.lit(""))
+    shown = F.concat(F.lit("!["), caption, F.lit("]("), F.coalesce(path, F.lit(NO_PATH)), F.lit(")"))
+    formula = F.concat(F.lit("$$\n"), latex, F.lit("\n$$"), F.coalesce(F.concat(F.lit("\n![formula]("), path, F.lit(")")), F.lit("")))
+    line = (
+        F.when(kind == "title", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), body))
+        .when(kind == "paragraph", body)
+        .when(kind == "list_item", F.concat(F.lit("- "), body))
+        .when(kind.isin("formula_block", "equation_interline"), formula)
+        .when(kind == "figure", shown)
+        .when(kind == "table", F.format_string(TABLE, F.coalesce(F.nullif(F.col("text"), F.lit("")), _latex(blocks), F.lit(NO_TABLE))))
+        .when(kind == "caption", F.concat(F.lit("*"), body, F.lit("*")))
+    )
+    for name, mark in CLOSED.items():
+        line = line.when(kind == name, F.concat(F.lit(f"{mark}\n"), text, F.lit(f"\n{mark}")))
+    line = line.when(kind == "aside", F.concat(F.lit("> "), F.nullif(text, F.lit("")))).when(kind != "page_number", F.nullif(text, F.lit("")))
+    listed = F.collect_list(F.when(F.col("line").isNotNull(), F.struct("page", "reading_order", "line")))
+    parts = blocks.select("document_id", "page", "reading_order", line.alias("line")).groupBy("document_id").agg(F.array_sort(listed).alias("l"))
+    return parts.select("document_id", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n\n"), F.lit("\n")).alias("markdown"))

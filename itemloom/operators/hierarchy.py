@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions.ids import assign_ids, next_id
-from itemloom.session import materialize
+from itemloom.session import discard, materialize
 
 SYLLABUS = "exam_type string, subjects map<string, map<string, array<string>>>"
 
@@ -76,6 +76,76 @@ def topic_forest(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return topics.join(done, "id"), topics.join(up.filter("up IS NOT NULL").select("id"), "id", "left_semi")
 
 
+def _tour(ranked: DataFrame) -> DataFrame:
+    """The walk around a forest as a list: each node's entry (2n) and exit (2n + 1) with the step that follows.
+
+    ``ranked`` has n, id and parent, numbered so that siblings stand together in order, roots first.
+    """
+    first = ranked.filter("parent IS NOT NULL").groupBy("parent").agg(F.min("n").alias("first")).withColumnRenamed("parent", "f")
+    after = ranked.select((F.col("n") - 1).alias("a"), F.lit(True).alias("follows"), F.col("parent").alias("a_parent"))
+    above = ranked.select(F.col("id").alias("p"), F.col("n").alias("p_n"))
+    joined = ranked.join(first, F.col("id") == F.col("f"), "left").join(after, F.col("n") == F.col("a"), "left").join(above, F.col("parent") == F.col("p"), "left")
+    sibling = F.coalesce("follows", F.lit(False)) & F.col("parent").eqNullSafe(F.col("a_parent"))
+    entry = F.struct((F.col("n") * 2).alias("e"), F.coalesce(F.col("first") * 2, F.col("n") * 2 + 1).alias("next"), F.lit(1).cast("bigint").alias("seen"))
+    leave = F.when(sibling, F.col("n") * 2 + 2).otherwise(F.col("p_n") * 2 + 1)  # null behind the last root
+    exit_ = F.struct((F.col("n") * 2 + 1).alias("e"), leave.alias("next"), F.lit(0).cast("bigint").alias("seen"))
+    return joined.select(F.inline(F.array(entry, exit_)))
+
+
+def _ranked_list(steps: DataFrame) -> DataFrame:
+    """List ranking: for each step the sum of ``seen`` from it to the end of the list.
+
+    Each round a step adds what the one it points to has seen and points where that one points, so rounds
+    grow with the logarithm of the list. Steps that have seen the end take no further part in joins.
+    """
+    steps = materialize(steps, "tour")
+    while not (going := steps.filter("next IS NOT NULL")).isEmpty():
+        ahead = steps.select(F.col("e").alias("a"), F.col("next").alias("a_next"), F.col("seen").alias("a_seen"))
+        moved = going.join(ahead, F.col("next") == F.col("a")).select("e", F.col("a_next").alias("next"), (F.col("seen") + F.col("a_seen")).alias("seen"))
+        older, steps = steps, materialize(steps.filter("next IS NULL").unionByName(moved), "tour")
+        discard(older)
+    return steps
+
+
+def display_tree(topics: DataFrame, order: list[str]) -> DataFrame:
+    """Where each topic of the given set stands when its forest is shown: id, root_id, depth, n_children, n_below, place.
+
+    Roots, and the children of a topic, are in the given order of columns, then by id. Places count from 0 in that order with
+    each topic before all below it. Topics that reach no root are left out. Siblings are numbered by ranges, and
+    places come from ranking the walk around the forest as a list, so neither a deep chain nor a topic with very many
+    children is more work than its number of topics, and no task gets a whole tree.
+    """
+    nodes, _ = topic_forest(topics)
+    nodes = materialize(nodes.select("id", "root_id", "depth", F.when(F.col("depth") > 0, F.col("parent_id")).alias("parent"), *order), "nodes")
+    ranked = materialize(assign_ids(nodes.select("id", "parent", *order), ["parent", *order, "id"], 0, "n").select("n", "id", "parent"), "siblings")
+    steps = _ranked_list(_tour(ranked))
+    n = F.floor(F.col("e") / 2).alias("n")
+    both = steps.groupBy(n).agg(F.max("seen").alias("from_entry"), F.min("seen").alias("from_exit"))
+    total = ranked.count()
+    placed = ranked.join(both, "n").select("id", (F.lit(total) - F.col("from_entry")).alias("place"), (F.col("from_entry") - F.col("from_exit") - 1).alias("n_below"))
+    children = ranked.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n_children"))
+    joined = nodes.join(placed, "id").join(children, F.col("id") == F.col("p"), "left")
+    return joined.select("id", "root_id", "depth", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_below", "place")
+
+
+def topic_paths(topics: DataFrame) -> DataFrame:
+    """The ids from the root to each topic of the given set, both included: id, path.
+
+    Each round a path is put behind that of the topic above it, which doubles it; topics that reach no root are left out.
+    A path is as long as its topic is deep, so a chain of n topics gives n * n / 2 ids in all.
+    """
+    known = topics.select(F.col("id").alias("p"))
+    paths = materialize(topics.join(known, F.col("parent_id") == F.col("p"), "left").select("id", F.col("p").alias("up"), F.array("id").alias("path")), "paths")
+    total, reach = paths.count(), 1
+    while reach <= total and not (going := paths.filter("up IS NOT NULL")).isEmpty():
+        above = paths.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
+        longer = going.join(above, F.col("up") == F.col("a")).select("id", F.col("a_up").alias("up"), F.concat("a_path", "path").alias("path"))
+        older, paths = paths, materialize(paths.filter("up IS NULL").unionByName(longer), "paths")
+        discard(older)
+        reach *= 2
+    return paths.filter("up IS NULL").select("id", "path")
+
+
 def move_topics(topics: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topics after the moves (id, new_parent), and the moves that were refused.
 

@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from itemloom.functions.text import strip
+from itemloom.operators.validation import typed, validate_responses
 from itemloom.session import quoted
 
-QUESTION_TYPES = ("choice", "fill_blank", "calculation", "proof", "short_answer", "comprehensive", "true_false", "unknown")
-TOPIC = "struct<name:string, chapter:string, role:string, weight:double>"
-RECORDS = f"questions array<struct<content:string, question_number:string, question_type:string, subject_name:string, knowledge_points:array<{TOPIC}>, source_page:int>>"
-SPLITS = "questions array<struct<question_number:string, content:string, page:int, is_noise:boolean, noise_reason:string>>"
-
-
 def hierarchy_text(subjects: DataFrame, chapters: DataFrame, topics: DataFrame, only: str | None = None) -> DataFrame:
     """The catalogue of each subject as indented text, by sort order."""
     s = subjects if only is None else subjects.filter(F.col("name") == only)
@@ -80,12 +76,15 @@ def _is_json(text: str) -> bool:
     return True
 
 
+#: The opening line of a fence around a whole text, and its closing one.
+_FENCE = re.compile(r"\A```[^\n]*(?:\n|\Z)|\n[^\S\n]*```\Z")
+#: The first line that opens a JSON value, and all behind it.
+_OPENS = re.compile(r"^[^\S\n]*[{\[]", re.MULTILINE)
+
+
 def _without_fences(text: str) -> str:
     text = text.strip()
-    if not text.startswith("```"):
-        return text
-    lines = text.split("\n")[1:]
-    return "\n".join(lines[:-1] if lines and lines[-1].strip() == "```" else lines).strip()
+    return _FENCE.sub("", text).strip() if text.startswith("```") else text
 
 
 def _find_json(text: str) -> tuple[str, str] | None:
@@ -98,10 +97,8 @@ def _find_json(text: str) -> tuple[str, str] | None:
             inner = text[text.find(opens) : text.rfind(closes) + 1] if opens in text else ""
             yield name, inner
             yield f"{name}_repaired", _repair(inner)
-        lines = text.split("\n")
-        for k, line in enumerate(lines):
-            if line.strip()[:1] in ("{", "["):
-                yield "line", "\n".join(lines[k:])
+        for opening in _OPENS.finditer(text):
+            yield "line", text[opening.start() :]
 
     return next(((name, t) for name, t in tries() if t and _is_json(t)), None)
 
@@ -139,33 +136,27 @@ def parse_responses(df: DataFrame, column: str = "response", reasoning: str | No
     return out.filter("json IS NOT NULL").drop("error"), out.filter("json IS NULL").drop("status", "json")
 
 
-def _rules(q: Column) -> list[tuple[str, Column]]:
-    points = q["knowledge_points"]
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    count = F.coalesce(F.size(points), F.lit(0))
-    return [
-        ("content", blank(q["content"])),
-        ("subject", blank(q["subject_name"])),
-        ("type", ~F.coalesce(q["question_type"].isin(*QUESTION_TYPES), F.lit(False))),
-        ("topics", (count < 1) | (count > 3)),
-        ("primary", ~F.coalesce(F.exists(points, lambda p: p["role"] == "primary"), F.lit(False))),
-        ("weight", ~F.coalesce(F.forall(points, lambda p: p["weight"].between(0, 1)), F.lit(False))),
-        ("page", F.coalesce(q["source_page"] < 1, F.lit(True))),
-    ]
+def apply_splits(parsed: DataFrame, spans: DataFrame, failed: DataFrame) -> DataFrame:
+    """Questions of split responses by page; pages whose response failed keep their spans.
 
+    A response fails too if one of its records breaks a rule. Noise records are left out.
+    """
+    valid, rejected = validate_responses(parsed.select("document_id", "page", "json", F.lit("split").alias("record")), record="record")
+    broken = rejected.select("document_id", "page").distinct()
+    good = typed(valid.join(broken, ["document_id", "page"], "left_anti"), "split")
+    split = good.filter("NOT coalesce(q.is_noise, false)").select("document_id", "page", F.col("q.question_number").alias("number"), F.col("q.content").alias("text"), F.lit("response").alias("origin"))
+    paged = spans.withColumn("page", F.get("pages", F.lit(0)))
+    lost = failed.select("document_id", "page").union(broken).distinct()
+    rest = paged.join(lost, ["document_id", "page"], "left_semi").select("document_id", "page", "number", "text", F.lit("rules").alias("origin"))
+    return split.union(rest)
 
-def validate_responses(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of parsed responses that keep all rules, and the others with the broken ones."""
-    rows = parsed.select("response_id", F.posexplode(F.from_json("json", RECORDS)["questions"]).alias("at", "q"))
-    broken = F.filter(F.array(*[F.when(bad, name) for name, bad in _rules(F.col("q"))]), lambda x: x.isNotNull())
-    judged = rows.withColumn("broken", broken)
-    return judged.filter(F.size("broken") == 0).drop("broken"), judged.filter(F.size("broken") > 0)
 
+def duplicate_groups(parsed: DataFrame, key: str = "response_id") -> DataFrame:
+    """Groups of equal topic names that responses give: group_id, canonical and duplicates, for ``vocab.apply_groups``.
 
-def apply_splits(parsed: DataFrame, spans: DataFrame, failed: DataFrame) -> DataFrame:
-    """Questions of split responses by page; pages whose response failed keep their spans."""
-    q = parsed.select("document_id", "page", F.posexplode(F.from_json("json", SPLITS)["questions"]).alias("at", "q"))
-    split = q.filter("NOT coalesce(q.is_noise, false) AND trim(coalesce(q.content, '')) != ''").select("document_id", "page", F.col("q.question_number").alias("number"), F.col("q.content").alias("text"), F.lit("response").alias("origin"))
-    paged = spans.withColumn("page", F.get("pages", F.lit(0)))
-    rest = paged.join(failed.select("document_id", "page").distinct(), ["document_id", "page"], "left_semi").select("document_id", "page", "number", "text", F.lit("rules").alias("origin"))
-    return split.union(rest)
+    Groups are numbered by response and place, both of which count as order; blank names are left out, and groups that
+    break a rule.
+    """
+    valid, _ = validate_responses(parsed.withColumn("record", F.lit("groups")), record="record")
+    named = typed(valid, "groups").select(key, "at", strip(F.col("q.canonical")).alias("canonical"), F.filter(F.transform("q.duplicates", strip), lambda d: d != "").alias("duplicates"))
+    return named.select(F.struct(key, "at").alias("group_id"), "canonical", "duplicates").filter("size(duplicates) > 0")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions.ids import assign_ids, next_id
+from itemloom.operators.hierarchy import get_or_create
 from itemloom.operators.vocab import canonicalise
 
 EXCERPT = 80
@@ -74,15 +75,57 @@ def accept_entries(entries: DataFrame, resolved: DataFrame, subjects: DataFrame)
     return joined.filter(good).drop("n_lost", "n_found", "lost"), refused
 
 
+def _kind() -> Column:
+    return F.when(F.col("reason").startswith(UNKNOWN_SUBJECT), "unknown subject").otherwise("unresolved topics")
+
+
 def import_report(accepted: DataFrame, refused: DataFrame) -> DataFrame:
     """Totals by reason: imported, and each kind of refusal."""
-    kind = F.when(F.col("reason").startswith(UNKNOWN_SUBJECT), "unknown subject").otherwise("unresolved topics")
-    return accepted.agg(F.lit("imported").alias("outcome"), F.count("*").alias("n")).union(refused.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n")))
+    return accepted.agg(F.lit("imported").alias("outcome"), F.count("*").alias("n")).union(refused.groupBy(_kind().alias("outcome")).agg(F.count("*").alias("n")))
+
+
+def _outcomes(accepted: DataFrame, refused: DataFrame) -> DataFrame:
+    """One row for each entry: document_id, page, outcome, and 1 in the column where it counts."""
+    good = accepted.select("document_id", "page", F.lit("imported").alias("outcome"), F.lit(1).alias("imported"), F.lit(0).alias("skipped"))
+    return good.union(refused.select("document_id", "page", _kind().alias("outcome"), F.lit(0).alias("imported"), F.lit(1).alias("skipped")))
+
+
+def page_lines(accepted: DataFrame, refused: DataFrame) -> DataFrame:
+    """Per document and page the numbers of imported and of skipped entries."""
+    return _outcomes(accepted, refused).groupBy("document_id", "page").agg(F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped"))
 
 
-def new_rows(accepted: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
-    """Accepted entries as items with ids from ``start``, and their links; of an entry's links to one topic the first counts."""
-    numbered = assign_ids(accepted, ["entry_id"], start, "id")
+def running_totals(lines: DataFrame) -> DataFrame:
+    """Page lines, one for each page, with the document's totals up to and with the page."""
+    once = lines.groupBy("document_id", "page").agg(F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped"))
+    so_far = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return once.select("*", F.sum("imported").over(so_far).alias("imported_so_far"), F.sum("skipped").over(so_far).alias("skipped_so_far"))
+
+
+#: Levels of a report by the grouping id of (document_id, page, outcome).
+LEVELS = {7: "total", 3: "document", 1: "page", 0: "outcome"}
+
+
+def report_lines(accepted: DataFrame, refused: DataFrame) -> DataFrame:
+    """The whole report of an import as one table: totals, lines of documents, pages and outcomes, and skipped entries.
+
+    Both inputs have entry_id, document_id and page. ``level`` tells the kind of line: a total, a document's, a page's (with the document's
+    totals so far), an outcome's on a page, or a skipped entry's with excerpt and reason. Pages are ordered by
+    number, those of no page first. Counts are rolled up from the outcomes of a page, so no document's entries meet in one task.
+    """
+    rolled = _outcomes(accepted, refused).rollup("document_id", "page", "outcome").agg(F.grouping_id().alias("g"), F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped"))
+    level = F.coalesce(*[F.when(F.col("g") == g, name) for g, name in LEVELS.items()])
+    so_far = Window.partitionBy("g", "document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = lambda c: F.when(F.col("g") == 1, F.sum(c).over(so_far)).alias(f"{c}_so_far")
+    none = lambda kind: F.lit(None).cast(kind)
+    counted = rolled.select(level.alias("level"), "document_id", "page", "outcome", none(refused.schema["entry_id"].dataType).alias("entry_id"), none("string").alias("excerpt"), none("string").alias("reason"), "imported", "skipped", running("imported"), running("skipped"))
+    skipped = refused.select(F.lit("skipped").alias("level"), "document_id", "page", _kind().alias("outcome"), "entry_id", "excerpt", "reason", *[none("long").alias(c) for c in ("imported", "skipped", "imported_so_far", "skipped_so_far")])
+    return counted.unionByName(skipped)
+
+
+def new_rows(accepted: DataFrame, start: int, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Accepted entries as items with ids from ``start`` in an order (by entry_id), and their links; of an entry's links to one topic the first counts."""
+    numbered = assign_ids(accepted, order or ["entry_id"], start, "id")
     spread = numbered.select("id", F.explode("links").alias("l")).select(F.col("id").alias("item_id"), "l.*")
     first = F.row_number().over(Window.partitionBy("item_id", "topic_id").orderBy("at"))
     links = spread.withColumn("n", first).filter("n = 1").select("item_id", "topic_id", F.coalesce("role", F.lit("primary")).alias("role"), safe_weight(F.col("weight")).cast("decimal(6,4)").alias("weight"))
@@ -96,13 +139,21 @@ def write_entries(accepted: DataFrame, items: DataFrame, links: DataFrame) -> tu
     return items.unionByName(own, allowMissingColumns=True), links.unionByName(new_links)
 
 
-def replace_links(links: DataFrame, item_tags: DataFrame, new_links: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and tags after the items of ``new_links`` get those links and no others.
+def replace_links(links: DataFrame, tags: DataFrame, item_tags: DataFrame, new_links: DataFrame, topics: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, tags and item tags after the items of ``new_links`` get those links and no others.
 
-    Their tags become the names of their topics.
+    Their tags become the names of their topics; a name that ``tags`` (id, name) lacks gets the next id, in order of
+    names. Of an item's new links to one topic the heaviest counts, weights are made safe, and a link without a
+    role is primary. ``items`` (item_id) lists items that lose their links and tags even if ``new_links`` has none for them.
     """
-    touched = new_links.select("item_id").distinct()
-    kept = links.join(touched, "item_id", "left_anti").unionByName(new_links.select(*links.columns))
-    names = topics.select(F.col("id").alias("topic_id"), F.col("name").alias("tag"))
-    tags = new_links.join(names, "topic_id").select("item_id", "tag").distinct()
-    return kept, item_tags.join(touched, "item_id", "left_anti").unionByName(tags)
+    once = new_links.groupBy("item_id", "topic_id").agg(F.max_by(F.struct("role", "weight"), F.struct(safe_weight(F.col("weight")), "role")).alias("l"))
+    kind = links.schema["weight"].dataType
+    new = once.select("item_id", "topic_id", F.coalesce("l.role", F.lit("primary")).alias("role"), safe_weight(F.col("l.weight")).cast(kind).alias("weight"))
+    touched = new.select("item_id")
+    touched = (touched if items is None else touched.union(items.select("item_id"))).distinct()
+    names = topics.select(F.col("id").alias("topic_id"), F.col("name").alias("name")).filter("coalesce(name, '') != ''")
+    named = new.join(names, "topic_id").select("item_id", "name").distinct()
+    known = get_or_create(tags, named.select("name"), ["name"])
+    own = named.join(known.select("name", F.col("id").alias("tag_id")), "name").select("item_id", "tag_id")
+    keep = lambda df: df.join(touched, "item_id", "left_anti")
+    return keep(links).unionByName(new.select(*links.columns)), known, keep(item_tags).unionByName(own)

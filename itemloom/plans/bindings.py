@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemloom.functions.ids import assign_ids
 from itemloom.session import table
 
 NOW = "2003-01-01 00:00:00"
@@ -26,6 +27,7 @@ items AS (SELECT o_orderkey AS id, CAST(n_regionkey AS BIGINT) AS subject_id, 'I
 links AS (SELECT l_orderkey AS item_id, l_suppkey AS topic_id, CASE WHEN min(l_linenumber) = 1 THEN 'primary' ELSE 'secondary' END AS role,
   CAST(greatest(0.1, least(1.0, max(l_quantity) / 50)) AS DECIMAL(6, 4)) AS weight FROM lineitem GROUP BY 1, 2),
 item_tags AS (SELECT DISTINCT l_orderkey AS item_id, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey),
+tags AS (SELECT row_number() OVER (ORDER BY p_brand) AS id, p_brand AS name FROM (SELECT DISTINCT p_brand FROM part)),
 exams AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Mid-term', 2), (CAST(2 AS BIGINT), 'Final', 1), (CAST(3 AS BIGINT), 'Mock', 3)) e(id, name, sort_order)),
 exam_subjects AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT)), (1, 1), (1, 2), (2, 2), (2, 3), (2, 4)) b(exam_id, subject_id)),
 aliases AS (SELECT a.s_name AS alias, b.s_name AS canonical FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey - 1 WHERE a.s_suppkey % 7 = 0)
@@ -85,6 +87,14 @@ class Model:
         joined = self._table("lineitem").join(self._table("part"), F.col("l_partkey") == F.col("p_partkey"))
         return joined.select(F.col("l_orderkey").alias("item_id"), F.col("p_brand").alias("tag")).distinct()
 
+    @cached_property
+    def tags(self) -> DataFrame:
+        return assign_ids(self._table("part").select(F.col("p_brand").alias("name")).distinct(), ["name"]).select("id", "name")
+
+    @cached_property
+    def item_tag_ids(self) -> DataFrame:
+        return self.item_tags.join(self.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), "tag").select("item_id", "tag_id")
+
     @cached_property
     def exams(self) -> DataFrame:
         return self.spark.createDataFrame([(1, "Mid-term", 2), (2, "Final", 1), (3, "Mock", 3)], "id long, name string, sort_order int")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from itemloom.operators import blocks as B
 from itemloom.operators import inference as N
 from itemloom.operators import resolve as R
+from itemloom.operators import validation as V
 from itemloom.functions import text as T
 from itemloom.functions.ids import next_id, number_within
 from itemloom.plans.bindings import Model, model_sql
 from itemloom.plans.core_queries import CHAIN
-from itemloom.plans.hierarchy_queries import _ENTRIES, _MARKS, entries, marks
+from itemloom.plans.hierarchy_queries import _ENTRIES, _MARKS, PAGED, marks, paged_entries
 from itemloom.plans.registry import query
 from itemloom.session import materialize, shared_dir, table
 from itemloom.sources import bank, ocr
@@ -87,6 +88,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return B.detection_summary(annotated(spark, d))
 
 
+@query(
+    "o36_detection_details",
+    _sql("SELECT document_id, page, reading_order, CASE WHEN noise IS NOT NULL THEN 'noise' ELSE 'candidate' END AS kind, coalesce(noise, method) AS what, CASE WHEN noise IS NULL THEN CASE method WHEN 'prefix_with_formula' THEN 0.65 WHEN 'pure_formula' THEN 0.4 WHEN 'text_math_expression' THEN 0.5 WHEN 'question_prefix' THEN 0.5 ELSE 0.7 END END::DOUBLE AS score, CAST(NULL AS VARCHAR) AS number FROM annotated WHERE noise IS NOT NULL OR method IS NOT NULL"),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return B.detection_details(annotated(spark, d))
+
+
 @query("o56_block_texts", _sql("SELECT document_id, page, reading_order, t AS full_text, line AS plain_text, line || CASE WHEN t != line THEN '$x=1$' ELSE '' END AS marked_text FROM full_text"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return B.block_texts(blocks(spark, d)).select("document_id", "page", "reading_order", "full_text", "plain_text", "marked_text")
@@ -122,11 +131,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return B.usable_documents(blocks(spark, d))
 
 
-@query("o10_markdown", _sql("SELECT document_id, string_agg(CASE type WHEN 'title' THEN repeat('#', level) || ' ' || t WHEN 'aside' THEN '> ' || t ELSE t END, chr(10) || chr(10) ORDER BY page, reading_order) AS markdown FROM full_text WHERE type != 'page_footer' AND (t != '' OR type IN ('title', 'aside')) GROUP BY 1"))
+@query("o10_markdown", _sql("SELECT document_id, coalesce(string_agg(CASE type WHEN 'title' THEN repeat('#', level) || ' ' || line WHEN 'aside' THEN '> ' || nullif(line, '') WHEN 'page_footer' THEN '---' || chr(10) || line || chr(10) || '---' ELSE line || CASE WHEN t != line THEN '$x=1$' ELSE '' END END, chr(10) || chr(10) ORDER BY page, reading_order), '') || chr(10) AS markdown FROM full_text GROUP BY 1"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return B.render_markdown(blocks(spark, d))
 
 
+def _figure_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Content lists made of parts, a document for each brand: figures with captions, formulas with and without a picture, tables."""
+    quote = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    caption = F.concat(F.lit('[{"type":"text","content":'), quote(F.col("p_name")), F.lit(',"confidence":0.5},{"type":"equation_inline","content":"x"}]'))
+    picture = F.concat(F.lit('"image_source":{"path":"i/'), F.col("p_partkey").cast("string"), F.lit('.jpg"}'))
+    figure = F.concat(F.lit('{"type":"figure","confidence":0.25,"content":{'), picture, F.lit(',"caption":'), caption, F.lit("}}"))
+    formula = F.concat(F.lit('{"type":"equation_interline","content":{"math_content":"y_'), F.col("p_size").cast("string"), F.lit('",'), picture, F.lit("}}"))
+    bare = F.lit('{"type":"equation_block","content":{"math_content":"z","math_type":"mathml"}}')
+    table_ = F.lit('{"type":"table","content":{"html":""}}')
+    item = F.when(F.col("p_partkey") % 4 == 0, figure).when(F.col("p_partkey") % 4 == 1, formula).when(F.col("p_partkey") % 4 == 2, bare).otherwise(table_)
+    listed = table(spark, d, "part").groupBy(F.col("p_brand").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("i"))
+    return ocr.blocks_of(listed.select("document_id", F.concat(F.lit("[["), F.array_join(F.transform("i", lambda x: x["item"]), ","), F.lit("]]")).alias("json")))
+
+
+_PARTS = "parts AS (SELECT *, p_brand AS document_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS reading_order, CASE WHEN p_partkey % 4 < 2 THEN 'i/' || p_partkey || '.jpg' END AS path FROM part)"
+
+
+@query("o10_figures", f"WITH {_PARTS} SELECT document_id, string_agg(CASE p_partkey % 4 WHEN 0 THEN '![' || p_name || '$x$](' || path || ')' WHEN 1 THEN '$$' || chr(10) || 'y_' || p_size || chr(10) || '$$' || chr(10) || '![formula](' || path || ')' WHEN 2 THEN '$$' || chr(10) || 'z' || chr(10) || '$$' ELSE '[表格: (见原始数据)]' END, chr(10) || chr(10) ORDER BY reading_order) || chr(10) AS markdown FROM parts GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return B.render_markdown(_figure_blocks(spark, d))
+
+
+@query("o04_image_refs", f"WITH {_PARTS} SELECT document_id, CAST(reading_order AS INTEGER) AS reading_order, CASE WHEN path IS NOT NULL THEN printf('%s_img%04d', document_id, row_number() OVER (PARTITION BY document_id, path IS NULL ORDER BY reading_order)) END AS image_ref, CASE WHEN path IS NOT NULL THEN 'image/jpeg' END AS mime_type, CASE WHEN p_partkey % 4 = 0 THEN 0.25 END::DOUBLE AS confidence, CASE p_partkey % 4 WHEN 1 THEN 'latex' WHEN 2 THEN 'mathml' END AS math_type, CASE WHEN p_partkey % 4 = 0 THEN 'text:' || p_name || ':0.5|formula:x:' END AS caption FROM parts")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found, images = ocr.with_image_refs(_figure_blocks(spark, d))
+    caption = F.array_join(F.transform("caption", lambda i: F.concat_ws(":", i["type"], i["content"], F.coalesce(i["confidence"].cast("string"), F.lit("")))), "|")
+    named = found.join(images.select("image_id", "mime_type"), F.col("image_ref") == F.col("image_id"), "left")
+    return named.select("document_id", F.col("reading_order").cast("int").alias("reading_order"), "image_ref", "mime_type", "confidence", "math_type", caption.alias("caption"))
+
 
 def _content_lists(spark: SparkSession, d: str) -> DataFrame:
     """The blocks as one content list a document, as an OCR engine writes them."""
@@ -271,13 +309,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "o59_delimit_formulas",
-    r"SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ': $\frac{a}{b_{1}} + \sqrt{x}$, then $\pi$ and $\alpha^2$' WHEN 1 THEN event_type || '; $\frac{a{b{c{d{' || user_id || '}}}}} + \max(f(g(x)))$, end' ELSE event_type END AS delimited FROM events",
+    r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || ': $\frac{a}{b_{1}} + \sqrt{x}$, then $\pi$ and $\alpha^2$' WHEN 1 THEN event_type || '; $\frac{a{b{c{d{' || user_id || '}}}}} + \max(f(g(x)))$, end'
+WHEN 2 THEN event_type || ': $\alpha $x_{' || user_id || '}$ \beta$' WHEN 3 THEN '$\gamma $$$a, b$$ $\delta_1 $$y$, ' || event_type ELSE event_type END AS delimited FROM events""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     plain = F.concat("event_type", F.lit(": \\frac{a}{b_{1}} + \\sqrt{x}, then $\\pi$ and \\alpha^2"))
     deep = F.concat("event_type", F.lit("; \\frac{a{b{c{d{"), "user_id", F.lit("}}}}} + \\max(f(g(x))), end"))
-    t = F.when(F.col("event_id") % 3 == 0, plain).when(F.col("event_id") % 3 == 1, deep).otherwise(F.col("event_type"))
+    between = F.concat("event_type", F.lit(": \\alpha $x_{"), "user_id", F.lit("}$ \\beta"))
+    beside = F.concat(F.lit("\\gamma $$a, b$$ \\delta_1 $y$, "), "event_type")
+    t = F.col("event_type")
+    for k, text in enumerate((plain, deep, between, beside)):
+        t = F.when(F.col("event_id") % 5 == k, text).otherwise(t)
     return T.delimit_formulas(e.select("event_id", t.alias("text"))).select("event_id", "delimited")
 
 
@@ -325,7 +368,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     """Responses made of events: plain, fenced, with prose, with bad escapes, cut off, empty."""
-    body = F.expr("""concat('{"questions":[{"content":"c', event_id, '","question_number":"1","question_type":"', CASE WHEN user_id % 5 = 0 THEN 'riddle' ELSE 'proof' END, '","subject_name":"s","source_page":', user_id % 3, ',"knowledge_points":[{"name":"k","chapter":"","role":"', CASE WHEN user_id % 7 = 0 THEN 'secondary' ELSE 'primary' END, '","weight":', CASE WHEN user_id % 11 = 0 THEN '1.5' ELSE '0.5' END, '}]}]}')""")
+    body = F.expr("""concat('{"questions":[{"content":"c', event_id, '","question_number":"1","question_type":"', CASE WHEN user_id % 5 = 0 THEN 'riddle' ELSE 'proof' END, '","subject_name":"s","source_page":', user_id % 3, ',"knowledge_points":[{"name":"k","chapter":"c","role":"', CASE WHEN user_id % 7 = 0 THEN 'secondary' ELSE 'primary' END, '","weight":', CASE WHEN user_id % 11 = 0 THEN '1.5' ELSE '0.5' END, '}]}]}')""")
     shown = F.when(F.col("event_id") % 6 == 0, body).when(F.col("event_id") % 6 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 6 == 2, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(F.col("event_id") % 6 == 3, F.replace(body, F.lit('"content":"c'), F.lit('"content":"\\sqrt c'))).when(F.col("event_id") % 6 == 4, F.substring(body, 1, 30)).otherwise("  ")
     return table(spark, d, "events").select(F.col("event_id").alias("response_id"), shown.alias("response"))
 
@@ -345,6 +388,41 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return N.validate_responses(N.parse_responses(_responses(spark, d))[0])[1].select("response_id", F.array_join("broken", ",").alias("broken"))
 
 
+def _kinds_of_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed responses of three kinds, and of a fourth that no rule knows, from sources by event type."""
+    split = """concat('{"questions":[{"question_number":null,"content":"', if(event_id % 4 = 0, ' ', 'c'), '","page":', user_id % 2, ',"is_noise":false},{"content":"n","is_noise":', if(event_id % 3 = 0, '"maybe"', 'true'), '}]}')"""
+    groups = """concat('[{"canonical":"', if(user_id % 3 = 0, '', 'k'), '","duplicates":[', if(user_id % 4 = 0, '', '"d"'), ']}]')"""
+    enrich = """if(user_id % 5 = 0, '{"questions":[]}', if(user_id % 5 = 1, '[1]', '{"questions":[{"content":7,"subject_name":"s","knowledge_points":[{"name":"k","chapter":"c","role":"primary","weight":1},{"name":"","chapter":"c","role":"tertiary","weight":-1}]}]}'))"""
+    e = table(spark, d, "events")
+    body = F.expr(f"CASE event_id % 7 WHEN 0 THEN {enrich} WHEN 1 THEN {groups} WHEN 2 THEN '{{}}' ELSE {split} END")
+    return e.select(F.col("event_id").alias("response_id"), F.col("event_type").alias("source"), F.expr("CASE event_id % 7 WHEN 0 THEN 'enrich' WHEN 1 THEN 'groups' WHEN 2 THEN 'poem' ELSE 'split' END").alias("record"), body.alias("json"))
+
+
+_FAILURES = """e AS (SELECT *, event_id % 7 AS k FROM events), f AS (
+  SELECT event_type, 'split' AS record, unnest([CASE WHEN event_id % 4 = 0 THEN 'content' END, CASE WHEN user_id % 2 = 0 THEN 'page' END, CASE WHEN event_id % 3 = 0 THEN 'noise' END]) AS rule FROM e WHERE k > 2
+  UNION ALL SELECT event_type, 'groups', unnest([CASE WHEN user_id % 3 = 0 THEN 'canonical' END, CASE WHEN user_id % 4 = 0 THEN 'duplicates' END]) FROM e WHERE k = 1
+  UNION ALL SELECT event_type, 'poem', 'record' FROM e WHERE k = 2
+  UNION ALL SELECT event_type, 'enrich', unnest(CASE WHEN user_id % 5 < 2 THEN ['records'] ELSE ['content', 'topic_name', 'role', 'weight'] END) FROM e WHERE k = 0)"""
+
+
+@query("o70_failure_counts", f"WITH {_FAILURES} SELECT event_type AS source, record, rule, count(*) AS n FROM f WHERE rule IS NOT NULL GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rejected = N.validate_responses(_kinds_of_responses(spark, d), record="record")[1]
+    return V.failure_counts(rejected, ["source"])
+
+
+@query("o70_valid_splits", "SELECT event_id AS response_id, k AS at, CASE k WHEN 0 THEN 'c' ELSE 'n' END AS content, CASE k WHEN 0 THEN 1 END::INTEGER AS page, k = 1 AS is_noise FROM events, (VALUES (0), (1)) p(k) WHERE event_id % 7 > 2 AND CASE k WHEN 0 THEN event_id % 4 != 0 AND user_id % 2 = 1 ELSE event_id % 3 != 0 END")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    valid, _ = N.validate_responses(_kinds_of_responses(spark, d), record="record")
+    return V.typed(valid, "split").select("response_id", "at", "q.content", "q.page", "q.is_noise")
+
+
+@query("o51_duplicate_groups", "SELECT event_id AS response_id, 'k' AS canonical, 'd' AS duplicates FROM events WHERE event_id % 7 = 1 AND user_id % 3 != 0 AND user_id % 4 != 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = N.duplicate_groups(_kinds_of_responses(spark, d).filter("record = 'groups'"))
+    return found.select("group_id.response_id", "canonical", F.array_join("duplicates", ",").alias("duplicates"))
+
+
 @query("o71_apply_splits", _sql("pages AS (SELECT document_id, page_list[1] AS page, count(*) AS n FROM spans GROUP BY 1, 2), split AS (SELECT document_id, page, 'response' AS origin, 1 AS n FROM pages WHERE document_id % 2 = 0), rules AS (SELECT document_id, page, 'rules' AS origin, n FROM pages WHERE document_id % 2 = 1) SELECT document_id, page, origin, CAST(n AS BIGINT) AS n FROM (SELECT * FROM split UNION ALL SELECT * FROM rules)"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = materialize(spans(spark, d), "spans")
@@ -360,19 +438,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     marks(m).repartitionByRange(4, "ts").write.parquet(f"{out}/in")
     stream = spark.readStream.schema(marks(m).schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
-    streams.mark_stream(stream, f"{out}/latest", f"{out}/checkpoint").awaitTermination()
-    found = streams.latest_of(spark.read.parquet(f"{out}/latest"))
-    return found.select("item_id", "level", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    streams.mark_stream(stream, f"{out}/checkpoint").awaitTermination()
+    return streams.latest_of(spark, f"{out}/checkpoint").select("item_id", "level", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("o79_import_stream", model_sql(f"{_ENTRIES} SELECT r.entry_id, count(DISTINCT r.topic_id) AS n_links FROM state s JOIN resolved r ON r.entry_id = s.entry_id WHERE s.subject_id IS NOT NULL AND n_lost = 0 GROUP BY 1"))
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _imported(spark: SparkSession, d: str) -> str:
+    """The folder of an import of all entries, whose files hold pages in any order."""
     out = f"{shared_dir(spark)}/imports-{uuid.uuid4().hex}"
     m = Model(spark, d)
-    all_entries = entries(m)
-    all_entries.repartition(4).write.parquet(f"{out}/in")
-    stream = spark.readStream.schema(all_entries.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+    planned = streams.with_page_plan(paged_entries(m))
+    planned.repartition(4).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(planned.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
     accept = lambda b: R.accept_entries(b, R.resolve_topics(b, m.aliases, m.topics, m.chapters, m.subjects), m.subjects)
     streams.import_stream(stream, accept, next_id(m.items), f"{out}/out", f"{out}/checkpoint").awaitTermination()
-    links = spark.read.parquet(f"{out}/out/links").groupBy("item_id").agg(F.count("*").alias("n_links"))
-    return spark.read.parquet(f"{out}/out/items").join(links, F.col("id") == F.col("item_id")).select("entry_id", "n_links")
+    return f"{out}/out"
+
+
+@query("o79_import_stream", model_sql(f"{_ENTRIES} SELECT r.entry_id, count(DISTINCT r.topic_id) AS n_links FROM state s JOIN resolved r ON r.entry_id = s.entry_id WHERE s.subject_id IS NOT NULL AND n_lost = 0 GROUP BY 1"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = _imported(spark, d)
+    links = spark.read.parquet(f"{out}/links").groupBy("item_id").agg(F.count("*").alias("n_links"))
+    return spark.read.parquet(f"{out}/items").join(links, F.col("id") == F.col("item_id")).select("entry_id", "n_links")
+
+
+@query("o79_page_totals", model_sql(f"{_ENTRIES}, {PAGED} SELECT document_id, page, imported, skipped, CAST(sum(imported) OVER w AS BIGINT) AS imported_so_far, CAST(sum(skipped) OVER w AS BIGINT) AS skipped_so_far FROM (SELECT document_id, page, count(*) FILTER (WHERE good) AS imported, count(*) FILTER (WHERE NOT good) AS skipped FROM outcomes GROUP BY 1, 2) WINDOW w AS (PARTITION BY document_id ORDER BY page)"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return streams.import_totals(spark, _imported(spark, d))

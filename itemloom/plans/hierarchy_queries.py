@@ -84,6 +84,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return H.topic_forest(Model(spark, d).topics.filter("id % 13 != 0"))[0].select("id", "root_id", "depth")
 
 
+@query(
+    "o45_display_tree",
+    _recursive(
+        """RECURSIVE {m}, ordered AS (SELECT t.id, t.parent_id, row_number() OVER (ORDER BY s.name, c.sort_order, t.sort_order, t.id) AS r FROM topics t JOIN chapters c ON t.chapter_id = c.id JOIN subjects s ON c.subject_id = s.id WHERE t.id % 13 != 0),
+walk AS (SELECT id, id AS root_id, CAST(0 AS BIGINT) AS depth, [r] AS k, CAST(id AS VARCHAR) AS path FROM ordered WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM ordered)
+  UNION ALL SELECT o.id, w.root_id, w.depth + 1, list_append(w.k, o.r), w.path || '/' || o.id FROM ordered o JOIN walk w ON o.parent_id = w.id)
+SELECT id, root_id, depth, path, (SELECT count(*) FROM ordered o WHERE o.parent_id = w.id) AS n_children, (SELECT count(*) FROM walk b WHERE b.path LIKE w.path || '/%') AS n_below, row_number() OVER (ORDER BY k) - 1 AS place FROM walk w"""
+    ),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = Model(spark, d)
+    c = m.chapters.select(F.col("id").alias("chapter_id"), "subject_id", F.col("sort_order").alias("chapter_order"))
+    s = m.subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"))
+    chosen = m.topics.filter("id % 13 != 0").join(c, "chapter_id").join(s, "subject_id")
+    tree = H.display_tree(chosen, ["subject", "chapter_order", "sort_order"])
+    return tree.join(H.topic_paths(chosen).select("id", F.array_join("path", "/").alias("path")), "id")
+
+
 _MOVES = """moves AS (SELECT id, CASE WHEN id % 6 = 1 THEN id * 4 + 2 ELSE id * 7 + 3 END % (SELECT count(*) FROM topics) AS new_parent FROM topics WHERE id % 3 = 1),
 up AS (SELECT m.id, m.new_parent, m.new_parent AS spot FROM moves m UNION ALL SELECT u.id, u.new_parent, t.parent_id FROM up u JOIN topics t ON u.spot = t.id WHERE t.parent_id IS NOT NULL),
 bad AS (SELECT DISTINCT id, new_parent FROM up WHERE spot = id)"""
@@ -220,8 +238,18 @@ def entries(m: Model) -> DataFrame:
     return own.join(s, "sid").select("entry_id", subject.alias("subject_name"), F.concat(F.lit("Entry "), "entry_id").alias("content"), topics.alias("topics"))
 
 
-def _resolved(m: Model) -> tuple[DataFrame, DataFrame]:
-    e = materialize(entries(m), "entries")
+#: Where an entry stands: 500 entries a document, pages by number; and whether it is imported.
+PAGED = """outcomes AS (SELECT entry_id, entry_id // 500 AS document_id, CAST(entry_id % 97 + 1 AS INTEGER) AS page, coalesce(subject_id IS NOT NULL AND n_lost = 0, false) AS good,
+  CASE WHEN subject_id IS NULL THEN 'unknown subject' WHEN n_lost > 0 THEN 'unresolved topics' ELSE 'imported' END AS outcome,
+  CASE WHEN subject_id IS NULL THEN 'unknown subject: ' || subject_name ELSE 'topics not in the catalogue: ' || lost END AS reason FROM state)"""
+
+
+def paged_entries(m: Model) -> DataFrame:
+    return entries(m).select("*", F.floor(F.col("entry_id") / 500).alias("document_id"), (F.col("entry_id") % 97 + 1).cast("int").alias("page"))
+
+
+def _resolved(m: Model, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    e = materialize(entries(m) if given is None else given, "entries")
     return e, materialize(R.resolve_topics(e, m.aliases, m.topics, m.chapters, m.subjects), "resolved")
 
 
@@ -242,6 +270,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.import_report(*R.accept_entries(*_resolved(m), m.subjects))
 
 
+@query(
+    "o66_report_lines",
+    model_sql(
+        f"""{_ENTRIES}, {PAGED}, counted AS (SELECT grouping(document_id) + grouping(page) + grouping(outcome) AS g, document_id, page, outcome, count(*) FILTER (WHERE good) AS imported, count(*) FILTER (WHERE NOT good) AS skipped FROM outcomes GROUP BY ROLLUP (document_id, page, outcome))
+SELECT CASE g WHEN 3 THEN 'total' WHEN 2 THEN 'document' WHEN 1 THEN 'page' ELSE 'outcome' END AS level, document_id, page, outcome, CAST(NULL AS BIGINT) AS entry_id, NULL AS excerpt, NULL AS reason, imported, skipped,
+  CASE WHEN g = 1 THEN CAST(sum(imported) OVER w AS BIGINT) END AS imported_so_far, CASE WHEN g = 1 THEN CAST(sum(skipped) OVER w AS BIGINT) END AS skipped_so_far FROM counted WINDOW w AS (PARTITION BY g, document_id ORDER BY page ROWS UNBOUNDED PRECEDING)
+UNION ALL SELECT 'skipped', document_id, page, outcome, entry_id, 'Entry ' || entry_id, reason, NULL, NULL, NULL, NULL FROM outcomes WHERE NOT good"""
+    ),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = Model(spark, d)
+    e, resolved = _resolved(m, paged_entries(m))
+    accepted, refused = R.accept_entries(e, resolved, m.subjects)
+    return R.report_lines(accepted, refused.join(e.select("entry_id", "document_id", "page"), "entry_id"))
+
+
 @query("o78_write_entries", model_sql(f"{_ENTRIES}, good AS (SELECT entry_id, (SELECT max(id) FROM items) + row_number() OVER (ORDER BY entry_id) AS id FROM state WHERE subject_id IS NOT NULL AND n_lost = 0) SELECT g.id AS item_id, r.topic_id, arg_min(r.role, r.spot) AS role, CAST(arg_min(r.weight, r.spot) AS DOUBLE) AS weight FROM good g JOIN resolved r ON r.entry_id = g.entry_id GROUP BY 1, 2"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
@@ -251,11 +295,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return links.crossJoin(F.broadcast(last)).filter("item_id > last").select("item_id", "topic_id", "role", F.col("weight").cast("double").alias("weight"))  # last is one row
 
 
-@query("o53_replace_links", model_sql("new AS (SELECT l.item_id, l.topic_id + 1 AS topic_id FROM links l WHERE l.item_id % 9 = 0) SELECT item_id, tag FROM item_tags WHERE item_id NOT IN (SELECT item_id FROM new) UNION ALL SELECT DISTINCT n.item_id, t.name FROM new n JOIN topics t ON t.id = n.topic_id"))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    m = Model(spark, d)
+_NEW_TAGS = "new AS (SELECT l.item_id, l.topic_id + 1 AS topic_id FROM links l WHERE l.item_id % 9 = 0), own AS (SELECT DISTINCT n.item_id, t.name FROM new n JOIN topics t ON t.id = n.topic_id)"
+
+
+def _replaced(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     new = m.links.filter("item_id % 9 = 0").withColumn("topic_id", F.col("topic_id") + 1)
-    return R.replace_links(m.links, m.item_tags, new, m.topics)[1]
+    return R.replace_links(m.links, materialize(m.tags, "tags"), m.item_tag_ids, new, m.topics)
+
+
+@query("o53_replace_links", model_sql(f"{_NEW_TAGS} SELECT item_id, tag FROM item_tags WHERE item_id NOT IN (SELECT item_id FROM new) UNION ALL SELECT item_id, name FROM own"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    _, tags, item_tags = _replaced(Model(spark, d))
+    return item_tags.join(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), "tag_id").select("item_id", "tag")
+
+
+@query("o53_tags", model_sql(f"{_NEW_TAGS} SELECT id, name FROM tags UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT name FROM own WHERE name NOT IN (SELECT name FROM tags))"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _replaced(Model(spark, d))[1].select("id", "name")
+
+
+@query("o53_links", model_sql("SELECT item_id, CASE WHEN item_id % 9 = 0 THEN topic_id + 1 ELSE topic_id END AS topic_id, role, CAST(weight AS DOUBLE) AS weight FROM links"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _replaced(Model(spark, d))[0].select("item_id", "topic_id", "role", F.col("weight").cast("double").alias("weight"))
 
 
 @query("o65_normalise_links", model_sql("SELECT item_id, topic_id, CASE WHEN role = 'primary' THEN greatest(w, 0.5) ELSE least(w, 0.5) END AS weight FROM (SELECT item_id, topic_id, role, greatest(0.1, least(1.0, CASE WHEN item_id % 7 = 0 THEN 1.0 ELSE CAST(weight AS DOUBLE) * 3 - 0.5 END)) AS w FROM links)"))

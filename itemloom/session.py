@@ -55,11 +55,27 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    system, at = _folder(spark, path)
+    system.delete(at, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where it isn't there."""
+    system, at = _folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing will read again."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df._table_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
