@@ -500,6 +500,70 @@ def test_frequent_seeds_are_aligned(spark):
     assert got == {(k, 1 if k % 2 else 2): (0.7, 20, 35) if k % 2 else (1.0, 20, 24) for k in range(80)}
 
 
+def test_a_common_stem_contaminates_nothing(spark):
+    """Items share a stem; pages that hold only the stem are clean, also where nothing but the stem's seeds survive in a copy."""
+    stem = "what is the capital of".split()
+    items = [(k, " ".join([*stem, f"c{k}", f"x{k}", f"y{k}", f"z{k}"])) for k in range(400)]
+    pages = [(k, " ".join(" ".join([*stem, f"q{k}n{j}"]) for j in range(800))) for k in range(4)]
+    exact = [(100 + k, " ".join(["left", *items[k][1].split(), "right"])) for k in range(5)]
+    edited = [(200 + k, " ".join(["left", *stem, f"c{k}", "other", f"y{k}", "else", "right"])) for k in range(5)]
+    loose = [(300 + k, " ".join(["left", *stem, "other", f"x{k}", "else", f"z{k}", "right"])) for k in range(5)]  # no rare seed is left
+    wrong = [(400 + k, " ".join(["left", *stem, f"c{k}", "other", "words", "here"])) for k in range(5)]
+    df = spark.createDataFrame(pages + exact + edited + loose + wrong, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(base + k, k) for base in (100, 200, 300) for k in range(5)}
+
+
+def test_items_of_stems_only_are_found(spark):
+    parts = [f"alpha beta gamma delta {x} eps zeta eta theta" for x in "abcdefghijkl"]
+    items = [(k, f"{t} iota kappa lambda mu") for k, t in enumerate(parts)] + [(50, "alpha beta gamma delta iota kappa lambda mu")]
+    rows = [(1, items[3][1]), (2, "alpha beta gamma delta iota kappa lambda mu"), (3, "beta gamma delta and nothing of it")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1, 3), (2, 50)} <= got and not [p for p in got if p[0] == 3]
+
+
+def plain_contaminated(docs, items):
+    token = re.compile(r"[^\W_]+")
+    held = {i: token.findall(lower(t)) for i, t in items}
+    seeds = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in held.items()}
+    having = Counter(s for x in seeds.values() for s in x)
+    out = set()
+    for d, t in docs:
+        w = token.findall(lower(t))
+        grams = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+        for i, a in held.items():
+            if not grams & seeds[i]:
+                continue
+            numbers = {x: k for k, x in enumerate(sorted({*a, *w}))}
+            score, b, e = decontam.align(np.array([numbers[x] for x in a], np.uint64), np.array([numbers[x] for x in w], np.uint64))
+            covered = {p for k in range(len(a) - 3) if having[tuple(a[k : k + 4])] > decontam.SHARED_ITEMS for p in range(k, k + 4)}
+            own = [x for p, x in enumerate(a) if p not in covered] or a
+            if score >= len(a) and 2 * sum((Counter(own) & Counter(w[b:e])).values()) >= len(own):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("block_chars", [decontam.BLOCK_CHARS, 1500])
+def test_contaminated_is_that_of_all_alignments(spark, monkeypatch, block_chars):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", block_chars)
+    rng = random.Random(21)
+    stems = [[f"s{j}n{k}" for k in range(6)] for j in range(3)]
+    items = []
+    for k in range(60):
+        body = words(rng, rng.randrange(4, 20))
+        cut = rng.randrange(len(body))
+        items.append((k, " ".join(body[:cut] + (stems[k % 3] if k % 4 else []) + body[cut:])))
+    docs = []
+    for d in range(150):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(len(w))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
+        docs.append((d, " ".join(words(rng, 15) + w + words(rng, 3) + rng.choice(stems) + words(rng, 20))))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = plain_contaminated(docs, items)
+    assert got == expected and len(expected) > 40
+
+
 def test_matches_are_bounded_by_shared_tokens():
     rng = random.Random(10)
     for _ in range(200):
