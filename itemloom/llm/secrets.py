@@ -71,24 +71,50 @@ def _weight(count: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w).cast("long") for w in WEIGHT]), count + 1)
 
 
-def _count(chars: Column, one: Column) -> Column:
-    return F.size(F.filter(chars, lambda c: c == one))
+#: Characters of candidates; each has a counter of BITS bits, PER_LONG of them in a long.
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BITS = 5
+PER_LONG = 12
+LONGS = -(-len(CHARACTERS) // PER_LONG)
+
+
+def _counter(counts: Column, k: Column) -> Column:
+    """The count of character number k."""
+    return F.call_function("shiftright", F.element_at(counts, F.floor(k / PER_LONG).cast("int") + 1), k % PER_LONG * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+
+def _changed(counts: Column, k: Column, by: int) -> Column:
+    """The counts with one more or one less of character number k."""
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), k % PER_LONG * BITS) * by
+    return F.transform(counts, lambda x, j: F.when(j == F.floor(k / PER_LONG), x + step).otherwise(x))
 
 
 def least_window_sum(candidate: Column) -> Column:
-    """The least sum of weights of any window: the lower, the higher its entropy."""
-    chars = F.split(candidate, "")
-    first = F.slice(chars, 1, WINDOW)
-    begin = F.aggregate(F.array_distinct(first), F.lit(0).cast("long"), lambda s, c: s + _weight(_count(first, c)))
-
-    def slide(s: Column, i: Column) -> Column:
-        stay = F.slice(chars, i + 1, WINDOW - 1)
-        out, new = _count(stay, F.element_at(chars, i)), _count(stay, F.element_at(chars, i + WINDOW))
-        now = s["now"] - _weight(out + 1) + _weight(out) + _weight(new + 1) - _weight(new)
-        return F.struct(now.alias("now"), F.least(s["least"], now).alias("least"))
-
-    steps = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(1), F.size(chars) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.struct(begin.alias("now"), begin.alias("least")), slide, lambda s: s["least"])
+    """The least sum of weights of any window: the lower, the higher its entropy.
+
+    The counts of the window's characters go from window to window: one is taken down, one up, and the sum
+    follows these two counts. A window has at most 20 of a character, so a counter of five bits holds it.
+    """
+    numbers = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(CHARACTERS), c) - 1)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"), F.lit(0).cast("long").alias("now"))
+
+    def enter(s: Column, k: Column) -> Column:
+        n = _counter(s["counts"], k)
+        return F.struct(_changed(s["counts"], k, 1).alias("counts"), (s["now"] + _weight(n + 1) - _weight(n)).alias("now"))
+
+    def slide(s: Column, pair: Column) -> Column:
+        n_out = _counter(s["counts"], pair["out"])
+        less = _changed(s["counts"], pair["out"], -1)
+        same = pair["out"] == pair["new"]
+        n_new = F.when(same, n_out - 1).otherwise(_counter(s["counts"], pair["new"]))
+        now = s["now"] - _weight(n_out) + _weight(n_out - 1) + _weight(n_new + 1) - _weight(n_new)
+        return F.struct(_changed(less, pair["new"], 1).alias("counts"), now.alias("now"), F.least(s["least"], now).alias("least"))
+
+    first = F.aggregate(F.slice(numbers, 1, WINDOW), start, enter)
+    begin = F.struct(first["counts"].alias("counts"), first["now"].alias("now"), first["now"].alias("least"))
+    n = F.greatest(F.size(numbers) - WINDOW, F.lit(0))
+    pairs = F.zip_with(F.slice(numbers, F.lit(1), n), F.slice(numbers, F.lit(WINDOW + 1), n), lambda out, new: F.struct(out.alias("out"), new.alias("new")))
+    return F.aggregate(pairs, begin, slide, lambda s: s["least"])
 
 
 def _secret(candidate: Column) -> Column:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from itemloom.llm import bytescan, cotrain, decontam, graph, jaccard, langid, lines, linear, mixing, quality_rules, secrets, substrings, toxicity
 
@@ -621,6 +622,15 @@ def test_base_spans(spark):
     assert got == {i: plain_base(t or "") for i, t in rows}
 
 
+def test_window_sums_follow_the_counts(spark):
+    rng = random.Random(22)
+    strings = ["".join(rng.choice(rng.choice(["01", "abcdef0123456789", secrets.CHARACTERS])) for _ in range(rng.choice([20, 21, 22, 40, 90]))) for _ in range(300)] + ["A" * 20, "a" * 300, secrets.CHARACTERS, "_-/+" * 10]
+    df = spark.createDataFrame([(t,) for t in strings], "t string").select("t", secrets.least_window_sum(F.col("t")).alias("least"))
+    weight = lambda w: sum(secrets.WEIGHT[c] for c in Counter(w).values())
+    for r in df.collect():
+        assert r.least == min(weight(r.t[k : k + 20]) for k in range(len(r.t) - 19)), r.t
+
+
 def test_entropy_spans(spark):
     token = "q7Zx1LkP0vRt9WmC3yBn5"
     rows = [
