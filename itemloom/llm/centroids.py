@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.session import materialize
+from itemloom.session import discard, materialize
 
 DIMENSIONS = 64
 SCALE = 256
@@ -210,6 +210,7 @@ def cluster(embeddings: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUND
     for _ in range(rounds if len(centroids) else 0):
         centroids = moved(vectors, centroids)
     placed = materialize(assigned(vectors, centroids), "clusters")
+    discard(vectors)
     sums = {r.cluster: int(r.total) for r in placed.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     rows = [(k, n, sum(sums.values()), digest[k]) for k, n in sums.items()]
