@@ -69,8 +69,9 @@ def topic_forest(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     reach = 1
     while reach <= total and not up.filter("up IS NOT NULL").isEmpty():
         above = up.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("steps").alias("a_steps"), F.col("root").alias("a_root"))
-        up = up.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("a_up").alias("up"), (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"), F.coalesce("a_root", "root").alias("root"))
-        up = materialize(up, "forest")
+        further = up.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("a_up").alias("up"), (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"), F.coalesce("a_root", "root").alias("root"))
+        older, up = up, materialize(further, "forest")
+        discard(older)
         reach *= 2
     done = up.filter("up IS NULL").select("id", F.col("root").alias("root_id"), F.col("steps").alias("depth"))
     return topics.join(done, "id"), topics.join(up.filter("up IS NOT NULL").select("id"), "id", "left_semi")
@@ -164,7 +165,8 @@ def move_topics(topics: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
     most, step = state.agg(F.max("steps")).first()[0] or 0, 1
     while step <= most:
         taken = (F.col("steps") > 0) & (F.col("steps").bitwiseAND(F.lit(step)) != 0)
-        state = materialize(state.join(up, F.col("at") == F.col("n"), "left").select("id", "new_parent", F.when(taken, F.col("up")).otherwise(F.col("at")).alias("at"), "steps", "lost"), "moves")
+        older, state = state, materialize(state.join(up, F.col("at") == F.col("n"), "left").select("id", "new_parent", F.when(taken, F.col("up")).otherwise(F.col("at")).alias("at"), "steps", "lost"), "moves")
+        discard(older)
         further = up.select(F.col("n").alias("m"), F.col("up").alias("far"))
         up = materialize(up.join(further, F.col("up") == F.col("m"), "left").select("n", F.col("far").alias("up")), "up")
         step *= 2
