@@ -258,7 +258,7 @@ def test_ocr_files(spark, tmp_path):
     rows = ocr.flatten_tables(ocr.read_blocks(spark, str(tmp_path))).orderBy("page", "reading_order").collect()
     assert [(r.page, r.type) for r in rows] == [(1, "title"), (1, "page_number"), (1, "unknown"), (2, "paragraph"), (2, "equation_interline")]
     assert rows[0].level == 2 and rows[1].text == "7" and rows[4].image_mime == "image/jpeg"
-    assert [tuple(i) for i in rows[3].inlines] == [("text", "area of"), ("formula", "r^2"), ("text", "& more")]
+    assert [tuple(i) for i in rows[3].inlines] == [("text", "area of", None), ("formula", "r^2", None), ("text", "& more", None)]  # no confidence
     assert rows[0].document_id.startswith("a_") and len(rows[0].document_id) == 10
 
 
