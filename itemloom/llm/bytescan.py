@@ -2,8 +2,9 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Every separator is one ASCII byte and no byte
 of a multi-byte character is ASCII, so cutting the bytes cuts the text exactly.
-Work goes in chunks of about a megabyte: memory is bounded by the chunk, or by
-the one text that is longer than it.
+Work goes in chunks of about a megabyte. A text that is longer is a chunk of its own, but
+its words are found and hashed, and its pieces are looked at, a megabyte at a time: what
+grows with it are the text and some numbers for each of its words.
 """
 
 from __future__ import annotations
@@ -105,7 +106,49 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def in_pieces(chunk: Chunk) -> bool:
+    """Whether the chunk is one text that is too long to be looked at as a whole."""
+    return chunk.rows == 1 and len(chunk.data) > 2 * CHUNK_BYTES
+
+
+def pieces(chunk: Chunk, beyond: int = 0) -> Iterator[tuple[Chunk, int]]:
+    """The chunk itself or, of one long text, pieces that end with a separator and where the next begins.
+
+    A piece shows up to ``beyond`` bytes of the next one, as many as its second item says. A word
+    that is longer than that makes its piece longer.
+    """
+    most, n = CHUNK_BYTES, len(chunk.data)
+    if not in_pieces(chunk):
+        yield chunk, 0
+        return
+    at = 0
+    while at < n:
+        to = min(at + most, n)
+        while to < n and not _SPACE[chunk.data[to - 1]]:
+            some = np.flatnonzero(_SPACE[chunk.data[to : to + most]])
+            to = to + int(some[0]) + 1 if len(some) else min(to + most, n)
+        shown = min(to + beyond, n)
+        yield Chunk(chunk.first, 1, chunk.data[at:shown], np.array([0, shown - at])), shown - to
+        at = to
+
+
+def _words_of_one(data: np.ndarray, separators: np.ndarray) -> Words:
+    """The words of one long text, a megabyte at a time."""
+    start, end = [], []
+    for a in range(0, len(data), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(data))
+        inside = np.zeros(b - a + 2, bool)  # with the byte before and after
+        lo, hi = max(a - 1, 0), min(b + 1, len(data))
+        inside[lo - a + 1 : hi - a + 1] = ~separators[data[lo:hi]]
+        start.append(np.flatnonzero(inside[1:-1] & ~inside[:-2]) + a)
+        end.append(np.flatnonzero(inside[1:-1] & ~inside[2:]) + a + 1)
+    starts = np.concatenate(start)
+    return Words(starts, np.concatenate(end), np.array([0, len(starts)]))
+
+
 def words(chunk: Chunk, separators: np.ndarray = _SPACE) -> Words:
+    if in_pieces(chunk):
+        return _words_of_one(chunk.data, separators)
     inside = ~separators[chunk.data]
     n = len(inside)
     begins = np.zeros(n, bool)
@@ -120,14 +163,42 @@ def words(chunk: Chunk, separators: np.ndarray = _SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.offsets))
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal for equal bytes."""
+def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], dtype=U64, out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
 
 
+def _long_hash(data: np.ndarray) -> np.ndarray:
+    """The hash of one range of any length, in one item."""
+    total = 0
+    for a in range(0, len(data), CHUNK_BYTES):
+        part = data[a : a + CHUNK_BYTES].astype(U64) + U64(1)
+        total += pow(_BASE, a, 1 << 64) * int((part * _power_tables(len(part))[0][: len(part)]).sum(dtype=U64))
+    return mix(np.array([(total + len(data)) % (1 << 64)], U64))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, equal for equal bytes. ``start`` ascends.
+
+    Long data is looked at a megabyte at a time, or as much as one range holds.
+    """
+    if len(data) <= 2 * CHUNK_BYTES:
+        return _range_hashes(data, start, end)
+    out = np.zeros(len(start), U64)
+    long = end - start > CHUNK_BYTES
+    for k in np.flatnonzero(long):
+        out[k] = _long_hash(data[start[k] : end[k]])[0]
+    cuts = np.searchsorted(start, np.arange(0, len(data) + CHUNK_BYTES, CHUNK_BYTES))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = np.arange(a, b)[~long[a:b]]
+        if len(some):
+            lo, hi = start[some[0]], end[some].max()
+            out[some] = _range_hashes(data[lo:hi], start[some] - lo, end[some] - lo)
+    return out
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of each row's values, which doesn't depend on the rows before it."""
     out = np.zeros(len(offsets) - 1, np.float64 if values.dtype.kind == "f" else np.int64)

@@ -15,7 +15,7 @@ half is learned from. The sample is bounded, see PER_CLASS; what is exchanged is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,17 +46,20 @@ _LINE[10] = True
 def metadata(c: bytescan.Chunk, source: list, lang: list) -> np.ndarray:
     """Hashed metadata features of each row, as many for every row."""
     size = np.diff(c.offsets)
-    n_words = bytescan.words(c).counts
-    share = lambda mask: bytescan.sums(mask[c.data], c.offsets) / np.maximum(size, 1)
-    lines = bytescan.sums(_LINE[c.data], c.offsets) + 1
+    counts = 0
+    for piece, _ in bytescan.pieces(c):
+        own = [bytescan.words(piece).counts, *(bytescan.sums(mask[piece.data], piece.offsets) for mask in (_LINE, _UPPER, _DIGIT, _SYMBOL))]
+        counts = counts + np.stack(own)
+    n_words, lines = counts[0], counts[1] + 1
+    share = counts[2:] / np.maximum(size, 1)
     steps = [
         np.log2(size + 1).astype(int),
         np.log2(lines).astype(int),
         np.log2(n_words / lines + 1).astype(int),
         np.minimum(size / np.maximum(n_words, 1) * 2, 60).astype(int),
-        np.log2(share(_UPPER) * 256 + 1).astype(int),
-        np.log2(share(_DIGIT) * 256 + 1).astype(int),
-        np.log2(share(_SYMBOL) * 256 + 1).astype(int),
+        np.log2(share[0] * 256 + 1).astype(int),
+        np.log2(share[1] * 256 + 1).astype(int),
+        np.log2(share[2] * 256 + 1).astype(int),
     ]
     named = [[hash_text(x) for x in values] for values in (source, lang)]
     columns = [np.asarray(s, np.int64).astype(U64) for s in steps] + [np.array(v, U64) for v in named]
@@ -85,8 +88,7 @@ def _extract(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, linear.Sparse,
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for c in bytescan.chunks(batch.column(1)):
                 rows = slice(c.first, c.first + c.rows)
-                index, offsets = linear.text_features(c)
-                own = [linear.counted(index[a:b].astype(np.int32)[:, None]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                own = linear.counted_texts(c)
                 packed = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in ([x.features for x in own], [x.counts for x in own], metadata(c, source[rows], lang[rows]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(4).slice(c.first, c.rows), *packed], names=["doc_id", "label", "features", "counts", "meta"])
 
@@ -146,9 +148,10 @@ class CoTrained:
     meta: View
     joint: tuple[float, float, float]  # weights of the two log odds, and a bias
 
-    def odds(self, c: bytescan.Chunk, source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
-        means = linear.Calibrated(self.text.weights, 0.0, 1.0, 0.0).margins(*linear.text_features(c))
-        return self.text.odds(means), self.meta.odds(self.meta.weights[metadata(c, source, lang)].sum(1, dtype=np.float64))
+    def odds(self, texts: Iterable[tuple[np.ndarray, np.ndarray]], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both views' calibrated log odds of a chunk's rows, of its ``linear.parts`` and ``metadata``."""
+        means = linear.Calibrated(self.text.weights, 0.0, 1.0, 0.0).margins(texts)
+        return self.text.odds(means), self.meta.odds(self.meta.weights[meta].sum(1, dtype=np.float64))
 
     def joined(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         a, b, bias = self.joint
@@ -169,19 +172,24 @@ def exchanged(rows: DataFrame, views: CoTrained) -> tuple[np.ndarray, np.ndarray
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for c in bytescan.chunks(batch.column(1)):
-                names = source[c.first : c.first + c.rows], lang[c.first : c.first + c.rows]
-                odds, some = views.odds(c, *names), bytescan.words(c).counts > 0
-                index, offsets = linear.text_features(c)
-                upper = index >= linear.DIMS // 2
-                row = np.repeat(np.arange(c.rows), np.diff(offsets))
-                share = np.ones(len(index))
-                for half in (~upper, upper):
-                    share[half] /= bytescan.sums(half, offsets)[row[half]]
-                meta = metadata(c, *names)
-                for k, sign in ((0, -1), (1, 1)):
-                    sure = (sign * odds[1] >= limit) & some
-                    sums[0][k] += np.bincount(index, share * linear.SCALE * sure[row], dims[0])
-                    sums[1][k] += np.bincount(meta[(sign * odds[0] >= limit) & some].ravel(), minlength=dims[1])
+                rows = slice(c.first, c.first + c.rows)
+                meta = metadata(c, source[rows], lang[rows])
+                # A chunk's features are made once, those of a long text anew for each use.
+                once = None if bytescan.in_pieces(c) else list(linear.parts(c))
+                odds = views.odds(once or linear.parts(c), meta)
+                n = sum(linear.halves(*found) for found in once or linear.parts(c))
+                some = n[0] > 0
+                sure = [[(sign * x >= limit) & some for x in odds] for sign in (-1, 1)]
+                for k in (0, 1):
+                    sums[1][k] += np.bincount(meta[sure[k][0]].ravel(), minlength=dims[1])
+                if not any(by_meta.any() for _, by_meta in sure):
+                    continue
+                for index, offsets in once or linear.parts(c):
+                    row = np.repeat(np.arange(c.rows), np.diff(offsets))
+                    share = linear.SCALE / n[(index >= linear.DIMS // 2).astype(np.int8), row]
+                    for k in (0, 1):
+                        chosen = sure[k][1][row]
+                        sums[0][k] += np.bincount(index[chosen], share[chosen], dims[0])
         for v, x in enumerate(sums):
             used = np.flatnonzero(x.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), v, np.int32)), pa.array(used), pa.array(x[0, used]), pa.array(x[1, used])], names=["view", "slot", "zero", "one"])
@@ -231,7 +239,8 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> Da
 
     ``docs`` has doc_id and text, and source and lang if it has them; other columns
     are ignored. A null or wordless text has quality 0 and isn't kept. A null source
-    or language is a value of its own. Repeated rows score alike.
+    or language is a value of its own. Repeated rows score alike. Texts of any length are
+    scored whole, in pieces of a megabyte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +248,10 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> Da
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for c in bytescan.chunks(batch.column(1)):
                 rows = slice(c.first, c.first + c.rows)
-                text, meta = model.odds(c, source[rows], lang[rows])
-                both = np.where(bytescan.words(c).counts > 0, model.joined(text, meta), 0.0)
+                own = metadata(c, source[rows], lang[rows])
+                text, meta = model.odds(linear.parts(c), own)
+                filled = sum(bytescan.words(piece).counts for piece, _ in bytescan.pieces(c)) > 0
+                both = np.where(filled, model.joined(text, meta), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(linear.sigmoid(text)), pa.array(linear.sigmoid(meta)), pa.array(both), pa.array(both >= keep_from)], names=["doc_id", "p_text", "p_meta", "quality", "kept"])
 
     return _columns(docs).mapInArrow(run, SCHEMA)

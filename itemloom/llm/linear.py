@@ -9,7 +9,7 @@ text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,26 +29,45 @@ U64 = np.uint64
 Features = Callable[[bytescan.Chunk], tuple[np.ndarray, np.ndarray]]
 
 
-def text_features(c: bytescan.Chunk) -> tuple[np.ndarray, np.ndarray]:
+def text_features(c: bytescan.Chunk, shown: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words and byte trigrams, repeats included: indices and row offsets.
 
-    Words fall in the lower half of the dimensions, trigrams in the upper half.
+    Words fall in the lower half of the dimensions, trigrams in the upper half. The last
+    ``shown`` bytes belong to the next piece of a text: trigrams reach into them.
     """
-    w = bytescan.words(c)
-    word = (bytescan.range_hashes(c.data, w.start, w.end) & U64(DIMS // 2 - 1)).astype(np.int64)
+    n = len(c.data) - shown
+    w = bytescan.words(bytescan.Chunk(c.first, c.rows, c.data[:n], np.minimum(c.offsets, n)))
+    word = (bytescan.range_hashes(c.data[:n], w.start, w.end) & U64(DIMS // 2 - 1)).astype(np.int64)
     d = c.data.astype(U64)
     gram = (bytescan.mix(d[:-2] | (d[1:-1] << U64(8)) | (d[2:] << U64(16))) & U64(DIMS // 2 - 1)).astype(np.int64) + DIMS // 2
     ends = np.minimum(np.maximum(c.offsets[1:] - 2, c.offsets[:-1]), len(gram))
     begins = np.minimum(c.offsets[:-1], len(gram))
-    keep = np.zeros(len(gram) + 1, np.int64)
-    np.add.at(keep, begins, 1)
-    np.add.at(keep, ends, -1)
-    kept = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
     gram_offsets = np.concatenate([[0], np.cumsum(ends - begins)])
-    row = np.concatenate([w.row, np.repeat(np.arange(c.rows), ends - begins)])
-    index = np.concatenate([word, gram[kept]])
-    order = np.argsort(row, kind="stable")
-    return index[order], w.offsets + gram_offsets
+    offsets = w.offsets + gram_offsets
+    # A row's words come first, then its trigrams; those that span two rows are left out.
+    index = np.empty(offsets[-1], np.int64)
+    is_word = np.zeros(len(index) + 1, np.int8)
+    np.add.at(is_word, offsets[:-1], 1)
+    np.add.at(is_word, offsets[:-1] + w.counts, -1)
+    is_word = np.cumsum(is_word[:-1], dtype=np.int8) > 0
+    kept = np.zeros(len(gram) + 1, np.int8)
+    np.add.at(kept, begins, 1)
+    np.add.at(kept, ends, -1)
+    index[is_word] = word
+    index[~is_word] = gram[np.cumsum(kept[:-1], dtype=np.int8) > 0]
+    return index, offsets
+
+
+def parts(c: bytescan.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``text_features`` of a chunk; those of one long text in parts that are its own when put together."""
+    for piece, shown in bytescan.pieces(c, 2):
+        yield text_features(piece, shown)
+
+
+def halves(index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words and how many trigrams each row has, (2, rows)."""
+    upper = bytescan.sums(index >= DIMS // 2, offsets)
+    return np.stack([np.diff(offsets) - upper, upper])
 
 
 @dataclass
@@ -107,17 +126,39 @@ class Counted:
 
 
 def counted(features: np.ndarray) -> Counted:
-    return Counted(*np.unique(features, axis=0, return_counts=True))
+    if features.shape[1] > 1:
+        return Counted(*np.unique(features, axis=0, return_counts=True))
+    found, n = np.unique(features[:, 0], return_counts=True)
+    return Counted(found[:, None], n)
+
+
+def counted_texts(c: bytescan.Chunk) -> list[Counted]:
+    """Of each row of a chunk its counted ``text_features``."""
+    found = [[counted(index[a:b].astype(np.int32)[:, None]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] for index, offsets in parts(c)]
+    return found[0] if len(found) == 1 else [_together([x for (x,) in found])]
 
 
-def extract(sample: DataFrame, features: Features, width: int = 1) -> tuple[np.ndarray, np.ndarray, list[Counted]]:
-    """Ids, labels and feature counts of a bounded sample, in id order; features are ``width`` numbers each."""
+def _together(pieces: list[Counted]) -> Counted:
+    features, place = np.unique(np.concatenate([x.features[:, 0] for x in pieces]), return_inverse=True)
+    return Counted(features[:, None], np.bincount(place, np.concatenate([x.counts for x in pieces])).astype(np.int64))
+
+
+def extract(sample: DataFrame, features: Features | None = None, width: int = 1) -> tuple[np.ndarray, np.ndarray, list[Counted]]:
+    """Ids, labels and feature counts of a bounded sample, in id order; features are ``width`` numbers each.
+
+    Without ``features`` they are those of ``text_features``.
+    """
+
+    def counts_of(c: bytescan.Chunk) -> list[Counted]:
+        if features is None:
+            return counted_texts(c)
+        index, offsets = features(c)
+        return [counted(index[a:b].astype(np.int32).reshape(-1, width)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in bytescan.chunks(batch.column(1)):
-                index, offsets = features(c)
-                own = [counted(index[a:b].astype(np.int32).reshape(-1, width)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                own = counts_of(c)
                 packed = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in ([x.features for x in own], [x.counts for x in own])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(2).slice(c.first, c.rows), *packed], names=["doc_id", "label", "features", "counts"])
 
@@ -206,16 +247,17 @@ class Calibrated:
     slope: float
     offset: float
 
-    def margins(self, index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        w = self.weights[index].astype(np.float64)
-        upper = index >= DIMS // 2
-        out = np.full(len(offsets) - 1, self.bias)
-        for half in (~upper, upper):
-            out += bytescan.sums(np.where(half, w, 0.0), offsets) / np.maximum(bytescan.sums(half, offsets), 1) * SCALE
-        return out
-
-    def probabilities(self, index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.margins(index, offsets) + self.offset)
+    def margins(self, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Margins of the rows of a chunk, of which ``found`` are the features, in one part or several."""
+        total, n = 0.0, 0
+        for index, offsets in found:
+            w, upper = self.weights[index].astype(np.float64), index >= DIMS // 2
+            total = total + np.stack([bytescan.sums(np.where(half, w, 0.0), offsets) for half in (~upper, upper)])
+            n = n + halves(index, offsets)
+        return self.bias + (total / np.maximum(n, 1)).sum(0) * SCALE
+
+    def probabilities(self, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return sigmoid(self.slope * self.margins(found) + self.offset)
 
 
 def fit_calibrated(ids: np.ndarray, y: np.ndarray, x: Sparse, shift: float = 0.0) -> Calibrated:

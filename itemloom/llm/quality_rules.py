@@ -22,14 +22,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_CONTINUES = (np.arange(256) & 0xC0) == 0x80  # bytes that don't begin a code point
+#: Bytes that begin a code point of a word.
+_IN_WORD = (np.arange(256) & 0xC0) != 0x80
+_IN_WORD[list(b" \t\n\v\f\r")] = False
 
 
 def counts(c: bytescan.Chunk) -> dict[str, np.ndarray]:
     """The five counts of each text of a chunk."""
     w = bytescan.words(c)
-    span = np.zeros(len(c.data) + 1, np.int64)
-    np.cumsum(~_CONTINUES[c.data], out=span[1:])
     h = bytescan.range_hashes(c.data, w.start, w.end)
 
     # lines that have a word, by row
@@ -51,7 +51,7 @@ def counts(c: bytescan.Chunk) -> dict[str, np.ndarray]:
         covered[first[twice] + k] = True
     return {
         "n_words": w.counts,
-        "word_chars": bytescan.sums(span[w.end] - span[w.start], w.offsets),
+        "word_chars": bytescan.sums(_IN_WORD[c.data], c.offsets),
         "n_symbols": bytescan.sums(_SYMBOL[c.data], c.offsets),
         "n_dup_lines": np.bincount(line_row[again], minlength=c.rows),
         "n_repeat_words": bytescan.sums(covered, w.offsets),
@@ -60,7 +60,7 @@ def counts(c: bytescan.Chunk) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = linear.PER_CLASS) -> linear.Calibrated:
     """The calibrated classifier of ``labels.quality`` on a bounded sample."""
-    ids, y, texts = linear.extract(linear.labelled(docs, labels, "quality", per_class), linear.text_features)
+    ids, y, texts = linear.extract(linear.labelled(docs, labels, "quality", per_class))
     return linear.fit_calibrated(ids, y, linear.sparse(texts), linear.prior_shift(labels, "quality", y))
 
 
@@ -70,14 +70,15 @@ def score(docs: DataFrame, model: linear.Calibrated, least_quality: float = LEAS
     ``docs`` has doc_id and text; other columns are ignored. A null or empty text
     has all counts 0 and fails the base rules. Repeated rows are scored alike, each
     with a row of its own. A model fitted without both classes gives one half, so
-    that the base rules decide alone.
+    that the base rules decide alone. A text of any length is scored whole, its features in
+    pieces of a megabyte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in bytescan.chunks(batch.column(1)):
                 n = counts(c)
-                quality = model.probabilities(*linear.text_features(c))
+                quality = model.probabilities(linear.parts(c))
                 failed = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEATED_PERCENT * n["n_words"])
                 kept = ~failed & (quality >= least_quality)
                 yield pa.RecordBatch.from_arrays(

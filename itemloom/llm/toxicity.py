@@ -41,14 +41,19 @@ U64 = np.uint64
 
 
 def features(c: bytescan.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each token's features and row offsets: 1 + len(STEMS) for each token."""
+    """Hashes of each token's features and row offsets: 1 + len(STEMS) for each token.
+
+    Texts of any length are looked at whole; a long one takes about seven bytes for each of its own.
+    """
     data = bytescan.lower(c.data)
     w = bytescan.words(c, bytescan.PUNCTUATION)
-    columns = [bytescan.range_hashes(data, w.start, w.end)]
-    for n in STEMS:
+    low = U64((1 << HASH_BITS) - 1)
+    out = np.empty((len(w.start), 1 + len(STEMS)), np.int32)
+    out[:, 0] = bytescan.range_hashes(data, w.start, w.end) & low
+    for k, n in enumerate(STEMS, 1):
         stem = bytescan.range_hashes(data, w.start, np.minimum(w.end, w.start + n))
-        columns.append(bytescan.mix(stem + U64(n)))
-    return (np.stack(columns, 1).ravel() & U64((1 << HASH_BITS) - 1)).astype(np.int64), w.offsets * len(columns)
+        out[:, k] = bytescan.mix(stem + U64(n)) & low
+    return out.ravel(), w.offsets * out.shape[1]
 
 
 def _per_token(offsets: np.ndarray) -> np.ndarray:

@@ -718,6 +718,32 @@ def test_sums_do_not_depend_on_neighbours():
         assert bytescan.sums(values, np.array([0, before, before, before + 333, len(values)]))[2] == bytescan.sums(row, np.array([0, 333]))[0]
 
 
+@pytest.mark.parametrize("most", [40, 100, 1000])
+def test_long_texts_in_pieces_are_as_in_one(monkeypatch, most):
+    """Words, hashes, features, counts and margins of a long text don't depend on where it is cut."""
+    rng = np.random.default_rng(31)
+    tokens = [*(f"w{k}" for k in rng.integers(0, 4000, 700)), "x" * 333, "é" * 90, "", "", "\n", "end\n"]
+    texts = [" ".join(rng.permutation(tokens)) for _ in range(3)] + ["y" * 2500, " " * 2500, "ab " + "z" * 2500]
+    model = linear.Calibrated(rng.normal(size=linear.DIMS).astype(np.float32), 0.5, 1.0, 0.0)
+
+    def seen(text):
+        c = next(bytescan.chunks(pa.array([text])))
+        w = bytescan.words(c)
+        every = [w.start, w.end, w.offsets, bytescan.range_hashes(bytescan.lower(c.data), w.start, w.end), *bytescan.shingle_sets(c), *toxicity.features(c), *substrings.sequences(c), cotrain.metadata(c, ["a"], [None])]
+        (own,) = linear.counted_texts(c)
+        index = np.sort(np.concatenate([i for i, _ in linear.parts(c)]))
+        return [*every, own.features, own.counts, index], model.margins(linear.parts(c)), quality_rules.counts(c)
+
+    whole = [seen(t) for t in texts]
+    monkeypatch.setattr(bytescan, "CHUNK_BYTES", most)
+    for t, (arrays, margins, counts) in zip(texts, whole, strict=True):
+        found, near, again = seen(t)
+        assert all(np.array_equal(a, b) for a, b in zip(arrays, found, strict=True))
+        assert np.allclose(margins, near) and all(np.array_equal(counts[k], again[k]) for k in counts)
+    c = next(bytescan.chunks(pa.array([texts[0]])))
+    assert len(list(bytescan.pieces(c))) > 1 and b"".join(p.data[: len(p.data) - n].tobytes() for p, n in bytescan.pieces(c, 2)) == texts[0].encode()
+
+
 def test_exchange_adds_up_certain_documents(labelled):
     """The sums that Spark gives are those of a plain loop over the documents."""
     from pyspark.sql import functions as F
@@ -730,7 +756,7 @@ def test_exchange_adds_up_certain_documents(labelled):
     limit = np.log(cotrain.CERTAIN / (1 - cotrain.CERTAIN))
     for r in rows.filter(F.col("text").isNotNull()).collect():
         c = next(bytescan.chunks(pa.array([r.text])))
-        odds = views.odds(c, [r.source], [r.lang])
+        odds = views.odds(linear.parts(c), cotrain.metadata(c, [r.source], [r.lang]))
         index, _ = linear.text_features(c)
         halves = Counter(int(i >= linear.DIMS // 2) for i in index)
         for k, sign in ((0, -1), (1, 1)):
