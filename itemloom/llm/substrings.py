@@ -246,12 +246,24 @@ def _densest(shared: np.ndarray) -> tuple[int, int] | None:
     return int(np.flatnonzero(total[:end] == least[end])[-1]), end
 
 
+def _longest(shared: np.ndarray) -> tuple[int, int] | None:
+    """The longest stretch of which 6/7 are shared, if it is long enough: where neither of two passages has more of its own, that makes 3/4."""
+    total = np.zeros(len(shared) + 1, np.int64)
+    np.cumsum(np.where(shared, 1, -6), out=total[1:])
+    later = np.maximum.accumulate(total[::-1])[::-1]  # descends
+    end = len(total) - 1 - np.searchsorted(later[::-1], total, "left")  # the last place with as great a sum
+    length = end - np.arange(len(total))
+    begin = int(length.argmax())
+    return (begin, int(end[begin])) if length[begin] >= LENGTH else None
+
+
 def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Similar passages of two shingle sequences: begin and end in x, begin and end in y.
 
     The densest stretch of shared shingles in x and that of its shingles in y are a
-    passage if their sets are similar; else the stretch is cut at its widest gap, on
-    either side. What stands before and after it in x is looked at in turn.
+    passage if their sets are similar; else the longest stretches in them of which 6/7 are
+    shared are, if their sets are similar; else the stretch is cut at its widest gap, on
+    either side. What stands before and after a stretch in x is looked at in turn.
     """
     out = []
     distinct, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -270,6 +282,10 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
         marked[own] = False
         return n
 
+    def alike(s: int, e: int, u: int, v: int) -> bool:
+        n = different(p[s:e][shares(p[s:e], q[u:v])])
+        return n >= LEAST_SHARED and similar(n, different(p[s:e]), different(q[u:v]))
+
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -291,6 +307,12 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
         if similar(shared, different(p[s:e]), different(q[u:v])):
             out.append((s, e, u, v))
             continue
+        if within := _longest(shares(p[s:e], q[u:v])):
+            f, g = s + within[0], s + within[1]
+            if (mirror := _longest(shares(q[u:v], p[f:g]))) and alike(f, g, u + mirror[0], u + mirror[1]):
+                out.append((f, g, u + mirror[0], u + mirror[1]))
+                todo += [(s, f, u, v), (g, e, u, v)]
+                continue
         in_y = np.flatnonzero(shares(q[u:v], p[s:e]))
         gap_x, gap_y = np.diff(in_x), np.diff(in_y)
         if max(gap_x.max(), gap_y.max()) <= 1:

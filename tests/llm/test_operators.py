@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -262,6 +263,39 @@ def test_passages_like_the_leader_only(spark):
     assert len(near) >= 0.9 * len(rows) and len(near & covered) >= 0.98 * len(near)
 
 
+@pytest.mark.parametrize("edits", [3, 4, 5])
+def test_passages_near_the_threshold(spark, edits):
+    """Passages of 100 words with random words changed in each copy: those of which some aligned stretch is similar are found."""
+    rng = random.Random(40 + edits)
+    rows, due = [], set()
+    for g in range(12):
+        base, changed = words(rng, 100), []
+        for _ in range(12):
+            changed.append(set(rng.sample(range(100), edits)))
+            own = [f"e{rng.randrange(10**6)}" if k in changed[-1] else w for k, w in enumerate(base)]
+            rows.append((len(rows), " ".join([*words(rng, rng.randrange(20, 120)), *own, *words(rng, rng.randrange(20, 120))])))
+        for i, j in itertools.permutations(range(12), 2):
+            same = np.array([(changed[i] | changed[j]).isdisjoint(range(k, k + 5)) for k in range(96)])
+            total = np.concatenate([[0], np.cumsum(same)])
+            if any(4 * (total[b] - total[a]) >= 3 * (2 * (b - a) - total[b] + total[a]) for a in range(51) for b in range(a + 46, 97)):
+                due.add(g * 12 + i)
+    got = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(due) > 40 and len(got & due) >= 0.95 * len(due)
+
+
+def test_longest_dense_stretch_is_that_of_all_stretches():
+    rng = np.random.default_rng(41)
+    for _ in range(60):
+        shared = rng.random(rng.integers(0, 160)) < rng.choice([0.8, 0.86, 0.9, 0.95])
+        total = np.concatenate([[0], np.cumsum(shared)])
+        fits = [b - a for a in range(len(total)) for b in range(a + substrings.LENGTH, len(total)) if 7 * (total[b] - total[a]) >= 6 * (b - a)]
+        found = substrings._longest(shared)
+        assert (found is None) == (not fits)
+        if found:
+            a, b = found
+            assert b - a == max(fits) and 7 * (total[b] - total[a]) >= 6 * (b - a)
+
+
 # --- 5: mixing
 
 
