@@ -47,6 +47,8 @@ SIDES = 2
 FLUSH_BYTES = 24 << 20
 #: Bytes of windows and of regions that one task compares, about.
 BUCKET_BYTES, REGION_BYTES = 8 << 20, 2 << 20
+#: Members of a group that are told to be those of another bucket at once, about.
+PIECE = 16
 #: Most document ids that are broadcast to pick texts: 16 bytes each, 8 MB.
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -422,6 +424,23 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=[c.split()[0] for c in _PAIR.split(", ")])
 
 
+def _led_pieces(table: pa.Table) -> pa.Table:
+    """What ``led`` gives of this bucket, the members of each group in pieces of some PIECE ids.
+
+    A member falls in a piece by its hash, so a group that other buckets have too, as copies share many keys,
+    has mostly the same pieces there, and those can be told to be equal before they are unfolded.
+    """
+    found = led(table)
+    group, node = (found[x].to_numpy() for x in ("group", "id"))
+    _, place, n = np.unique(group, return_inverse=True, return_counts=True)
+    bits = np.ceil(np.log2(np.maximum(n / PIECE, 1))).astype(U64)[place]
+    slot = (bytescan.mix(node.view(U64)) >> U64(1)) >> (U64(63) - bits)
+    order = np.lexsort((node, slot, group))
+    group, node, slot = group[order], node[order], slot[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(node), 1), bool), (group[1:] != group[:-1]) | (slot[1:] != slot[:-1])]))
+    return pa.table({"group": pa.array(group[new]), "ids": pa.ListArray.from_arrays(pa.array(np.append(new, len(node)).astype(np.int32)), pa.array(node))})
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in bytescan.chunks(batch.column(1)):
@@ -453,7 +472,8 @@ def passage_pairs(docs: DataFrame, nodes: DataFrame, repeated: bool = True) -> D
     regions = materialize(found, "regions")
     discard(met, wanted)
 
-    grouped = regions.filter("bucket IS NOT NULL").select("bucket", "signatures", "nodes").groupBy("bucket").applyInArrow(led, "group long, id long").distinct()
+    grouped = regions.filter("bucket IS NOT NULL").select("bucket", "signatures", "nodes").groupBy("bucket").applyInArrow(_led_pieces, "group long, ids array<long>")
+    grouped = grouped.distinct().select("group", F.explode("ids").alias("id")).distinct()
     content = regions.filter("bucket IS NULL").select(F.col("id").alias("k"), "node", F.col("cell").alias("at"), "content")
     content = content.dropDuplicates(["k"]) if repeated else content
     weighed = grouped.join(content.select("k", F.length("content").alias("weight")), F.col("id") == F.col("k")).drop("k")

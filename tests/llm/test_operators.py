@@ -283,6 +283,18 @@ def test_passages_near_the_threshold(spark, edits):
     assert len(due) > 40 and len(got & due) >= 0.95 * len(due)
 
 
+@pytest.mark.parametrize("members", [1, 3, 500])
+def test_pieces_of_a_group_are_its_members(members):
+    """The pieces of a bucket are what led gives, and a group that is whole in two buckets has equal pieces."""
+    rng = np.random.default_rng(43)
+    nodes = rng.integers(0, 1 << 62, members).astype(np.uint64)
+    packed = lambda keys: pa.table({x: pa.array([np.concatenate([v, v[:0]]).tobytes()], pa.binary()) for x, v in (("signatures", np.repeat(np.array(keys, np.uint64), members)), ("nodes", np.tile(nodes, len(keys))))})
+    one, two = (substrings._led_pieces(packed(keys)).to_pylist() for keys in ([1, 2, 3], [8, 9]))
+    assert one == two and all(len(r["ids"]) <= 4 * substrings.PIECE for r in one)
+    plain = jaccard.led(packed([1, 2, 3])).to_pylist()
+    assert sorted((r["group"], i) for r in one for i in r["ids"]) == sorted((r["group"], r["id"]) for r in plain)
+
+
 def test_longest_dense_stretch_is_that_of_all_stretches():
     rng = np.random.default_rng(41)
     for _ in range(60):
