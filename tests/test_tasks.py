@@ -1,8 +1,14 @@
 """Tasks that don't grow with the tables, and steps that aren't taken twice."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from itemloom import session
+from itemloom.functions.ids import assign_ids
+from itemloom.operators import resolve as R
 from itemloom.plans.bindings import Model
 from oracle import DATA
+from test_streams import accept, entries_of  # noqa: F401
 
 
 def test_links_are_dealt_by_rows(spark, monkeypatch):
@@ -12,3 +18,25 @@ def test_links_are_dealt_by_rows(spark, monkeypatch):
         links = Model(spark, DATA).links
         assert links.rdd.getNumPartitions() == -(-lines // rows)
         assert links.groupBy("item_id", "topic_id").count().filter("count > 1").isEmpty()
+
+
+def test_acceptance_is_written_once(spark, accept):  # noqa: F811
+    accepted, refused = accept(entries_of(spark, [(1, "a", 1, 1), (2, "b?", 1, 1)]))
+    assert [r.entry_id for r in accepted.collect()] == [1] and [r.entry_id for r in refused.collect()] == [2]
+    for df in (accepted, refused):
+        assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_ids_are_numbered_when_written(spark, n):
+    df = assign_ids(spark.range(n).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], 5, "n")
+    assert "Window" not in df.select("k")._jdf.queryExecution().executedPlan().toString()
+    assert [r.n for r in df.orderBy("k").collect()] == list(range(5, n + 5))
+
+
+def test_the_first_link_to_a_topic_counts(spark):
+    link = "array<struct<at:int,topic_id:long,role:string,weight:double>>"
+    rows = [(7, [(0, 3, "secondary", 0.2), (1, 2, None, 0.3), (2, 3, "primary", 0.9), (3, 2, "x", 0.4)]), (9, [])]
+    items, links = R.new_rows(spark.createDataFrame(rows, f"entry_id long, links {link}"), 100)
+    assert {(r.id, r.entry_id) for r in items.collect()} == {(100, 7), (101, 9)}
+    assert {(r.item_id, r.topic_id, r.role, float(r.weight)) for r in links.collect()} == {(100, 3, "secondary", 0.2), (100, 2, "primary", 0.3)}
