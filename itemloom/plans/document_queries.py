@@ -17,7 +17,7 @@ from itemloom.plans.bindings import Model, model_sql
 from itemloom.plans.core_queries import CHAIN
 from itemloom.plans.hierarchy_queries import _ENTRIES, _MARKS, PAGED, marks, paged_entries
 from itemloom.plans.registry import query
-from itemloom.session import materialize, shared_dir, table
+from itemloom.session import TASK_ROWS, discard, materialize, shared_dir, table
 from itemloom.sources import bank, ocr
 from itemloom.streaming import streams
 
@@ -446,9 +446,12 @@ def _imported(spark: SparkSession, d: str) -> str:
     """The folder of an import of all entries, whose files hold pages in any order."""
     out = f"{shared_dir(spark)}/imports-{uuid.uuid4().hex}"
     m = Model(spark, d)
-    planned = streams.with_page_plan(paged_entries(m))
-    planned.repartition(4).write.parquet(f"{out}/in")
-    stream = spark.readStream.schema(planned.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+    given = materialize(paged_entries(m), "paged")
+    files = max(4, -(-given.count() // TASK_ROWS))
+    streams.with_page_plan(given).repartition(files, "entry_id").write.parquet(f"{out}/in")
+    discard(given)
+    planned = spark.read.parquet(f"{out}/in")
+    stream = spark.readStream.schema(planned.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{out}/in")
     accept = lambda b: R.accept_entries(b, R.resolve_topics(b, m.aliases, m.topics, m.chapters, m.subjects), m.subjects)
     streams.import_stream(stream, accept, next_id(m.items), f"{out}/out", f"{out}/checkpoint").awaitTermination()
     return f"{out}/out"
