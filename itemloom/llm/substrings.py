@@ -47,8 +47,8 @@ SIDES = 2
 FLUSH_BYTES = 24 << 20
 #: Bytes of windows and of regions that one task compares, about.
 BUCKET_BYTES, REGION_BYTES = 8 << 20, 2 << 20
-#: Members of a group that are told to be those of another bucket at once, about.
-PIECE = 16
+#: Buckets that a group is dealt to, at most, and members of it that leave a bucket at once, about.
+SLOTS, PIECE = 64, 16
 #: Most document ids that are broadcast to pick texts: 16 bytes each, 8 MB.
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -328,6 +328,24 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _nearly_whole(shared: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each row, whether some stretch has LEAST_SHARED shared shingles or more, and six or more for each new one that isn't."""
+    k, n = shared.shape
+    total, count = np.zeros((k, n + 1), np.int64), np.zeros((k, n + 1), np.int64)
+    np.cumsum(np.where(shared, 1, -6 * new), axis=1, out=total[:, 1:])
+    np.cumsum(shared, axis=1, out=count[:, 1:])
+    begin = shared.copy()  # a stretch that doesn't begin with a run of shared ones is better with all of the run
+    begin[:, 1:] &= ~shared[:, :-1]
+    row, at = np.nonzero(begin)
+    later = np.maximum.accumulate(total[:, ::-1], axis=1)  # from the right
+    lift = 7 * (n + 1) * np.arange(k)  # a row's sums are above those of the rows before it
+    place = np.searchsorted((later + lift[:, None]).ravel(), total[row, at] + lift[row])
+    end = n - (place - row * (n + 1))  # the last place with as great a sum
+    out = np.zeros(k, bool)
+    out[row[count[row, end] - count[row, at] >= LEAST_SHARED]] = True
+    return out
+
+
 _PAIR = "a long, b long, sa int, ea int, sb int, eb int"
 
 
@@ -342,6 +360,7 @@ class _Group:
     in_known: np.ndarray  # by region: different shingles of the reference region
     posting: np.ndarray  # regions by element
     posting_begin: np.ndarray
+    marked: np.ndarray  # by element: all false, for use within a method
 
     @classmethod
     def of(cls, parts: list[np.ndarray], reference: int, members: np.ndarray) -> _Group:
@@ -357,7 +376,7 @@ class _Group:
         in_known = np.bincount(region[at], known[element[at]], len(parts)).astype(np.int64)
         listed = at[members[region[at]]]
         listed = listed[np.argsort(element[listed], kind="stable")]
-        return cls(begin, element, first, known, in_known, region[listed], np.searchsorted(element[listed], np.arange(len(distinct) + 1)))
+        return cls(begin, element, first, known, in_known, region[listed], np.searchsorted(element[listed], np.arange(len(distinct) + 1)), np.zeros(len(distinct), bool))
 
     def content(self, x: int) -> np.ndarray:
         return self.element[self.begin[x] : self.begin[x + 1]]
@@ -375,17 +394,30 @@ class _Group:
         return np.bincount(self.posting[at], minlength=len(self.in_known)) + np.minimum(self.in_known[x], self.in_known)
 
     def dense_enough(self, x: int, ys: np.ndarray) -> np.ndarray:
-        """Whether some stretch of ``x`` has enough shingles of each of ``ys`` for a similar passage, as in _densest."""
+        """Whether ``x`` and each of ``ys`` may have a similar passage, which either of them must hold nearly whole.
+
+        Two passages that share n different shingles, with u and v more that are not shared, are similar
+        if n >= 3 (u + v). So one of them has n / 6 more at most.
+        """
         own, first = self.content(x), self.first[self.begin[x] : self.begin[x + 1]]
-        marked = np.zeros(len(self.known), bool)
-        score = np.zeros((len(ys), len(own) + 1), np.int64)
+        shared = np.zeros((len(ys), len(own)), bool)
         for k, y in enumerate(ys):
             theirs = self.content(y)
-            marked[theirs] = True
-            score[k, 1:] = np.where(marked[own], 4, -3 * first)
-            marked[theirs] = False
-        np.cumsum(score, axis=1, out=score)
-        return (score - np.minimum.accumulate(score, axis=1)).max(1) >= 3 * LENGTH
+            self.marked[theirs] = True
+            shared[k] = self.marked[own]
+            self.marked[theirs] = False
+        enough = _nearly_whole(shared, first[None, :])
+        rest = np.flatnonzero(~enough)
+        width = int((self.begin[ys + 1] - self.begin[ys]).max())
+        shared, new = np.zeros((len(rest), width), bool), np.ones((len(rest), width), bool)
+        self.marked[own] = True
+        for k, y in enumerate(ys[rest]):
+            theirs = self.content(y)
+            shared[k, : len(theirs)] = self.marked[theirs]
+            new[k, : len(theirs)] = self.first[self.begin[y] : self.begin[y + 1]]
+        self.marked[own] = False
+        enough[rest] = _nearly_whole(shared, new)
+        return enough
 
 
 def _linked(table: pa.Table) -> pa.Table:
@@ -424,11 +456,36 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=[c.split()[0] for c in _PAIR.split(", ")])
 
 
+_LED = "bucket int, signatures binary, nodes binary"
+
+
+def _by_leader(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """What ``led`` gives of a bucket, packed anew by group: the leader as signature of its members.
+
+    Copies share many keys, so a member is told to be in its group by each bucket that holds some of them. Here all that
+    tell it meet. A group is dealt to SLOTS buckets by the members' hashes, and its leader goes with each.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        found = led(table)
+        group, node = (found[x].to_numpy().view(U64) for x in ("group", "id"))
+        bucket = (bytescan.mix(group + (bytescan.mix(node) % U64(SLOTS))) % U64(buckets)).astype(np.int64)
+        leads = np.unique(np.stack([bucket.view(U64), group]), axis=1)
+        bucket = np.concatenate([bucket, leads[0].view(np.int64)])
+        group, node = np.concatenate([group, leads[1]]), np.concatenate([node, leads[1]])
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        packed = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()) for x in (group[order], node[order])]
+        return pa.table([pa.array(filled.astype(np.int32)), *packed], names=[c.split()[0] for c in _LED.split(", ")])
+
+    return run
+
+
 def _led_pieces(table: pa.Table) -> pa.Table:
     """What ``led`` gives of this bucket, the members of each group in pieces of some PIECE ids.
 
-    A member falls in a piece by its hash, so a group that other buckets have too, as copies share many keys,
-    has mostly the same pieces there, and those can be told to be equal before they are unfolded.
+    A member falls in a piece by its hash.
     """
     found = led(table)
     group, node = (found[x].to_numpy() for x in ("group", "id"))
@@ -472,8 +529,8 @@ def passage_pairs(docs: DataFrame, nodes: DataFrame, repeated: bool = True) -> D
     regions = materialize(found, "regions")
     discard(met, wanted)
 
-    grouped = regions.filter("bucket IS NOT NULL").select("bucket", "signatures", "nodes").groupBy("bucket").applyInArrow(_led_pieces, "group long, ids array<long>")
-    grouped = grouped.distinct().select("group", F.explode("ids").alias("id")).distinct()
+    grouped = regions.filter("bucket IS NOT NULL").select("bucket", "signatures", "nodes").groupBy("bucket").applyInArrow(_by_leader(max(1, buckets // 4)), _LED)
+    grouped = grouped.groupBy("bucket").applyInArrow(_led_pieces, "group long, ids array<long>").select("group", F.explode("ids").alias("id")).distinct()
     content = regions.filter("bucket IS NULL").select(F.col("id").alias("k"), "node", F.col("cell").alias("at"), "content")
     content = content.dropDuplicates(["k"]) if repeated else content
     weighed = grouped.join(content.select("k", F.length("content").alias("weight")), F.col("id") == F.col("k")).drop("k")

@@ -295,6 +295,69 @@ def test_pieces_of_a_group_are_its_members(members):
     assert sorted((r["group"], i) for r in one for i in r["ids"]) == sorted((r["group"], r["id"]) for r in plain)
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_members_of_a_group_are_told_once(buckets):
+    """Copies that share keys of many buckets, each key with some of them: what all buckets tell of a group is told anew once."""
+    rng = np.random.default_rng(44)
+    names = ("signatures", "nodes")
+    nodes = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    plain, told = set(), defaultdict(list)
+    for k in range(40):
+        own = [rng.permutation(nodes)[:150] for _ in range(3)]
+        table = pa.table({n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(names, (np.repeat(np.arange(3 * k, 3 * k + 3).astype(np.uint64), 150), np.concatenate(own)), strict=True)})
+        plain |= {(r["group"], r["id"]) for r in jaccard.led(table).to_pylist()}
+        for r in substrings._by_leader(buckets)(table).to_pylist():
+            told[r["bucket"]].append(r)
+    pieces = [r for rows in told.values() for r in substrings._led_pieces(pa.table({n: pa.array([r[n] for r in rows], pa.binary()) for n in names})).to_pylist()]
+    got = [(r["group"], i) for r in pieces for i in r["ids"]]
+    assert set(got) == plain and len(told) <= buckets
+    members = [(g, i) for g, i in got if g != i]
+    assert len(members) == len(set(members)) and len(pieces) <= len(plain)
+
+
+def test_pairs_that_cannot_be_similar_are_not_verified(monkeypatch):
+    """Copies of a long text with words changed here and there: pairs too far apart are told by their densest stretches, and no passage is lost."""
+    rng = np.random.default_rng(45)
+    base = rng.integers(1, 1 << 32, 300).astype(np.uint32)
+    rows = []
+    for k in range(60):
+        own, changed = base.copy(), rng.choice(300, int(rng.integers(10, 32)), replace=False)
+        for at in changed:  # a changed word changes five shingles
+            own[at : at + 5] = rng.integers(1, 1 << 32, len(own[at : at + 5]))
+        if k % 5 == 0:  # repeated shingles, moved and left out ones
+            own = np.concatenate([own[40:140], own[:60], own[150:170], own[150:]])
+        rows.append(own)
+    found = {(i, j) for i, j in itertools.combinations(range(60), 2) if substrings.passages(rows[i], rows[j])}
+    group = substrings._Group.of(rows, 0, np.ones(60, bool))
+    may = {(i, j) for i in range(60) for j in range(i + 1, 60) if group.dense_enough(i, np.array([j]))[0]}
+    every = {(i, int(j)) for i in range(59) for j in np.flatnonzero(group.dense_enough(i, np.arange(i + 1, 60))) + i + 1}
+    assert found <= may and may == every and len(found) > 20
+    assert len(may) <= 1.5 * len(found) < 60 * 59 / 4
+    calls = []
+    whole = substrings.passages
+    monkeypatch.setattr(substrings, "passages", lambda x, y: calls.append(1) or whole(x, y))
+    n = len(rows)
+    same = {c: pa.array([0] * n) for c in ("group", "block", "task", "lo", "hi", "cell")}
+    pairs = substrings._linked(pa.table({**same, "node": pa.array(range(n)), "content": pa.array([r.tobytes() for r in rows], pa.binary()), "order": pa.array(range(n))})).to_pylist()
+    tree = list(range(n))
+    for i, j in found:
+        tree = [tree[i] if t == tree[j] else t for t in tree]
+    linked = list(range(n))
+    for r in pairs:
+        linked = [linked[r["a"]] if t == linked[r["b"]] else t for t in linked]
+    assert len({*zip(tree, linked, strict=True)}) == len(set(tree)) == len(set(linked))
+    assert len(calls) <= len(found)
+
+
+def test_nearly_whole_stretches_are_those_of_all_stretches():
+    rng = np.random.default_rng(46)
+    shared = rng.random((80, 120)) < rng.choice([0.7, 0.85, 0.9, 0.95], 80)[:, None]
+    new = rng.random((80, 120)) < 0.9
+    s, u = (np.concatenate([np.zeros((80, 1), int), np.cumsum(x, axis=1)], axis=1) for x in (shared, ~shared & new))
+    due = [any(s[k, b] - s[k, a] >= max(substrings.LEAST_SHARED, 6 * (u[k, b] - u[k, a])) for a in range(121) for b in range(a + 1, 121)) for k in range(80)]
+    assert substrings._nearly_whole(shared, new).tolist() == due and 10 < sum(due) < 70
+
+
 def test_longest_dense_stretch_is_that_of_all_stretches():
     rng = np.random.default_rng(41)
     for _ in range(60):
